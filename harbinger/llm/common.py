@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side that was counted may be broadcast; beyond it the join shuffles.
@@ -84,7 +84,7 @@ def with_offsets(rows: DataFrame) -> tuple[DataFrame, dict]:
 MOST_QUEUES = 4096
 
 
-def queue_column(df: DataFrame, source_col: str) -> F.Column:
+def queue_column(df: DataFrame, source_col: str) -> Column:
     """A key per source that is never null: 's' and the source, or 'n' for null; hashed past MOST_QUEUES sources."""
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
     few = df.select(key.alias("k")).distinct().limit(MOST_QUEUES + 1).count() <= MOST_QUEUES
