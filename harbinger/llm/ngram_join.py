@@ -14,7 +14,8 @@ No group is ever expanded into all its pairs:
 2. in each key, every member is compared with the first member only (a star), and what is verified is joined
    into components;
 3. only keys that still hold several components go on: members of different components are compared by their
-   short sketches, in blocks of bounded size, and those within d are verified. So every link between different
+   short sketches, in blocks of bounded size, and those within d are verified: in the first rounds only as many
+   as would join the key's components, in the last round all that still lie in different ones. So every link between different
    components is found, whatever the group's size, and links inside a component need not be found.
 
 Keys travel as binary blocks, not as rows, and are grouped by a streaming merge whose memory follows the
@@ -41,6 +42,8 @@ BAND = 1.5
 #: Entries that a partition holds back before it merges them, and members compared at once.
 MERGE_ENTRIES = 1 << 20
 BLOCK_MEMBERS = 2048
+#: Rounds that compare open keys by a forest of candidates before one compares all that are left.
+FOREST_ROUNDS = 2
 _C1, _C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -262,12 +265,12 @@ def within_reach(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> Data
     """(a, b) from (a, b, band): those whose sizes and short sketches allow a link."""
     side = lambda s: facts.select(F.col("doc_id").alias(s), F.col("n").alias(f"n{s}"), F.col("sketches").alias(f"s{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.greatest("na", "nb") * num) <= F.least("na", "nb") * den)
-    near = near.select("a", "b", "band", F.element_at("sa", F.col("band")).alias("x"), F.element_at("sb", F.col("band")).alias("y")).where("x is not null and y is not null")
+    near = near.select("a", "b", "band", (F.col("na") + F.col("nb")).alias("whole"), F.element_at("sa", F.col("band")).alias("x"), F.element_at("sb", F.col("band")).alias("y")).where("x is not null and y is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             band = b.column("band").to_numpy(zero_copy_only=False)
-            most = difference(band.astype(np.int64), num, den)
+            most = b.column("whole").to_numpy(zero_copy_only=False) * (den - num) // (den + num)
             x, y = b.column("x"), b.column("y")
             keep = np.zeros(b.num_rows, bool)
             for g in np.unique(band).tolist():
@@ -308,11 +311,12 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
-def unresolved(live: DataFrame, comps: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+def unresolved(live: DataFrame, comps: DataFrame, facts: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
     """(a, b): members of one key in different components whose short sketches are within d.
 
     live: (key, lead, member). A key of one component is done; so is one without two members besides its first,
-    as that one was compared with all others."""
+    as that one was compared with all others. forest: of a key's candidates only as many as would join its
+    components, those of least distance first within a block of rows; a later call without it gives all."""
     of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
     rows = live.join(of("member"), "member", "left").select("key", "lead", F.col("member").alias("doc_id"), F.coalesce("member_component", "member").alias("component"))
     rows = common.table(rows, "jaccard-members")
@@ -328,11 +332,16 @@ def unresolved(live: DataFrame, comps: DataFrame, facts: DataFrame, num: int, de
     pairs = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        key, i, j = rows[0][:3]
-        g = key & 63
+        _, i, j = rows[0][:3]
         mine, ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
         x = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(len(rows), -1)
-        most = int(difference(np.array([g]), num, den)[0])
+        parent = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
         left = np.flatnonzero(mine == i)
         right = np.flatnonzero(mine == j)
         for lo in range(0, left.size, 64):
@@ -343,7 +352,16 @@ def unresolved(live: DataFrame, comps: DataFrame, facts: DataFrame, num: int, de
             p, q = np.nonzero(ok)
             for s in range(0, p.size, 1 << 16):
                 u, v = a[p[s : s + (1 << 16)]], right[q[s : s + (1 << 16)]]
-                near = _bits(x[u], x[v]) <= most
+                apart = _bits(x[u], x[v])
+                near = np.flatnonzero(apart <= (n[u] + n[v]) * (den - num) // (den + num))
+                if forest:
+                    kept = []
+                    for e in near[np.argsort(apart[near], kind="stable")].tolist():
+                        p1, p2 = root(int(comp[u[e]])), root(int(comp[v[e]]))
+                        if p1 != p2:
+                            parent[p1] = p2
+                            kept.append(e)
+                    near = np.array(kept, np.int64)
                 yield np.minimum(ids[u], ids[v])[near], np.maximum(ids[u], ids[v])[near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,9 +409,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = live.select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b"), band).distinct()
     edges = common.table(verified(within_reach(stars, facts, num, den), reps, words, num, den), "jaccard-links")
     comps = components(edges)
-    more = common.table(verified(unresolved(live, comps, facts, num, den), reps, words, num, den), "jaccard-more-links")
-    if not more.isEmpty():
-        comps = components(edges.unionByName(more))
+    # A few candidates of each open key first; once they join nothing more, or after some rounds, all that are left.
+    for k in range(FOREST_ROUNDS + 1):
+        left = common.table(unresolved(live, comps, facts, num, den, forest=k < FOREST_ROUNDS), "jaccard-left")
+        if left.isEmpty():
+            break
+        more = common.table(verified(left, reps, words, num, den), "jaccard-more-links")
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            comps = components(edges)
     found = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
