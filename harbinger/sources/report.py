@@ -88,7 +88,7 @@ class ReportReader(DataSourceReader):
     """A partition per day; the two reports of a day follow each other with a pause."""
 
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = options  # keys match in any case
 
     def partitions(self):
         return [InputPartition(d) for d in self.options["days"].split(",") if d]

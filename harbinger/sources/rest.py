@@ -68,7 +68,7 @@ def _rows(options: dict, since: str | None) -> Iterator[tuple[int, str]]:
 
 class RestReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = options  # keys match in any case
 
     def partitions(self):
         return [InputPartition(0)]
@@ -79,7 +79,7 @@ class RestReader(DataSourceReader):
 
 class RestStreamReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options = options  # keys match in any case
 
     def initialOffset(self):
         return {"since": self.options.get("since", "")}
