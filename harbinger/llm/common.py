@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side that was counted may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch that goes to a Python worker; a row that is larger is a batch of its own.
+BATCH_BYTES = 4 << 20
 _SERIAL = itertools.count()
 _RUN = uuid.uuid4().hex[:12]
 
@@ -40,6 +43,21 @@ def table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInArrow with batches bounded in bytes, as rows may be long texts; a worker gives freed memory back when its
+    task ends. The bound is set on the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

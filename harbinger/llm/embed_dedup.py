@@ -107,9 +107,9 @@ def tiles(classes: DataFrame, width: int, basis: np.ndarray, tile_rows: int) ->
             })
 
     kind = classes.schema["embedding"].dataType.simpleString()
-    rows = classes.select("rep", "copies", "embedding").mapInArrow(lead, f"rep long, copies long, embedding {kind}, first double")
+    rows = classes.select("rep", "copies", "embedding").transform(common.map_batches, lead, f"rep long, copies long, embedding {kind}, first double")
     rows = rows.repartitionByRange(F.col("first"))
-    return rows.mapInArrow(block, "tile long, n int, lo array<double>, hi array<double>, ids binary, copies binary, vectors binary")
+    return rows.transform(common.map_batches, block, "tile long, n int, lo array<double>, hi array<double>, ids binary, copies binary, vectors binary")
 
 
 def tile_pairs(boxes: DataFrame, threshold: float) -> DataFrame:
@@ -202,7 +202,7 @@ def compare(blocks: DataFrame, pairs: DataFrame, width: int, basis: np.ndarray,
 
     side = lambda s: blocks.select(F.col("tile").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "copies", "vectors")])
     work = pairs.join(side("a"), "a").join(side("b"), "b")
-    return work.mapInArrow(run, "kind int, a long, b long")
+    return work.transform(common.map_batches, run, "kind int, a long, b long")
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, tile_rows: int = TILE_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -355,7 +355,7 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 media = store(payload, rows)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return common.texts_of(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return common.texts_of(docs, id_col, text_col).transform(common.map_batches, encode, "doc_id long, n_bytes long, media binary")
 
 
 def read_media(rows: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -410,7 +410,7 @@ def read_media(rows: DataFrame, *, id_col: str = "doc_id", media_col: str = "med
 
     own = rows.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(media_col).alias("media"))
     kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in own.schema if f.name in keep)
-    return own.mapInArrow(decode, f"doc_id long, {kept}media_bytes long, media_sha256 string, images int, width int, height long, thumbnail binary, hash string")
+    return own.transform(common.map_batches, decode, f"doc_id long, {kept}media_bytes long, media_sha256 string, images int, width int, height long, thumbnail binary, hash string")
 
 
 def op3_media(spark, sf_dir: str) -> DataFrame:

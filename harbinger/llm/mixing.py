@@ -109,7 +109,7 @@ def sizes_of(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Da
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array([part] * b.num_rows, pa.int32()), b.column("queue"), pa.array(before), b.column("n")], ["doc_id", "source", "part", "queue", "before", "n"])
 
     ordered = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "source", "n")
-    return ordered.mapInArrow(number, "doc_id long, source string, part int, queue string, before long, n long")
+    return ordered.transform(common.map_batches, number, "doc_id long, source string, part int, queue string, before long, n long")
 
 
 def mix(
@@ -178,7 +178,7 @@ def mix(
                 )
 
     schema = "doc_id long, source string, size long, source_size long, target double, taken long, draws array<struct<pass:int,shard:int,rank:long,first:long,words:long>>"
-    return rows.select("doc_id", "source", "queue", "n", "base").mapInArrow(draw, schema)
+    return rows.select("doc_id", "source", "queue", "n", "base").transform(common.map_batches, draw, schema)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -223,7 +223,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & (word_count(F.col(text_col)) == F.col("_mix_n"))
     joined = docs.join(plan.dropDuplicates(["_mix_id", "_mix_n"]), same).select(*columns, "draws")
     schema = StructType([*docs.schema.fields, StructField("_shard", IntegerType()), StructField("_rank", LongType())])
-    rows = joined.mapInArrow(cut, schema)
+    rows = joined.transform(common.map_batches, cut, schema)
     return rows.repartition("_shard").sortWithinPartitions("_shard", "_rank").select(*columns)
 
 

@@ -172,7 +172,7 @@ def set_facts(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             maps = [list(s.items()) for s in short_sketches(h, own, size, num, den)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.array(h1, mask=none), pa.array(h2, mask=none), pa.array(maps, pa.map_(pa.int32(), pa.binary()))], ["doc_id", "n", "h1", "h2", "sketches"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketches map<int,binary>")
+    return docs.transform(common.map_batches, run, "doc_id long, n long, h1 long, h2 long, sketches map<int,binary>")
 
 
 def shared_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -253,8 +253,8 @@ def shared_keys(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         if held:
             yield merge()
 
-    dealt = docs.mapInArrow(deal, "bucket int, keys binary, ids binary")
-    return dealt.repartition(buckets // 2, "bucket").mapInArrow(gather, "key long, lead long, member long")
+    dealt = docs.transform(common.map_batches, deal, "bucket int, keys binary, ids binary")
+    return dealt.repartition(buckets // 2, "bucket").transform(common.map_batches, gather, "key long, lead long, member long")
 
 
 def _bits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -281,7 +281,7 @@ def within_reach(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> Data
                 keep[rows] = _bits(u, v) <= most[rows]
             yield b.filter(pa.array(keep)).select(["a", "b"])
 
-    return near.mapInArrow(run, "a long, b long").distinct()
+    return near.transform(common.map_batches, run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -308,7 +308,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
                 union = np.bincount(own, minlength=b.num_rows) - shared
                 yield b.filter(pa.array((den * shared >= num * union) & (shared > 0))).select(["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.transform(common.map_batches, run, "a long, b long")
 
 
 def unresolved(live: DataFrame, comps: DataFrame, facts: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
@@ -388,7 +388,7 @@ def unresolved(live: DataFrame, comps: DataFrame, facts: DataFrame, num: int, de
         if out:
             yield emit()
 
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    return pairs.transform(common.map_batches, run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:

@@ -108,7 +108,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
     rows = common.texts_of(docs, id_col, text_col, source_col).withColumnRenamed(source_col, "source")
     rows = rows.withColumn("queue", common.queue_column(rows, "source"))
     rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "source", "text")
-    return rows.mapInArrow(encode, "doc_id long, source string, part int, queue string, before long, n long, ids binary")
+    return rows.transform(common.map_batches, encode, "doc_id long, source string, part int, queue string, before long, n long, ids binary")
 
 
 def pack_documents(
@@ -154,8 +154,8 @@ def pack_documents(
                     ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
 
-    return rows.select("doc_id", "source", "queue", "n", "base", "ids").mapInArrow(
-        place, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return rows.select("doc_id", "source", "queue", "n", "base", "ids").transform(
+        common.map_batches, place, "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
 
 

@@ -121,7 +121,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             found = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans(t.as_py())] for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, kind)], ["doc_id", "found"])
 
-    return common.texts_of(docs, id_col, text_col).mapInArrow(scan, "doc_id long, found array<struct<kind:string,start:int,end:int,score:double>>")
+    return common.texts_of(docs, id_col, text_col).transform(common.map_batches, scan, "doc_id long, found array<struct<kind:string,start:int,end:int,score:double>>")
 
 
 def digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:

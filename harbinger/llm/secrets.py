@@ -134,7 +134,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             found = [[dict(zip(_ROW, s, strict=True)) for s in spans(t.as_py())] for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, _KIND)], ["doc_id", "found"])
 
-    return common.texts_of(docs, id_col, text_col).mapInArrow(scan, "doc_id long, found array<struct<kind:string,start:int,end:int,score:double>>")
+    return common.texts_of(docs, id_col, text_col).transform(common.map_batches, scan, "doc_id long, found array<struct<kind:string,start:int,end:int,score:double>>")
 
 
 def redact(text: str) -> str:
@@ -167,7 +167,7 @@ def redacted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
                 b = b.set_column(n, b.schema.field(n), pa.array(counts, b.schema.field(n).type))
             yield b
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.transform(common.map_batches, scan, docs.schema)
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:

@@ -153,7 +153,7 @@ def write_blocks(
             yield flush()
 
     rows = common.texts_of(docs, id_col, text_col).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(encode, "part int, seq int, base long, docs int, tokens long, payload binary")
+    return rows.transform(common.map_batches, encode, "part int, seq int, base long, docs int, tokens long, payload binary")
 
 
 def read_blocks(segments: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def read_blocks(segments: DataFrame) -> DataFrame:
                     {"doc_id": pa.array(doc_ids, pa.int64(), mask=~known), "within": ends - counts + base.as_py(), "n_tokens": counts, "ids_crc32": pa.array(crcs, pa.int64()), "part": pa.array([part.as_py()] * n, pa.int32()), "seq": pa.array([seq.as_py()] * n, pa.int32())}
                 )
 
-    rows = segments.select("part", "seq", "base", "payload").mapInArrow(decode, "doc_id long, within long, n_tokens long, ids_crc32 long, part int, seq int")
+    rows = segments.select("part", "seq", "base", "payload").transform(common.map_batches, decode, "doc_id long, within long, n_tokens long, ids_crc32 long, part int, seq int")
     starts = segments.sparkSession.createDataFrame(heads, "part int, head long")
     return common.sized_join(rows, starts, ["part"], len(heads)).select("doc_id", (F.col("within") + F.col("head")).alias("start"), "n_tokens", "ids_crc32", "part", "seq")
 

@@ -327,7 +327,7 @@ def score_documents(docs: DataFrame, model: Model | None, *, id_col: str = "doc_
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores(model, b.column("text")))], ["doc_id", "score"])
 
-    return common.texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return common.texts_of(docs, id_col, text_col).transform(common.map_batches, run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model | None, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -337,7 +337,7 @@ def without_toxic(docs: DataFrame, model: Model | None, *, text_col: str = "text
         for b in batches:
             yield b.filter(pa.array(scores(model, b.column(text_col)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(common.map_batches, run, docs.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
