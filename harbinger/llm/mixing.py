@@ -32,6 +32,8 @@ BLOCK_WORDS = 256
 MOST_BLOCKS = 4 * 10**8
 SHARD_WORDS = 1 << 22
 MOST_SHARDS = 1024
+#: Words that one task orders when a mix is written; a larger shard is ordered in parts.
+PART_WORDS = 1 << 20
 
 
 def targets(sizes: Mapping[str, int], weights: Mapping[str, float], most: int = MOST_REPEATS) -> dict[str, float]:
@@ -185,10 +187,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row per document and pass that takes of it, with the text from the words taken.
 
     A document taken whole keeps its text as it is. doc_id and all other columns stay; n_chars, if there is one,
-    is that of the new text. Rows stand in shards and in each shard's local order.
+    is that of the new text. Rows stand in shards and in each shard's local order; a shard of more than PART_WORDS
+    is dealt to tasks by ranges of that order, which are even as its keys are hashes.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_n"), "draws")
+    plan = common.table(plan, "mixing-draws")
+    facts = plan.select(F.explode("draws").alias("d")).agg(F.sum("d.words").alias("words"), F.max("d.shard").alias("shard")).first()
+    parts = -(-(facts["words"] or 0) // (PART_WORDS * ((facts["shard"] or 0) + 1))) or 1
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +230,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     joined = docs.join(plan.dropDuplicates(["_mix_id", "_mix_n"]), same).select(*columns, "draws")
     schema = StructType([*docs.schema.fields, StructField("_shard", IntegerType()), StructField("_rank", LongType())])
     rows = joined.transform(common.map_batches, cut, schema)
-    return rows.repartition("_shard").sortWithinPartitions("_shard", "_rank").select(*columns)
+    part = F.shiftright(F.shiftright("_rank", 40) * F.lit(parts).cast("long"), 23)  # of the 63-bit key, the top 23 bits
+    return rows.withColumn("_part", part).repartition("_shard", "_part").sortWithinPartitions("_shard", "_rank").select(*columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -256,6 +256,19 @@ def test_mixing(docs, empty):
     assert out.columns == docs.columns and all(taken[i] == n for i, n in zip(once.doc_id, once.taken, strict=True))
 
 
+def test_mixing_deals_large_shards_in_parts(spark, docs, monkeypatch):
+    order = lambda: sorted((r["doc_id"] or 0, r["text"]) for r in mixing.mixed_documents(docs, shards=2).collect())
+    whole = order()
+    monkeypatch.setattr(mixing, "PART_WORDS", 500)
+    assert order() == whole
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # it joins partitions as small as these
+    try:
+        parts = mixing.mixed_documents(docs, shards=2).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 2
+
+
 def test_targets_and_tree():
     got = mixing.targets({"a": 10, "b": 1000, "c": 1000}, {"a": 5, "b": 2, "c": 1})
     assert got["a"] == 30 and abs(got["b"] - 1980 * 2 / 3) < 1e-9 and abs(sum(got.values()) - 2010) < 1e-9
