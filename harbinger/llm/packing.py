@@ -15,6 +15,7 @@ their own. Empty tables give no pieces.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -86,8 +87,10 @@ def pieces(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray,
 def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str, tokenizer_path: str | None, end_id: int | None) -> DataFrame:
     """(doc_id, source, part, queue, before, n, ids) in ascending id order; ids are little-endian 16-bit numbers."""
 
+    run = uuid.uuid4().hex
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer, tokenizer_path)
+        encoder = tokens.encoder(tokenizer, tokenizer_path, run)
         part, done = TaskContext.get().partitionId(), {}
         for whole in batches:
             _, offsets = tokens.bytescan.raw(whole.column("text"))

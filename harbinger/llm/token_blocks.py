@@ -13,6 +13,7 @@ document of its own. An empty table gives no segments.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -121,8 +122,10 @@ def write_blocks(
 ) -> DataFrame:
     """Encodes every whole text, appends end_id, and gives segments in ascending id order (to be written as a table)."""
 
+    run = uuid.uuid4().hex
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer, tokenizer_path)
+        encoder = tokens.encoder(tokenizer, tokenizer_path, run)
         part, seq, base = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = 0

@@ -154,11 +154,12 @@ class PieceEncoder:
         return ids, counts
 
 
-_ENCODERS: dict[tuple[str, str | None], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, str | None], tuple[str, PieceEncoder]] = {}
 
 
-def encoder(name: str, path: str | None = None) -> PieceEncoder:
-    """This worker's encoder of a tokenizer file; its table serves later tasks of the same worker."""
-    if (name, path) not in _ENCODERS:
-        _ENCODERS[name, path] = PieceEncoder(name, path)
-    return _ENCODERS[name, path]
+def encoder(name: str, path: str | None, run: str) -> PieceEncoder:
+    """This worker's encoder of a tokenizer file; its table serves the tasks of one run, and another run starts anew."""
+    known = _ENCODERS.get((name, path))
+    if known is None or known[0] != run:
+        known = _ENCODERS[name, path] = run, PieceEncoder(name, path)
+    return known[1]
