@@ -69,6 +69,14 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *mor
     )
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores before it as no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sized_join(left: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
     """Joins a side whose rows were counted: broadcast up to BROADCAST_ROWS, else left to a shuffle join."""
     return left.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)

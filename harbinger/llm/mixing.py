@@ -188,7 +188,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document taken whole keeps its text as it is. doc_id and all other columns stay; n_chars, if there is one,
     is that of the new text. Rows stand in shards and in each shard's local order; a shard of more than PART_WORDS
-    is dealt to tasks by ranges of that order, which are even as its keys are hashes.
+    is dealt to tasks by ranges of that order, which are even as its keys are hashes. Columns of any names stay.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_n"), "draws")
@@ -196,13 +196,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     facts = plan.select(F.explode("draws").alias("d")).agg(F.sum("d.words").alias("words"), F.max("d.shard").alias("shard")).first()
     parts = -(-(facts["words"] or 0) // (PART_WORDS * ((facts["shard"] or 0) + 1))) or 1
     columns = docs.columns
+    draws_col, shard_col, rank_col, part_col = (common.unused(c, columns) for c in ("_draws", "_shard", "_rank", "_part"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
             out = []
             for row in rows:
-                draws = row.pop("draws")
+                draws = row.pop(draws_col)
                 text = row[text_col] or ""
                 data = np.frombuffer(text.encode(), np.uint8)
                 start, end, _ = bytescan.words(data, np.array([0, data.size]))
@@ -218,20 +219,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                             else:
                                 runs.append([d["first"], d["first"] + d["words"]])
                         new = "\n".join(bytes(data[start[i] : end[j - 1]]).decode() for i, j in runs)
-                    out.append(row | {text_col: new, "_shard": mine[0]["shard"], "_rank": mine[0]["rank"]} | ({"n_chars": len(new)} if "n_chars" in row else {}))
+                    out.append(row | {text_col: new, shard_col: mine[0]["shard"], rank_col: mine[0]["rank"]} | ({"n_chars": len(new)} if "n_chars" in row else {}))
             if out:
-                schema = pa.schema([f for f in b.schema if f.name != "draws"] + [("_shard", pa.int32()), ("_rank", pa.int64())])
+                schema = pa.schema([f for f in b.schema if f.name != draws_col] + [(shard_col, pa.int32()), (rank_col, pa.int64())])
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
     # Rows of one id and size take the same draws.
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_mix_id")) & (word_count(F.col(text_col)) == F.col("_mix_n"))
-    joined = docs.join(plan.dropDuplicates(["_mix_id", "_mix_n"]), same).select(*columns, "draws")
-    schema = StructType([*docs.schema.fields, StructField("_shard", IntegerType()), StructField("_rank", LongType())])
+    same = F.col(f"doc.{id_col}").cast("long").eqNullSafe(F.col("mix._mix_id")) & (word_count(F.col(f"doc.{text_col}")) == F.col("mix._mix_n"))
+    joined = docs.alias("doc").join(plan.dropDuplicates(["_mix_id", "_mix_n"]).alias("mix"), same).select("doc.*", F.col("mix.draws").alias(draws_col))
+    schema = StructType([*docs.schema.fields, StructField(shard_col, IntegerType()), StructField(rank_col, LongType())])
     rows = joined.transform(common.map_batches, cut, schema)
-    part = F.shiftright(F.shiftright("_rank", 40) * F.lit(parts).cast("long"), 23)  # of the 63-bit key, the top 23 bits
-    return rows.withColumn("_part", part).repartition("_shard", "_part").sortWithinPartitions("_shard", "_rank").select(*columns)
+    part = F.shiftright(F.shiftright(rank_col, 40) * F.lit(parts).cast("long"), 23)  # of the 63-bit key, the top 23 bits
+    return rows.withColumn(part_col, part).repartition(shard_col, part_col).sortWithinPartitions(shard_col, rank_col).select(*columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -426,9 +426,9 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **option
     """The documents of which none has a near duplicate of smaller id: one of each group stays, with all columns."""
     found = near_duplicates(docs, id_col=id_col, **options)
     gone = common.table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-duplicates")
-    n, same = gone.count(), F.col(id_col).cast("long") == F.col("_gone")
-    kept = docs.join(F.broadcast(gone) if n <= common.BROADCAST_ROWS else gone, same, "left_anti")
-    return kept
+    n, same = gone.count(), F.col(f"doc.{id_col}").cast("long") == F.col("gone._gone")
+    gone = F.broadcast(gone) if n <= common.BROADCAST_ROWS else gone
+    return docs.alias("doc").join(gone.alias("gone"), same, "left_anti")
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

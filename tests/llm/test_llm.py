@@ -349,3 +349,13 @@ def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert len(corpus_pipeline.STAGES) == 5 and (out.groupby("sequence_id").length.sum() <= 1024).all() and len(out)
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark, docs):
+    import corpus_pipeline
+
+    names = ["draws", "_draws", "_SHARD", "_rank", "_part", "_mix_id", "_mix_n", "_gone", "gone", "doc", "mix", "before", "ids", "size", "score", "component_id", "taken", "y", "o"]
+    wide = docs.withColumns({c: F.lit(1) for c in names})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, "/root/testdata/sf0.001")
+        assert out.count() and (out.columns == wide.columns or name == "packing")
