@@ -9,7 +9,8 @@ document's score is that of its worst window.
 Training sees at most SAMPLE documents of each label, those of least hash, so its cost and memory are bounded;
 scoring covers every window of every whole text and needs no shuffle. A document's label holds for its worst
 window only (multiple-instance learning): each epoch trains on the window that scores highest now, which for
-clean documents is the hardest one.
+clean documents is the hardest one. Then the bias is lowered where more than CLEAN_FLAGGED of the sample's clean
+documents would reach THRESHOLD, as happens with few labels.
 
 Texts without letters, null ones too, score 0. Without labelled documents of both kinds every score is 0.
 Label rows with nulls or of unknown documents are ignored; a document labelled several times counts as toxic
@@ -36,6 +37,8 @@ WORD_BITS, GRAM_BITS = 17, 18
 #: Epochs are as many as give LEAST_STEPS steps on few documents.
 EPOCHS, BATCH, RATE, LEAST_STEPS = 14, 256, 0.01, 250
 THRESHOLD = 0.7
+#: Share of the clean documents of the sample that may reach the threshold; the network's bias is lowered until it holds.
+CLEAN_FLAGGED = 0.01
 CHUNK = 4096
 
 
@@ -274,6 +277,9 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 11) -> Model | None:
                 m[name] = 0.9 * m[name] + 0.1 * d
                 v[name] = 0.99 * v[name] + 0.01 * d * d
                 p[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+    clean = np.clip(scores(model, texts.filter(pa.array(y == 0))), 1e-9, 1 - 1e-9)
+    high = np.quantile(clean, 1 - CLEAN_FLAGGED, method="higher")
+    p["bo"] -= np.float32(max(0.0, np.log(high / (1 - high)) - np.log(THRESHOLD / (1 - THRESHOLD)) + 1e-3))
     return model
 
 
