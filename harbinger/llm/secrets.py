@@ -34,11 +34,15 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "sec
 #: Literals that stand for no secret.
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|changeme|example.*|your.*|todo|redacted|placeholder|<.*>|\$\{.*\}|%\(.*\)s)$")
 MIN_SCORE = 0.6
-SHORTEST, LONGEST = 8, 4096
+SHORTEST = 8
+#: First characters of a literal that are kept to tell placeholders.
+HEAD = 16
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,127}"
+_STRING = {q: re.compile(rf"{q}(?:[^{q}\\\n]++|\\.)*+{q}") for q in "\"'"}
+_BARE = re.compile(r"[^\s,;\"'(){}\[\]]*+")
 _TOKEN = re.compile(
-    rf"""(?P<string>"(?:[^"\\\n]|\\.){{0,{LONGEST}}}"|'(?:[^'\\\n]|\\.){{0,{LONGEST}}}')|(?P<name>{_NAME})|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){{}}\[\]])|(?P<line>\n)|(?P<other>[^\s"'A-Za-z_:=+,;(){{}}\[\]]+)""", re.A
+    rf"""(?P<quote>["'])|(?P<name>{_NAME})|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){{}}\[\]])|(?P<line>\n)|(?P<other>[^\s"'A-Za-z_:=+,;(){{}}\[\]]+)""", re.A
 )
 
 
@@ -47,47 +51,97 @@ def sensitivity(name: str) -> float:
     return max((w for part, w in SENSITIVE.items() if part in flat), default=0.0)
 
 
-def randomness(literal: str) -> float:
+def randomness(counts: Counter[str], n: int) -> float:
     """0 to 1: bits a character against those of a random string, with a share for mixed kinds of characters."""
-    n = len(literal)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+    kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in counts)
     return min(1.0, bits / min(4.0, math.log2(n)) * 0.7 + 0.1 * kinds)
 
 
-def pairs(text: str) -> list[tuple[str, str, int, int]]:
+class Literal:
+    """Length, ends and counts of characters, all that a score needs: constants joined through names can double with
+    every line, so their text is never built."""
+
+    __slots__ = ("n", "head", "tail", "counts", "random")
+
+    def __init__(self, text: str, i: int, j: int):
+        self.n, self.head, self.tail = j - i, text[i : min(j, i + HEAD)], text[max(i, j - 2) : j]
+        self.counts: Counter[str] | None = None
+        self.random: float | None = None
+
+    def placeholder(self) -> bool:  # a long run of x, * or . has too few bits to score
+        return bool(PLACEHOLDER.match(self.head if self.n <= HEAD else f"{self.head}-{self.tail}"))
+
+    def add(self, other: Literal) -> None:
+        if self.n < HEAD:
+            self.head = (self.head + other.head)[:HEAD]
+        self.tail = (self.tail + other.tail)[-2:]
+        self.n += other.n
+        self.counts.update(other.counts)
+        self.random = None
+
+
+def tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
+    """(kind, value, start, end); a string's are those of what its quotes enclose. A quote that its line does not close
+    is passed over; further ones of its kind in the line are then escaped and not closed either."""
+    at, unclosed = 0, {'"': 0, "'": 0}
+    while m := _TOKEN.search(text, at):
+        kind, value = m.lastgroup, m[0]
+        i, at = m.span()
+        if kind != "quote":
+            yield kind, value, i, at
+        elif i >= unclosed[value]:
+            if whole := _STRING[value].match(text, i):
+                at = whole.end()
+                yield "string", text[i + 1 : at - 1], i + 1, at - 1
+            else:
+                end = text.find("\n", i)
+                unclosed[value] = end if end >= 0 else len(text)
+
+
+def pairs(text: str) -> list[tuple[str, Literal, int, int]]:
     """Name-literal pairs: target name, literal, and the literal's span; constants stand with the span of their text."""
-    out: list[tuple[str, str, int, int]] = []
-    known: dict[str, tuple[str, int, int]] = {}
+    out: list[tuple[str, Literal, int, int]] = []
+    known: dict[str, tuple[Literal, int, int]] = {}
     previous: list[tuple[str, str, int, int]] = []  # the last two tokens
-    it = _TOKEN.finditer(text)
-    pending: tuple[str, str, int, int] | None = None
-    for m in it:
-        kind, value = m.lastgroup, m[0]
-        i, j = m.span()
-        if kind == "string":
-            value, i, j = value[1:-1], i + 1, j - 1
+    joined: Literal | None = None  # the last pair's literal, once it has parts
+    bare_end = 0
+
+    def counted(x: Literal, i: int, j: int) -> Literal:
+        if x.counts is None:
+            x.counts = Counter(text[i:j])
+        return x
+
+    for kind, value, i, j in tokens(text):
         if len(previous) == 2 and previous[1][1] in ("=", ":", ":=", "=>") and previous[1][0] == "op" and previous[0][0] in ("name", "string"):
             target = previous[0][1]
+            pending: tuple[Literal, int, int] | None = None
             if kind == "string":
-                pending = (target, value, i, j)
+                pending = (Literal(text, i, j), i, j)
             elif kind in ("name", "other"):
-                end = text.find("\n", i)
-                bare = re.match(r"[^\s,;\"'(){}\[\]]*", text[i : min(end if end >= 0 else len(text), i + LONGEST)])[0]
-                if kind == "name" and bare == value and value in known:
-                    pending = (target, *known[value])
+                if i >= bare_end:  # values within a bare value end where it ends
+                    bare_end = _BARE.match(text, i).end()
+                whole = bare_end == i + len(value)
+                if kind == "name" and whole and value in known:
+                    pending = known[value]
                 else:
-                    pending = (target, bare, i, i + len(bare))
+                    end = max(i, bare_end)
+                    pending = (Literal(text, i, end), i, end)
             if pending:
-                out.append(pending)
-                if kind == "string" or pending[1] != value or value in known:
-                    known[target] = pending[1:]
-                pending = None
+                out.append((target, *pending))
+                joined = None
+                if kind == "string" or not whole or value in known:
+                    known[target] = pending
         elif len(previous) == 2 and previous[1][1] == "+" and previous[1][0] == "op" and out and kind in ("string", "name"):
-            part = value if kind == "string" else known.get(value, ("",))[0]
-            if out[-1][3] + 4 >= previous[1][2] and part and len(out[-1][1]) + len(part) <= LONGEST:
-                target, have, start, _ = out[-1]
-                out[-1] = (target, have + part, start, j)
+            part = (Literal(text, i, j), i, j) if kind == "string" else known.get(value)
+            if out[-1][3] + 4 >= previous[1][2] and part and part[0].n:
+                target, have, start, end = out[-1]
+                counted(*part)
+                if joined is None:  # a literal of its own, as other names may stand for the first
+                    joined = Literal(text, start, end)
+                    joined.counts = Counter(counted(have, start, end).counts)
+                joined.add(part[0])
+                out[-1] = (target, joined, start, j)
                 known[target] = out[-1][1:]
         if kind == "line":
             previous = []
@@ -100,11 +154,20 @@ def pair_spans(text: str, lowered: str) -> Iterator[tuple[str, int, int, float]]
     """Literals whose target's name and look make them secrets."""
     if not ("=" in text or ":" in text) or not any(s in lowered for s in ("pass", "pwd", "secret", "token", "key", "cred", "auth", "signature", "salt", "cookie")):
         return
+    found = [(weight, x, i, j) for target, x, i, j in pairs(text) if x.n >= SHORTEST and (weight := sensitivity(target)) and not x.placeholder()]
+    first, last, counts = 0, -1, Counter()
+    for _, x, i, j in sorted(found, key=lambda f: (f[3], -f[2])):  # values within one value share its end: each is counted from the next one on
+        if x.random is None:
+            if x.counts is None:
+                if j != last:
+                    first, last, counts = j, j, Counter()
+                counts.update(text[i:first])
+                first = i
+            x.random = randomness(counts if x.counts is None else x.counts, x.n)
     seen = set()
-    for target, literal, i, j in pairs(text):
-        weight = sensitivity(target)
-        if weight and SHORTEST <= len(literal) <= LONGEST and (i, j) not in seen and not PLACEHOLDER.match(literal):
-            got = round(weight * randomness(literal), 4)
+    for weight, x, i, j in found:
+        if (i, j) not in seen:
+            got = round(weight * x.random, 4)
             if got >= MIN_SCORE:
                 seen.add((i, j))
                 yield "pair", i, j, got

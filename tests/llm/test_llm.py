@@ -127,6 +127,17 @@ def test_lexer_propagates_constants():
     assert "q9X!w7Zk2Lp0" not in secrets.redact(text) and 'name = "q9X!w7Zk2Lp1"' in secrets.redact(text)
 
 
+def test_literals_are_read_to_their_end():
+    key = "".join(rng.choice(list("abcXYZ0189+/"), 6000))
+    for text, secret in [(f'private_key = "{key}"\n', key), (f"auth_secret: {key}\nx", key), (f'a = "{key}"\nmy_passphrase = a', key), (f'db_credential = "{key[:4000]}" + "{key[4000:]}";', f'{key[:4000]}" + "{key[4000:]}')]:
+        at = text.index(secret)
+        assert [(i, j) for k, i, j, _ in secrets.spans(text) if k == "pair"] == [(at, at + len(secret))] and key[-50:] not in secrets.redact(text)
+    n = 100_000  # each would take hours in quadratic time, the last more memory than there is
+    assert secrets.spans('private_key = "' + '\\"' * n) == [] and len(secrets.spans("auth_key: " + "pwd=" * n + "q9X!w7Zk2Lp0")) == n
+    lines = "".join(f'k{i} = "a" + k{i - 1} + k{i - 1}\n' for i in range(1, 2000))
+    assert [k for k, *_ in secrets.spans('k0 = "q9X!w7Zk2Lp0"\n' + lines + "pwd = k1999")] == ["pair"]
+
+
 def test_redacted_keeps_rows_and_columns(docs):
     got = secrets.redacted(docs)
     assert got.columns == docs.columns and got.count() == docs.count() and "AKIA" not in "".join(r["text"] or "" for r in got.collect())
