@@ -30,7 +30,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Parts of sensitive names and how sensitive each is.
-SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "credential": 0.9, "auth": 0.6, "signature": 0.5, "salt": 0.5, "cookie": 0.5}
+SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "privatekey": 1.0, "accesskey": 1.0, "credential": 0.9, "auth": 0.75, "signature": 0.75, "salt": 0.75, "cookie": 0.75}
+#: The names of writers hold `auth`, but alone they are no credentials (authorization is one).
+AUTHOR, AUTHOR_WEIGHT = re.compile(r"author(?!i[sz])"), 0.6
 #: Literals that stand for no secret.
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|changeme|example.*|your.*|todo|redacted|placeholder|<.*>|\$\{.*\}|%\(.*\)s)$")
 MIN_SCORE = 0.6
@@ -48,7 +50,8 @@ _TOKEN = re.compile(
 
 def sensitivity(name: str) -> float:
     flat = re.sub(r"[^a-z]", "", name.lower())
-    return max((w for part, w in SENSITIVE.items() if part in flat), default=0.0)
+    rest = AUTHOR.sub(" ", flat)
+    return max((w for part, w in SENSITIVE.items() if part in rest), default=AUTHOR_WEIGHT if rest != flat else 0.0)
 
 
 def randomness(counts: Counter[str], n: int) -> float:

@@ -138,6 +138,19 @@ def test_literals_are_read_to_their_end():
     assert [k for k, *_ in secrets.spans('k0 = "q9X!w7Zk2Lp0"\n' + lines + "pwd = k1999")] == ["pair"]
 
 
+@pytest.mark.parametrize("name", sorted(secrets.SENSITIVE))
+def test_every_sensitive_name_can_be_found(name):
+    for letters, n in [("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 40), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), ("0123456789ABCDEF", 40), ("0123456789abcdef", 64), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32)]:
+        for seed in range(20):
+            key = "".join(np.random.default_rng(seed).choice(list(letters), n))
+            for text in (f'my_{name} = "{key}"', f"session-{name}: {key}\n", f'{{"x_{name}": "{key}"}}'):
+                assert ("pair", text.index(key), text.index(key) + n) in [s[:3] for s in secrets.spans(text)] and key not in secrets.redact(text)
+
+
+def test_writers_are_no_credentials():
+    assert secrets.spans('author: "Jonathan Fielding"') == [] and secrets.sensitivity("Authorization") == secrets.sensitivity("author_auth") == secrets.SENSITIVE["auth"]
+
+
 def test_redacted_keeps_rows_and_columns(docs):
     got = secrets.redacted(docs)
     assert got.columns == docs.columns and got.count() == docs.count() and "AKIA" not in "".join(r["text"] or "" for r in got.collect())
