@@ -120,6 +120,15 @@ def test_checked_and_contextual_kinds():
     assert [(k, text[i:j]) for k, i, j, _ in pii.spans(text)] == [("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789")]
 
 
+@pytest.mark.parametrize("iban", ["GR16 0110 1250 0000 0001 2300 695", "HU42 1177 3016 1111 1018 0000 0000", "RO49 AAAA 1B31 0075 9384 0000", "BG80 BNBG 9661 1020 3456 78", "SK31 1200 0000 1987 4263 7541", "SI56 2633 0001 2039 086", "HR12 1001 0051 8630 0016 0", "EE38 2200 2210 2014 5685", "LV80 BANK 0000 4351 9500 1", "LT12 1000 0111 0100 1000", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "CY17 0020 0128 0000 0012 0052 7600", "TR33 0006 1005 1978 6457 8413 26", "SA03 8000 0000 6080 1016 7519", "AE07 0331 2345 6789 0123 456", "IL62 0108 0000 0009 9999 999", "BR18 0036 0305 0000 1000 9795 493C 1", "LC55 HEMM 0001 0001 0012 0012 0002 3015", "KZ86 125K ZT50 0410 0100", "IS14 0159 2600 7654 5510 7303 39", "UA21 3223 1300 0002 6007 2335 6600 1"])
+def test_ibans_of_all_countries(iban):
+    for shown in (iban, iban.replace(" ", "")):
+        for text in (f"pay to {shown}, please", f"{shown} PAYMENT NOW"):
+            assert [(k, text[i:j]) for k, i, j, _ in pii.spans(text) if k == "iban"] == [("iban", shown)]
+        wrong = shown[:2] + f"{(int(shown[2:4]) + 1) % 97:02d}" + shown[4:]
+        assert not [s for s in pii.spans(wrong) if s[0] == "iban"]
+
+
 def test_lexer_propagates_constants():
     text = 'K = "q9X!w7Zk2Lp0"\nother = 5\ndb_password = K\nname = "q9X!w7Zk2Lp1"\nauth_secret: "abc" + "D3f6H9k2"\npassword = "changeme"\n'
     found = {text[i:j] for k, i, j, _ in secrets.spans(text) if k == "pair"}
