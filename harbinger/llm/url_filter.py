@@ -20,8 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 16
-#: Deepest path part that a pattern may name.
-MOST_PARTS = 8
 
 
 def intervals(log: DataFrame) -> DataFrame:
@@ -44,11 +42,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def keys(host: Column, path: Column) -> Column:
-    """Every pattern that covers this host and path."""
+def keys(host: Column, path: Column, most: Column) -> Column:
+    """Every pattern of at most that many path parts that covers this host and path."""
     parts = F.split(host, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    steps = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, MOST_PARTS)
+    steps = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), F.lit(1), most)
     paths = F.when(F.size(steps) == 0, F.array(F.lit(""))).otherwise(
         F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), i), "/"))))
     )
@@ -62,7 +60,8 @@ def judge(captures: DataFrame, log: DataFrame, *, url_col: str = "url", time_col
     url, at = F.col("_url"), F.col("_at")
     once = captures.select(F.col(url_col).alias("_url"), F.col(time_col).alias("_at")).distinct()
     once = once.withColumn("_host", F.coalesce(host_of(url), F.lit("")))
-    looked = once.where("_host <> ''").select("_url", "_at", F.explode(keys(F.col("_host"), path_of(url))).alias("_key"))
+    deepest = log.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("_most"))  # parts of the longest path in the list
+    looked = once.where("_host <> ''").crossJoin(F.broadcast(deepest)).select("_url", "_at", F.explode(keys(F.col("_host"), path_of(url), F.col("_most"))).alias("_key"))
     looked = looked.withColumn("_salt", F.pmod(F.xxhash64("_url", "_at"), F.lit(SALTS)).cast("int"))
     entries = spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hit = (F.col("_key") == F.col("pattern")) & (looked["_salt"] == entries["_salt"]) & (F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (at < F.col("valid_to")))

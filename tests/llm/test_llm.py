@@ -358,6 +358,14 @@ def test_url_list_is_judged_at_fetch_time(spark):
     assert url_filter.judge(spark.createDataFrame([], "url string, fetched int"), log).count() == 0
 
 
+def test_url_list_names_paths_of_any_depth(spark):
+    path = "/".join("abcdefghijkl")
+    captures = spark.createDataFrame([(1, f"http://x.deep.com/{path}/m?q", 5), (2, f"http://deep.com/{path[:-2]}", 5), (3, "http://deep.com/", 5), (4, f"http://deep.com/{path}", 5), (5, f"http://other.com/{path}", 5)], "id long, url string, fetched int")
+    for log, blocked in [([(f"deep.com/{path}", "add", 1)], {1, 4}), ([(f"deep.com/{path[:17]}", "add", 1), ("deep.com/z", "add", 1), (None, "add", 1)], {1, 2, 4}), ([("deep.com", "add", 1)], {1, 2, 3, 4}), ([], set())]:
+        got = url_filter.judge(captures, spark.createDataFrame(log, "pattern string, action string, at int")).collect()
+        assert {r["id"] for r in got if r["verdict"] == "block"} == blocked and len(got) == 5
+
+
 def test_url_query_matches_sql(spark):
     import duckdb
 
