@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import itertools
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,8 +110,10 @@ def with_offsets(rows: DataFrame) -> tuple[DataFrame, dict]:
 MOST_QUEUES = 4096
 
 
-def queue_column(df: DataFrame, source_col: str) -> Column:
-    """A key per source that is never null: 's' and the source, or 'n' for null; hashed past MOST_QUEUES sources."""
+def queue_column(df: DataFrame, source_col: str, own: Iterable[str] = ()) -> Column:
+    """A key per source that is never null: 's' and the source, or 'n' for null; past MOST_QUEUES sources hashed, except
+    for the keys in own."""
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
     few = df.select(key.alias("k")).distinct().limit(MOST_QUEUES + 1).count() <= MOST_QUEUES
-    return key if few else F.concat(F.lit("h"), F.pmod(F.xxhash64(key), F.lit(MOST_QUEUES)).cast("string"))
+    shared = F.concat(F.lit("h"), F.pmod(F.xxhash64(key), F.lit(MOST_QUEUES)).cast("string"))
+    return key if few else F.when(key.isin(*own), key).otherwise(shared)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +84,7 @@ def pieces(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, at: np.ndarray,
     return doc[head], start[head], np.add.reduceat(length, head), seq[head], offset[head]
 
 
-def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str, tokenizer_path: str | None, end_id: int | None) -> DataFrame:
+def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str, tokenizer_path: str | None, end_id: int | None, own: Iterable[str] = ()) -> DataFrame:
     """(doc_id, source, part, queue, before, n, ids) in ascending id order; ids are little-endian 16-bit numbers."""
 
     run = uuid.uuid4().hex
@@ -109,7 +109,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array([part] * n.size, pa.int32()), b.column("queue"), pa.array(before), pa.array(n), data], ["doc_id", "source", "part", "queue", "before", "n", "ids"])
 
     rows = common.texts_of(docs, id_col, text_col, source_col).withColumnRenamed(source_col, "source")
-    rows = rows.withColumn("queue", common.queue_column(rows, "source"))
+    rows = rows.withColumn("queue", common.queue_column(rows, "source", own))
     rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "source", "text")
     return rows.transform(common.map_batches, encode, "doc_id long, source string, part int, queue string, before long, n long, ids binary")
 
@@ -122,10 +122,11 @@ def pack_documents(
 
     targets: weight by source; None takes the documents' own proportions, with which all queues end together.
     A source without a target, or past its weight, is served when the others have ended: nothing is dropped.
+    Past common.MOST_QUEUES sources those without a target share queues, so windows follow the shares of these groups.
     """
-    rows, totals = common.with_offsets(common.table(tokenized(docs, id_col, text_col, source_col, tokenizer, tokenizer_path, end_id), "packing-ids"))
-    names = sorted(totals)
     named = {("n" if s is None else f"s{s}"): w for s, w in targets.items()} if targets else None
+    rows, totals = common.with_offsets(common.table(tokenized(docs, id_col, text_col, source_col, tokenizer, tokenizer_path, end_id, named or ()), "packing-ids"))
+    names = sorted(totals)
     share = weights(totals, named)
     weight, total = np.array([share[q] for q in names], np.int64), np.array([totals[q] for q in names], np.int64)
     tail, number = sequences(int(total.sum()), window), {q: k for k, q in enumerate(names)}

@@ -90,6 +90,13 @@ def test_packing_serves_targets_first(docs):
     assert 2 <= early["s1"] / early["s2"] <= 4 and got.length.sum() == sum(len(ids_of("byte_bpe_50k.json", t, 0)) for _, t in BASE)
 
 
+def test_packing_serves_targets_past_the_most_queues(docs, monkeypatch):
+    monkeypatch.setattr(common, "MOST_QUEUES", 2)
+    got = packing.pack_documents(docs, window=64, quantum=8, targets={"s1": 3.0, "s2": 1.0}).toPandas()
+    early = got[got.sequence_id < 5].groupby("source", dropna=False).length.sum()
+    assert set(early.index) == {"s1", "s2"} and 2 <= early["s1"] / early["s2"] <= 4 and got.length.sum() == sum(len(ids_of("byte_bpe_50k.json", t, 0)) for _, t in BASE)
+
+
 def brute_spans(text, patterns):
     out = sorted((m.start(), k, n, m.end()) for k, (n, p, ok) in enumerate(patterns) for m in re.finditer(p, text or "") if ok(m))
     return hashlib.sha256(",".join(f"{n}:{s}:{e}" for s, _, n, e in out).encode()).hexdigest()
