@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import itertools
+import re
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -18,6 +20,7 @@ BROADCAST_ROWS = 500_000
 BATCH_BYTES = 4 << 20
 _SERIAL = itertools.count()
 _RUN = uuid.uuid4().hex[:12]
+_PLACES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch(spark: SparkSession) -> str:
@@ -32,7 +35,7 @@ def scratch(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df once to the shared folder and returns what was written: cuts lineage and survives lost executors.
 
-    The files go when the application ends.
+    The files go with `discard`, or when the application ends.
     """
     spark = df.sparkSession
     at = f"{scratch(spark)}/{next(_SERIAL)}-{name}"
@@ -40,13 +43,34 @@ def table(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     df.write.option("compression", compression).parquet(at)
     fs.deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    _PLACES[out] = at
+    return out
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _bytes(setting: str | None) -> float:
+    """Of a size as Spark writes it; endless where there is none."""
+    m = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", (setting or "").strip().lower())
+    return int(m[1]) << 10 * "kmgt".find(m[2]) + 10 if m and m[2] else int(m[1]) if m else float("inf")
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that `table` wrote and nothing will read again."""
+    for df in tables:
+        at = _PLACES.pop(df, None) if df is not None else None
+        if at:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
     """mapInArrow with batches bounded in bytes, as rows may be long texts; a worker gives freed memory back when its
-    task ends. The bound is set on the session."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    task ends. The bound is set on the session unless that has a lower one, and stays: plans are made when they run."""
+    if _bytes(df.sparkSession.conf.get(_BATCH, None)) > BATCH_BYTES:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(batches)

@@ -4,46 +4,54 @@ A document's set is its distinct shingles (64-bit hashes of runs of words). Docu
 similarity of their sets is at least num/den. Sizes are cut into bands; a pair belongs to the band of its
 larger set, which bounds its symmetric difference by some d. In a band each shingle flips one bit of a parity
 sketch, so that the Hamming distance of two sketches is at most the symmetric difference of their sets. The
-sketch has d+1 segments; at most d of them can differ, so linked documents agree on at least one whole segment
+sketch has d+1+e segments; at most d of them can differ, so linked documents agree on at least e+1 whole segments
 (pigeonhole). A segment's key is the XOR of the codes of its odd bits, over a bit space too wide for two
-shingles to meet by chance. Documents that share a key are candidates; a second, short sketch of one bit a
-shingle drops those whose Hamming distance is above d; the rest are verified on their texts.
+shingles to meet by chance. Segments without odd bits give no key, as all documents would share it: agreeing
+segments that are empty are empty in both sets, so a set with at most e of them agrees on a key with every set
+linked to it. Sets with more than e empty segments also give the keys of a further sketch with another hash, and so
+on; those that have too many in all LEVELS sketches (next to none, see `spares`) give the empty segments of the
+last one too. Documents that share a key are candidates; a second, short sketch of one bit a shingle drops those
+whose Hamming distance is above d; the rest are verified on their texts.
 
 No group is ever expanded into all its pairs:
 1. documents of equal sets are one class, represented by the smallest id;
 2. in each key, every member is compared with the first member only (a star), and what is verified is joined
    into components;
-3. only keys that still hold several components go on: members of different components are compared by their
-   short sketches, in blocks of bounded size, and those within d are verified: in the first rounds only as many
-   as would join the key's components, in the last round all that still lie in different ones. So every link between different
-   components is found, whatever the group's size, and links inside a component need not be found.
+3. only keys that still hold several components go on, one of those with the same members: members of different
+   components are compared by their short sketches, in blocks of bounded size, and those within d of any other are
+   compared again, there, by their whole sets. What comes out is members, then a forest of links, never pairs. So
+   every link between different components is found, whatever the group's size, and links inside a component need
+   not be found.
 
 Keys travel as binary blocks, not as rows, and are grouped by a streaming merge whose memory follows the
 distinct keys of a partition, not the members of a key.
 
 Null and empty texts have no shingles and link with nothing. A text with fewer words than a shingle is one
-shingle. Rows with a null id count with their text's shingles but link with nothing (component null); rows of
-one id count as one document with the texts' sets each compared under that id. Every row gives one row.
+shingle. Rows with a null id count with their text's shingles but link with nothing (component null). Rows of
+one id are one document that links with whatever one of its texts links with; each row counts its own shingles.
+Every row gives one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harbinger.llm import bytescan, common
 from harbinger.llm.components import components
 
 BAND = 1.5
-#: Entries that a partition holds back before it merges them, and members compared at once.
+#: Sketches, each with a hash of its own, before a set with too many empty segments gives keys of empty ones.
+LEVELS = 4
+#: Entries that a partition holds back before it merges them, and members and shingles of a block that is compared at once.
 MERGE_ENTRIES = 1 << 20
 BLOCK_MEMBERS = 2048
-#: Rounds that compare open keys by a forest of candidates before one compares all that are left.
-FOREST_ROUNDS = 2
+BLOCK_SHINGLES = 1 << 21
 _C1, _C2 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -105,27 +113,67 @@ def spaces(size: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.nd
     return out
 
 
+@cache
+def spares(num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """By band, how many segments a sketch has beyond d+1, and whether it needs keys of empty ones from the start.
+
+    As few spare segments as make the number of empty ones of the band's smallest set, one deviation above its mean,
+    no larger; where the similarity is too low for that, none."""
+    spare, plain = np.zeros(_BANDS.size - 1, np.int64), np.zeros(_BANDS.size - 1, bool)
+    for b in range(_BANDS.size - 1):
+        d, n = int(difference(np.array([b]), num, den)[0]), -(-int(_BANDS[b]) * num // den)
+
+        def enough(e: int) -> bool:
+            parts = d + 1 + e  # noqa: B023
+            if parts == 1:
+                return True
+            one, two = np.exp(n * np.log1p(-1 / parts)), np.exp(n * np.log1p(-2 / parts)) if parts > 2 else 0.0  # noqa: B023
+            mean = parts * one
+            return mean + np.sqrt(max(0.0, mean + parts * (parts - 1) * two - mean * mean)) <= e + 0.5
+
+        if not enough(d + 2):
+            plain[b] = True
+            continue
+        low, high = 0, d + 2
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if enough(mid) else (mid + 1, high)
+        spare[b] = low
+    return spare, plain
+
+
 def segment_keys(h: np.ndarray, own: np.ndarray, size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all segments of all texts and their text numbers; a key's low six bits are its band."""
+    """Keys of the segments of all texts and their text numbers; a key's low six bits are its band."""
     keys, owners = [], []
+    spare, plain = spares(num, den)
     with np.errstate(over="ignore"):
         for rows, band in spaces(size, num, den):
-            parts = np.zeros(size.size, np.int64)
-            parts[rows] = difference(band, num, den) + 1
-            of = np.zeros(size.size, np.uint64)
-            of[rows] = band
-            mine = np.flatnonzero(parts[own] > 0)
-            d = own[mine]
-            code = bytescan.mix(h[mine] ^ (of[d] * _C2))
-            first = np.cumsum(parts) - parts
-            at = first[d] + ((code >> np.uint64(32)) * parts[d].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            word = np.zeros(int(parts.sum()), np.uint64)
-            np.bitwise_xor.at(word, at, bytescan.mix(code + _C1))
-            owner = np.repeat(np.arange(size.size), parts)
-            number = (np.arange(word.size) - first[owner]).astype(np.uint64)
-            key = bytescan.mix(word ^ bytescan.mix(number * _C1 + of[owner] + np.uint64(1)))
-            keys.append(key & ~np.uint64(63) | of[owner] & np.uint64(63))
-            owners.append(owner)
+            for level in range(LEVELS):
+                if not rows.size:
+                    break
+                parts = np.zeros(size.size, np.int64)
+                parts[rows] = difference(band, num, den) + 1 + spare[band]
+                of = np.zeros(size.size, np.uint64)
+                of[rows] = band
+                mine = np.flatnonzero(parts[own] > 0)
+                d = own[mine]
+                code = bytescan.mix(h[mine] ^ ((of[d] + np.uint64(64 * level)) * _C2))
+                first = np.cumsum(parts) - parts
+                at = first[d] + ((code >> np.uint64(32)) * parts[d].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+                word = np.zeros(int(parts.sum()), np.uint64)
+                np.bitwise_xor.at(word, at, bytescan.mix(code + _C1))
+                owner = np.repeat(np.arange(size.size), parts)
+                number = (np.arange(word.size) - first[owner]).astype(np.uint64)
+                key = bytescan.mix(word ^ bytescan.mix(number * _C1 + of[owner] + np.uint64(64 * level + 1)))
+                give = word != 0
+                many = np.bincount(owner[~give], minlength=size.size)[rows] > spare[band]
+                every = np.zeros(size.size, bool)
+                every[rows[plain[band] | many & (level == LEVELS - 1)]] = True
+                give |= every[owner]
+                keys.append(key[give] & ~np.uint64(63) | of[owner[give]] & np.uint64(63))
+                owners.append(owner[give])
+                again = many & ~plain[band]
+                rows, band = rows[again], band[again]
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -311,71 +359,30 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     return both.transform(common.map_batches, run, "a long, b long")
 
 
-def unresolved(live: DataFrame, comps: DataFrame, facts: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """(a, b): members of one key in different components whose short sketches are within d.
-
-    live: (key, lead, member). A key of one component is done; so is one without two members besides its first,
-    as that one was compared with all others. forest: of a key's candidates only as many as would join its
-    components, those of least distance first within a block of rows; a later call without it gives all."""
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    rows = live.join(of("member"), "member", "left").select("key", "lead", F.col("member").alias("doc_id"), F.coalesce("member_component", "member").alias("component"))
-    rows = common.table(rows, "jaccard-members")
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m")).where("m >= 2 and c0 <> c1")
-    open_keys = common.table(open_keys.select("key", "m"), "jaccard-open")
-    members = rows.join(open_keys, "key").select("key", "doc_id", "component", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("parts"))
+def blocks(members: DataFrame) -> DataFrame:
+    """(key, i, j, mine, doc_id, component) of (key, doc_id, component, parts): a key of several blocks is compared block
+    with block, so a member goes to each pair of blocks with its own in it; most keys are one block."""
     mine = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    # A key of several blocks is compared block with block: a member goes to each pair of blocks with its own in it.
     pairs = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = pairs.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component")
-    band = F.col("key").bitwiseAND(F.lit(63)).cast("int")
-    pairs = pairs.join(facts.select("doc_id", "n", "sketches"), "doc_id").select("key", "i", "j", "mine", "doc_id", "component", "n", F.element_at("sketches", band).alias("sketch")).where("sketch is not null")
-    pairs = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        _, i, j = rows[0][:3]
-        mine, ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
-        x = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(len(rows), -1)
-        parent = {c: c for c in comp.tolist()}
+    return pairs.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component")
 
-        def root(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
 
-        left = np.flatnonzero(mine == i)
-        right = np.flatnonzero(mine == j)
-        for lo in range(0, left.size, 64):
-            a = left[lo : lo + 64]
-            ok = (comp[a][:, None] != comp[right][None, :]) & (np.maximum(n[a][:, None], n[right][None, :]) * num <= np.minimum(n[a][:, None], n[right][None, :]) * den)
-            if i == j:
-                ok &= a[:, None] < right[None, :]
-            p, q = np.nonzero(ok)
-            for s in range(0, p.size, 1 << 16):
-                u, v = a[p[s : s + (1 << 16)]], right[q[s : s + (1 << 16)]]
-                apart = _bits(x[u], x[v])
-                near = np.flatnonzero(apart <= (n[u] + n[v]) * (den - num) // (den + num))
-                if forest:
-                    kept = []
-                    for e in near[np.argsort(apart[near], kind="stable")].tolist():
-                        p1, p2 = root(int(comp[u[e]])), root(int(comp[v[e]]))
-                        if p1 != p2:
-                            parent[p1] = p2
-                            kept.append(e)
-                    near = np.array(kept, np.int64)
-                yield np.minimum(ids[u], ids[v])[near], np.maximum(ids[u], ids[v])[near]
+def in_groups(rows: DataFrame, columns: tuple[str, ...], compare: Callable[[list[tuple]], Iterator[tuple[np.ndarray, np.ndarray]]], schema: str) -> DataFrame:
+    """The two columns that `compare` gives for the rows of each (key, i, j)."""
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def emit() -> pa.RecordBatch:
-            a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+            once = np.unique(np.stack([np.concatenate(c) for c in zip(*out, strict=True)]), axis=1)
             out.clear()
-            once = np.unique(np.stack([a, b]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], names)
 
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "mine", "doc_id", "component", "n", "sketch")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", *columns)), strict=True):
                 if group and row[:3] != group[0][:3]:
                     if len(group) > 1:
                         out += compare(group)
@@ -388,7 +395,121 @@ def unresolved(live: DataFrame, comps: DataFrame, facts: DataFrame, num: int, de
         if out:
             yield emit()
 
-    return pairs.transform(common.map_batches, run, "a long, b long").distinct()
+    return rows.transform(common.map_batches, run, schema)
+
+
+def near_members(live: DataFrame, comps: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """(key, doc_id): members of a key whose short sketches are within d of a member of another component.
+
+    live: (key, lead, member). A key of one component is done; so is one without two members besides its first,
+    as that one was compared with all others."""
+    of = comps.select(F.col("node").alias("member"), "component")
+    rows = common.sized_join(live, of, ["member"], of.count(), "left").select("key", F.col("member").alias("doc_id"), F.coalesce("component", "member").alias("component"))
+    rows = common.table(rows, "jaccard-members")
+    open_keys = rows.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("m"), *_same_members()).where("m >= 2 and c0 <> c1")
+    open_keys = common.table(_one_of_each(open_keys, "m").select("key", "m"), "jaccard-open")
+    members = common.sized_join(rows, open_keys, ["key"], open_keys.count()).select("key", "doc_id", "component", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("parts"))
+    pairs = blocks(members).join(facts.select("doc_id", "n", "sketches"), "doc_id").withColumn("sketch", F.element_at("sketches", _band("key"))).drop("sketches").where("sketch is not null")
+
+    def compare(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, i, j = rows[0][:3]
+        mine, ids, comp, n = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
+        x = np.frombuffer(b"".join(r[7] for r in rows), np.uint64).reshape(len(rows), -1)
+        near = np.zeros(ids.size, bool)
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        for lo in range(0, left.size, 64):
+            a = left[lo : lo + 64]
+            ok = (comp[a][:, None] != comp[right][None, :]) & (np.maximum(n[a][:, None], n[right][None, :]) * num <= np.minimum(n[a][:, None], n[right][None, :]) * den)
+            if i == j:
+                ok &= a[:, None] < right[None, :]
+            p, q = np.nonzero(ok)
+            for s in range(0, p.size, 1 << 16):
+                u, v = a[p[s : s + (1 << 16)]], right[q[s : s + (1 << 16)]]
+                hit = _bits(x[u], x[v]) <= (n[u] + n[v]) * (den - num) // (den + num)
+                near[u[hit]] = near[v[hit]] = True
+        yield np.full(int(near.sum()), key, np.int64), ids[near]
+
+    return in_groups(pairs, ("mine", "doc_id", "component", "n", "sketch"), compare, "key long, doc_id long").distinct()
+
+
+def _band(key: str) -> Column:
+    return F.col(key).bitwiseAND(F.lit(63)).cast("int")
+
+
+def _same_members() -> list[Column]:
+    return [F.bit_xor(F.xxhash64(F.lit(seed), "doc_id")).alias(f"x{seed}") for seed in (0, 1)]
+
+
+def _one_of_each(keys: DataFrame, *more: str) -> DataFrame:
+    """Of the keys of one band with the same members one: it says all that the others do."""
+    return keys.groupBy(_band("key").alias("band"), "x0", "x1", *more).agg(F.min("key").alias("key"))
+
+
+def linked_members(near: DataFrame, comps: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): links, found on the whole sets, that join the components of the members of each key; a link between
+    what others have joined already is left out, so a key gives fewer links than it has members.
+
+    A block holds at most BLOCK_MEMBERS members and about BLOCK_SHINGLES shingles."""
+    needed = common.table(near.select("doc_id").distinct(), "jaccard-near")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, h, _, size in _each_pass(batches, k):
+            cuts = np.zeros(size.size + 1, np.int32)
+            np.cumsum(8 * size, out=cuts[1:])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size), pa.BinaryArray.from_buffers(pa.binary(), size.size, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(h.tobytes())])], ["doc_id", "n", "hashes"])
+
+    sets = common.sized_join(docs, needed, ["doc_id"], needed.count()).transform(common.map_batches, whole, "doc_id long, n long, hashes binary").dropDuplicates(["doc_id"])
+    sets = common.table(sets, "jaccard-whole-sets", "lz4")
+    of = comps.select(F.col("node").alias("doc_id"), "component")
+    rows = common.sized_join(near, of, ["doc_id"], of.count(), "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = common.table(rows.join(sets.select("doc_id", "n"), "doc_id"), "jaccard-near-members")
+    keys = _one_of_each(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("words"), *_same_members()), "m", "words")
+    keys = common.table(keys.select("key", F.ceil(F.greatest(F.col("m") / BLOCK_MEMBERS, F.col("words") / BLOCK_SHINGLES)).cast("int").alias("parts")), "jaccard-near-keys")
+    pairs = blocks(common.sized_join(rows, keys, ["key"], keys.count()).select("key", "doc_id", "component", "parts")).join(sets.select("doc_id", "hashes"), "doc_id")
+
+    def compare(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        _, i, j = rows[0][:3]
+        mine, ids, comp = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5))
+        n = np.array([len(r[6]) // 8 for r in rows], np.int64)
+        first = np.cumsum(n) - n
+        once, code = np.unique(np.frombuffer(b"".join(r[6] for r in rows), np.uint64), return_inverse=True)
+        mark = np.zeros(once.size, np.int32)
+        a, b = [], []
+        for u in np.flatnonzero(mine == i).tolist():
+            if i == j:
+                other = np.arange(u + 1, ids.size)
+            else:
+                other = np.flatnonzero(mine == j)
+            other = other[comp[other] != comp[u]]
+            other = other[np.maximum(n[other], n[u]) * num <= np.minimum(n[other], n[u]) * den]
+            if not other.size:
+                continue
+            own = code[first[u] : first[u] + n[u]]
+            mark[own] = 1
+            at = np.repeat(first[other] - (np.cumsum(n[other]) - n[other]), n[other]) + np.arange(n[other].sum())
+            shared = np.add.reduceat(mark[code[at]], np.cumsum(n[other]) - n[other]).astype(np.int64)
+            mark[own] = 0
+            for v in other[den * shared >= num * (n[u] + n[other] - shared)].tolist():
+                if comp[u] != comp[v]:
+                    comp[comp == comp[v]] = comp[u]
+                    a.append(ids[u])
+                    b.append(ids[v])
+        if a:
+            yield np.minimum(a, b), np.maximum(a, b)
+
+    return in_groups(pairs, ("mine", "doc_id", "component", "hashes"), compare, "a long, b long").distinct()
+
+
+def _one_text_an_id(texts: DataFrame, facts: DataFrame) -> DataFrame | None:
+    """(node, doc_id, text) where an id has several sets: each of its texts becomes a node of its own; else None."""
+    one = F.struct(F.coalesce("h1", F.lit(0)), F.coalesce("h2", F.lit(0)), "n")
+    sets = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min(one).alias("x"), F.max(one).alias("y"))
+    several = common.table(sets.where("x <> y").select("doc_id", F.lit(True).alias("several")), "jaccard-several")
+    count = several.count()
+    if not count:
+        return None
+    own = F.bitwise_not(F.abs(F.shiftright(F.xxhash64("doc_id", "text"), 1)))  # below zero, where ids are not
+    return common.sized_join(texts, several, ["doc_id"], count, "left").select(F.when(F.col("several"), own).otherwise(F.col("doc_id")).alias("node"), "doc_id", "text")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -398,28 +519,41 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         raise ValueError("the similarity must be over 1/2 and at most 1")
     texts = common.texts_of(docs, id_col, text_col)
     facts = common.table(set_facts(texts, words, num, den), "jaccard-sets")
-    classes = facts.where("h1 is not null and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    member = common.table(facts.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select("doc_id", "n", "rep"), "jaccard-classes")
-    copies = common.table(member.where("rep is null or doc_id <> rep").select("doc_id").where("doc_id is not null").distinct(), "jaccard-copies")
+    split = _one_text_an_id(texts, facts)
+    ids = None
+    if split is not None:
+        split = common.table(split, "jaccard-split")
+        ids = common.table(split.select("node", "doc_id").where("node <> doc_id").distinct(), "jaccard-nodes")
+        texts = split.select(F.col("node").alias("doc_id"), "text")
+        facts = common.table(set_facts(texts, words, num, den), "jaccard-sets")
+    # Only sets that several rows have need a class; so a set with very many rows is joined with one row of a small side.
+    classes = facts.where("h1 is not null and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    classes = common.table(classes, "jaccard-classes")
+    member = common.sized_join(facts, classes, ["h1", "h2", "n"], classes.count(), "left").select("doc_id", "n", "sketches", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    member = common.table(member, "jaccard-rows")
+    copies = common.table(member.where("doc_id <> rep").select("doc_id").distinct(), "jaccard-copies")
     reps = common.sized_join(texts, copies, ["doc_id"], copies.count(), "left_anti")
-    facts = facts.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    facts = common.table(facts.select("doc_id", "n", "sketches"), "jaccard-sketches")
+    facts = common.table(member.where("doc_id = rep and n > 0").select("doc_id", "n", "sketches").dropDuplicates(["doc_id"]), "jaccard-sketches")
     live = common.table(shared_keys(reps, words, num, den), "jaccard-keys")
-    band = F.col("key").bitwiseAND(F.lit(63)).cast("int").alias("band")
-    stars = live.select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b"), band).distinct()
-    edges = common.table(verified(within_reach(stars, facts, num, den), reps, words, num, den), "jaccard-links")
+    stars = live.select(F.least("lead", "member").alias("a"), F.greatest("lead", "member").alias("b"), _band("key").alias("band")).distinct()
+    edges = verified(within_reach(stars, facts, num, den), reps, words, num, den)
+    if ids is not None:  # the texts of one id are one document
+        own = ids.join(member.select(F.col("doc_id").alias("node"), "rep").distinct(), "node").select("doc_id", "rep")
+        edges = edges.unionByName(own.groupBy("doc_id").agg(F.min("rep").alias("b")).join(own, "doc_id").select(F.col("rep").alias("a"), "b"))
     comps = components(edges)
-    # A few candidates of each open key first; once they join nothing more, or after some rounds, all that are left.
-    for k in range(FOREST_ROUNDS + 1):
-        left = common.table(unresolved(live, comps, facts, num, den, forest=k < FOREST_ROUNDS), "jaccard-left")
-        if left.isEmpty():
-            break
-        more = common.table(verified(left, reps, words, num, den), "jaccard-more-links")
+    near = common.table(near_members(live, comps, facts, num, den), "jaccard-open-members")
+    if not near.isEmpty():
+        more = common.table(linked_members(near, comps, reps, words, num, den), "jaccard-more-links")
         if not more.isEmpty():
-            edges = edges.unionByName(more)
-            comps = components(edges)
-    found = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+            comps = components(more.unionByName(comps.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    found = common.sized_join(member.drop("sketches"), comps.withColumnRenamed("node", "rep"), ["rep"], comps.count(), "left")
+    found = found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    if ids is None:
+        return found
+    # Nodes back to ids, and a component's name to the smallest of them.
+    found = found.withColumnRenamed("doc_id", "node").join(ids, "node", "left").select(F.coalesce("doc_id", "node").alias("doc_id"), "n_shingles", F.col("component_id").alias("c"))
+    least = found.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "c", "left").select("doc_id", "n_shingles", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

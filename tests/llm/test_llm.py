@@ -250,7 +250,7 @@ def brute_groups(rows, k, num, den):
     find = lambda x: x if label[x] == x else find(label[x])
     for i in range(len(rows)):
         for j in range(i):
-            if rows[i][0] is not None and rows[j][0] is not None and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+            if rows[i][0] is not None and (rows[i][0] == rows[j][0] or rows[j][0] is not None and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])):
                 label[find(i)] = find(j)
     least = defaultdict(lambda: 1 << 60)
     for i, (d, _) in enumerate(rows):
@@ -274,6 +274,49 @@ def test_jaccard_join(spark, docs, empty, k, num, den):
     assert ngram_join.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_join_of_several_texts_of_one_id(spark):
+    a, b = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    rows = [(5, a), (5, b), (3, b), (8, a + " more"), (9, None), (9, a.upper()), (4, "z y x w v u t"), (None, a), (None, b), (11, "c d"), (11, ""), (12, "C D")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_groups(rows, 5, 8, 10)
+
+
+def test_keys_of_different_texts_are_not_shared():
+    """Empty segments give no keys, so the largest group of a key does not grow with texts that have nothing in common."""
+    for many in (300, 3000):
+        draw = np.random.default_rng(many)
+        size = draw.integers(1, 60, many)
+        own = np.repeat(np.arange(many), size)
+        keys, _ = ngram_join.segment_keys(draw.integers(1, 1 << 63, own.size).astype(np.uint64), own, size, 8, 10)
+        assert np.unique(keys, return_counts=True)[1].max() <= 2
+
+
+def test_linked_sets_share_a_key():
+    for num, den in ((8, 10), (90, 100), (51, 100)):
+        for n in [*range(1, 40), 200, 1000]:
+            for _ in range(20):
+                x = rng.choice(1 << 40, 2 * n, replace=False).astype(np.uint64)
+                shared = -(-2 * n * num // (den + num))  # of two sets of n, just enough
+                a, b = np.sort(x[:n]), np.sort(x[n - min(n, shared) : 2 * n - min(n, shared)])
+                assert len(np.intersect1d(a, b)) * den >= num * len(np.union1d(a, b))
+                keys, owner = ngram_join.segment_keys(np.concatenate([a, b]), np.repeat([0, 1], n), np.array([n, n]), num, den)
+                assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size
+
+
+def test_near_groups_give_members_not_pairs(spark, monkeypatch):
+    """A large group whose members are just too far apart, some linked, compared in several blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 16)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for c in range(60):
+        own = list(base)
+        for at in rng.choice(24, 2, replace=False):
+            own[5 * int(at)] = f"x{c}"
+        rows.append((c, " ".join(own)))
+    rows.append((60, rows[7][1].replace("w119", "y")))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_groups(rows, 5, 8, 10)
+
+
 def test_without_near_duplicates_keeps_one(docs):
     got = [r["doc_id"] for r in ngram_join.without_near_duplicates(docs).select("doc_id").collect()]
     assert 7 in got and 8 not in got and got.count(None) == 2 and {1, 2, 3} <= set(got)
