@@ -131,13 +131,14 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def digest(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
-    """Counts per base kind, the hash of the base spans and the text of all spans."""
+    """Counts per base kind, the hash of the base spans, the text of all spans, and their scores in the same order, which
+    nearby words (personal data) or names (secrets) have adjusted."""
     from pyspark.sql import functions as F
 
     text = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     own = F.filter("found", lambda s: s["kind"].isin(*base))
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, base), F.sha2(text(own), 256).alias("base_sha256"), text(F.col("found")).alias("spans"))
+    return found.select("doc_id", *map(count, base), F.sha2(text(own), 256).alias("base_sha256"), text(F.col("found")).alias("spans"), F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 4)), ",").alias("scores"))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

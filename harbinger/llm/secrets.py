@@ -1,8 +1,10 @@
 """Secrets in source and configuration text, by assignment-aware lexing.
 
 A lexer reads name-literal pairs in the syntaxes of configuration and source files (name = "x", name: x,
-"name": "x", export NAME=x, name := x, constants joined with +, and names given another name's value).
-Constants are propagated through such names to where they are used. A pair's score comes from how sensitive
+"name": "x", export NAME=x, name := x, name: type = x, values in parentheses, on the next line or in a YAML block,
+constants joined with + or side by side in parentheses, and names given another name's value). Constants are
+propagated through such names to where they are used, before or after they are defined; a name holds what it was
+given last. A pair's score comes from how sensitive
 its target's name is and how random its literal looks; scores of at least MIN_SCORE give spans of kind `pair`.
 Three plain patterns are always reported: assign, access and hex.
 
@@ -40,8 +42,12 @@ SHORTEST = 8
 #: First characters of a literal that are kept to tell placeholders.
 HEAD = 16
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,127}"
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _STRING = {q: re.compile(rf"{q}(?:[^{q}\\\n]++|\\.)*+{q}") for q in "\"'"}
+#: What stands between the colon and the equals sign of a typed name, and the start of a YAML block.
+_TYPE = re.compile(r"[\w\s.\[\]<>,|&?*]{1,120}")
+_STRING_AHEAD = re.compile(r"""\s*\(?\s*[A-Za-z]{0,2}["']""")
+_YAML_BLOCK = re.compile(r"[|>][-+0-9]{0,2}[ \t]*(?=\n)")
 _BARE = re.compile(r"[^\s,;\"'(){}\[\]]*+")
 _TOKEN = re.compile(
     rf"""(?P<quote>["'])|(?P<name>{_NAME})|(?P<op>:=|=>|==|!=|<=|>=|[=:+,;(){{}}\[\]])|(?P<line>\n)|(?P<other>[^\s"'A-Za-z_:=+,;(){{}}\[\]]+)""", re.A
@@ -102,42 +108,99 @@ def tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
                 unclosed[value] = end if end >= 0 else len(text)
 
 
+def yaml_block(text: str, key: int, at: int) -> tuple[int, int]:
+    """The span of the lines after the one that `at` lies in that are deeper than the line of `key`, without the white
+    space around them."""
+    line = text.rfind("\n", 0, key) + 1
+    depth = len(text[line:key]) - len(text[line:key].lstrip(" "))
+    begin = end = text.find("\n", at) + 1
+    while 0 < end < len(text):
+        stop = text.find("\n", end)
+        stop = len(text) if stop < 0 else stop
+        own = text[end:stop]
+        if own.strip() and len(own) - len(own.lstrip(" ")) <= depth:
+            break
+        end = stop + 1
+    whole = text[begin:end]
+    i = begin + len(whole) - len(whole.lstrip())
+    return i, max(i, begin + len(whole.rstrip()))
+
+
 def pairs(text: str) -> list[tuple[str, Literal, int, int]]:
     """Name-literal pairs: target name, literal, and the literal's span; constants stand with the span of their text."""
     out: list[tuple[str, Literal, int, int]] = []
     known: dict[str, tuple[Literal, int, int]] = {}
+    alias: dict[str, str] = {}  # names given a name that is not known yet
+    later: list[tuple[int, str]] = []  # pairs whose value is such a name
     previous: list[tuple[str, str, int, int]] = []  # the last two tokens
     joined: Literal | None = None  # the last pair's literal, once it has parts
-    bare_end = 0
+    typed: tuple[str, int, int] | None = None  # name, end of its colon, and pairs before what follows it
+    bare_end = block_end = 0
+    wrapped = grouped = False  # whether the value may stand on this line, and whether parentheses hold it
 
     def counted(x: Literal, i: int, j: int) -> Literal:
         if x.counts is None:
             x.counts = Counter(text[i:j])
         return x
 
+    def holds(target: str, value: tuple[Literal, int, int] | None, name: str | None = None) -> None:
+        known.pop(target, None)
+        alias.pop(target, None)
+        if value:
+            known[target] = value
+        elif name:
+            alias[target] = name
+
     for kind, value, i, j in tokens(text):
-        if len(previous) == 2 and previous[1][1] in ("=", ":", ":=", "=>") and previous[1][0] == "op" and previous[0][0] in ("name", "string"):
+        if i < block_end or kind == "other" and value == "\\" and text[j : j + 1] == "\n" or kind == "name" and j - i <= 2 and text[j : j + 1] in ('"', "'"):
+            continue  # a line that goes on, or the letters before a string
+        awaited = len(previous) == 2 and previous[1][0] == "op" and previous[1][1] in ("=", ":", ":=", "=>") and previous[0][0] in ("name", "string")
+        if kind == "line":
+            wrapped = wrapped or awaited
+            if not (awaited or grouped):
+                previous = []
+            continue
+        if kind == "op" and value == "(" and awaited:
+            grouped = wrapped = True
+            continue
+        if kind == "op" and value == "=" and typed and _STRING_AHEAD.match(text, j) and _TYPE.fullmatch(text, typed[1], i):
+            if len(out) == typed[2] + 1:
+                out.pop()
+            later = later[:-1] if later and later[-1][0] == len(out) else later
+            previous, wrapped = [("name", typed[0], i, i), (kind, value, i, j)], False
+            continue
+        if wrapped and not grouped and kind != "string" and "\n" in text[previous[-1][3] if previous else i : i]:
+            awaited, previous = False, []
+        wrapped = False
+        if awaited:
             target = previous[0][1]
+            typed = (target, previous[1][3], len(out)) if previous[1][1] == ":" and previous[0][0] == "name" else None
             pending: tuple[Literal, int, int] | None = None
+            name, whole = None, False
             if kind == "string":
                 pending = (Literal(text, i, j), i, j)
+            elif kind == "other" and previous[1][1] == ":" and _YAML_BLOCK.match(text, i):
+                start, block_end = yaml_block(text, previous[0][2], i)
+                pending = (Literal(text, start, block_end), start, block_end)
             elif kind in ("name", "other"):
                 if i >= bare_end:  # values within a bare value end where it ends
                     bare_end = _BARE.match(text, i).end()
                 whole = bare_end == i + len(value)
-                if kind == "name" and whole and value in known:
-                    pending = known[value]
-                else:
-                    end = max(i, bare_end)
-                    pending = (Literal(text, i, end), i, end)
+                name = value if kind == "name" and whole else None
+                end = max(i, bare_end)
+                pending = known.get(name) or (Literal(text, i, end), i, end)
             if pending:
+                if name and name not in known:
+                    later.append((len(out), name))
+                    holds(target, None, name)
+                else:
+                    holds(target, None if kind == "other" and whole else pending)
                 out.append((target, *pending))
                 joined = None
-                if kind == "string" or not whole or value in known:
-                    known[target] = pending
-        elif len(previous) == 2 and previous[1][1] == "+" and previous[1][0] == "op" and out and kind in ("string", "name"):
+        elif out and len(previous) == 2 and previous[1][1] == "+" and previous[1][0] == "op" and kind in ("string", "name") or out and grouped and kind == "string" and previous and previous[-1][0] == "string":
             part = (Literal(text, i, j), i, j) if kind == "string" else known.get(value)
-            if out[-1][3] + 4 >= previous[1][2] and part and part[0].n:
+            near = out[-1][3] + 4 >= (previous[1][2] if previous[-1][0] == "op" else i) or grouped and not text[out[-1][3] + 1 : i].strip(" \t\r\n+\"'")
+            if near and part and part[0].n:
                 target, have, start, end = out[-1]
                 counted(*part)
                 if joined is None:  # a literal of its own, as other names may stand for the first
@@ -145,11 +208,19 @@ def pairs(text: str) -> list[tuple[str, Literal, int, int]]:
                     joined.counts = Counter(counted(have, start, end).counts)
                 joined.add(part[0])
                 out[-1] = (target, joined, start, j)
-                known[target] = out[-1][1:]
-        if kind == "line":
-            previous = []
-        else:
-            previous = [*previous[-1:], (kind, value, i, j)]
+                holds(target, out[-1][1:])
+        if kind == "op" and value == ")":
+            grouped = False
+        previous = [*previous[-1:], (kind, value, i, j)]
+    for k, name in later:
+        seen = set()
+        while name in alias and name not in seen:
+            seen.add(name)
+            name = alias[name]
+        if name in known:
+            out[k] = (out[k][0], *known[name])
+            for n in seen:
+                holds(n, known[name])
     return out
 
 

@@ -143,6 +143,18 @@ def test_lexer_propagates_constants():
     assert "q9X!w7Zk2Lp0" not in secrets.redact(text) and 'name = "q9X!w7Zk2Lp1"' in secrets.redact(text)
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ('password: str = "q9X!w7Zk2Lp0"', ["q9X!w7Zk2Lp0"]), ("const apiToken: string | null = 'q9X!w7Zk2Lp0';", ["q9X!w7Zk2Lp0"]), ('val dbSecret: Optional[str] = "q9X!w7Zk2Lp0"', ["q9X!w7Zk2Lp0"]), ('let passphrase: &str = "q9X!w7Zk2Lp0";', ["q9X!w7Zk2Lp0"]),
+    ('db_password =\n    "q9X!w7Zk2Lp0"\n', ["q9X!w7Zk2Lp0"]), ('db_password = \\\n  "q9X!w7Zk2Lp0"\n', ["q9X!w7Zk2Lp0"]), ('db_password = ("q9X!w7Zk2Lp0")', ["q9X!w7Zk2Lp0"]), ('db_password = (\n  "q9X!w7"\n  "Zk2Lp0"\n)\nname = "b7Yp3QmZx5Tn"', ['q9X!w7"\n  "Zk2Lp0']),
+    ("a:\n  private_key: |\n    q9X!w7Zk2Lp0\n    Ab3dEf6hIj9l\n  user: q9X!w7Zk2Lp1\n", ["q9X!w7Zk2Lp0\n    Ab3dEf6hIj9l"]), ("client_secret: >-\n  q9X!w7Zk2Lp0", ["q9X!w7Zk2Lp0"]), ("client_secret: |\nname: q9X!w7Zk2Lp0", []),
+    ('K = "q9X!w7Zk2Lp0"\nK = 5\npassword = K\n', []), ('K = "q9X!w7Zk2Lp0"\nK = "b7Yp3QmZx5Tn"\npassword = K\n', ["b7Yp3QmZx5Tn"]), ('password = K\nK = "q9X!w7Zk2Lp0"\n', ["q9X!w7Zk2Lp0"]), ('password = A\nA = B\nB = "q9X!w7Zk2Lp0"\n', ["q9X!w7Zk2Lp0"]), ("password = A\nA = B\nB = A\n", []),
+    ('password =\nname = "q9X!w7Zk2Lp0"\n', []), ('password = b"q9X!w7Zk2Lp0"', ["q9X!w7Zk2Lp0"]), ('password:str="q9X!w7Zk2Lp0"', ["q9X!w7Zk2Lp0"]), ("x" * 300 + '_password = "q9X!w7Zk2Lp0"', ["q9X!w7Zk2Lp0"]),
+])
+def test_lexer_reads_common_syntax(text, found):
+    assert [text[i:j] for k, i, j, _ in secrets.spans(text) if k == "pair"] == found
+    assert not any(part in secrets.redact(text) for x in found for part in re.findall("[A-Za-z0-9!]{6,}", x))
+
+
 def test_literals_are_read_to_their_end():
     key = "".join(rng.choice(list("abcXYZ0189+/"), 6000))
     for text, secret in [(f'private_key = "{key}"\n', key), (f"auth_secret: {key}\nx", key), (f'a = "{key}"\nmy_passphrase = a', key), (f'db_credential = "{key[:4000]}" + "{key[4000:]}";', f'{key[:4000]}" + "{key[4000:]}')]:
