@@ -7,7 +7,9 @@ the left half of the shards gets, until every shard has its own exact quotas. A
 blocks of every pass; shard after shard takes the next ranks, so the shards' draws are disjoint and a source's
 quotas are met exactly. Inside a shard, a key per draw gives a local order.
 
-Everything but the quotas (one number per source and shard, both bounded) is computed where the documents are.
+Everything but the quotas is computed where the documents are. They are one number per source and shard, at most
+MOST_QUOTAS in all with more than one shard, so many sources get fewer shards; sources themselves, one row each,
+must fit the driver.
 
 A document's size is its number of words; null texts have none. Null is a source of its own, last. Rows of
 equal id are documents of their own. Documents without words are never taken. Empty tables give no rows.
@@ -19,6 +21,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,7 @@ BLOCK_WORDS = 256
 MOST_BLOCKS = 4 * 10**8
 SHARD_WORDS = 1 << 22
 MOST_SHARDS = 1024
+MOST_QUOTAS = 1 << 22
 #: Words that one task orders when a mix is written; a larger shard is ordered in parts.
 PART_WORDS = 1 << 20
 
@@ -118,7 +122,8 @@ def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Mapping[str | None, float] | None = None, most_repeats: int = MOST_REPEATS, shards: int | None = None, seed: int = 7
 ) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, taken, and `draws`: the word ranges that the mix takes,
-    each with its pass, shard and key of the order inside the shard.
+    each with its pass, shard, key of the order inside the shard, and block of the source. What the tree's leaves give no shard is
+    not taken.
 
     weights: by source; None gives the sources, in code-point order with null last, the weights 5, 2, 1, repeating.
     """
@@ -138,11 +143,11 @@ def mix(
         rest = round(max(0.0, target[q] - whole * sizes[q]) / step[q])
         quota[q] = min(whole * blocks[q] + rest, most_repeats * blocks[q])
     if shards is None:
-        shards = max(1, min(MOST_SHARDS, total // SHARD_WORDS))
+        shards = max(1, min(MOST_SHARDS, total // SHARD_WORDS, MOST_QUOTAS // max(1, len(names))))
     leaves = split_quotas(np.array([quota[q] for q in names], np.int64), shards, seed) if names else np.zeros((1, 0), np.int64)
     ends = {q: np.cumsum(leaves[:, k]) for k, q in enumerate(names)}
     number = {q: k for k, q in enumerate(names)}
-    span = pa.struct([("pass", pa.int32()), ("shard", pa.int32()), ("rank", pa.int64()), ("first", pa.int64()), ("words", pa.int64())])
+    span = pa.struct([("pass", pa.int32()), ("shard", pa.int32()), ("rank", pa.int64()), ("first", pa.int64()), ("words", pa.int64()), ("block", pa.int64())])
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -162,24 +167,25 @@ def mix(
                     mine, q = np.flatnonzero(which == k), names[k]
                     for p in range(-(-quota[q] // blocks[q])):
                         rank = p * blocks[q] + permuted(block[mine], blocks[q], (seed * 1000003 + k) * 8 + p)
-                        chosen = rank < quota[q]
+                        shard = np.searchsorted(ends[q], rank, "right")
+                        chosen = shard < shards
                         at = mine[chosen]
-                        got.append((doc[at], np.full(at.size, p), np.searchsorted(ends[q], rank[chosen], "right"), rank[chosen] * len(names) + k, begin[at], words[at]))
-                d, p, shard, rank, begin, words = (np.concatenate(c) for c in zip(*got, strict=True)) if got else [np.empty(0, np.int64)] * 6
+                        got.append((doc[at], np.full(at.size, p), shard[chosen], rank[chosen] * len(names) + k, begin[at], words[at], block[at]))
+                d, p, shard, rank, begin, words, number_of = (np.concatenate(c) for c in zip(*got, strict=True)) if got else [np.empty(0, np.int64)] * 7
                 order = np.lexsort((begin, p, d))
-                d, p, shard, rank, begin, words = (c[order] for c in (d, p, shard, rank, begin, words))
+                d, p, shard, rank, begin, words, number_of = (c[order] for c in (d, p, shard, rank, begin, words, number_of))
                 with np.errstate(over="ignore"):
                     key = (bytescan.mix(rank.astype(np.uint64) + np.uint64(seed)) >> np.uint64(1)).astype(np.int64)
                 taken = np.bincount(d, words, minlength=n.size).astype(np.int64)
                 cuts = np.zeros(n.size + 1, np.int32)
                 np.cumsum(np.bincount(d, minlength=n.size), out=cuts[1:])
-                values = pa.StructArray.from_arrays([pa.array(p, pa.int32()), pa.array(shard, pa.int32()), pa.array(key), pa.array(begin, pa.int64()), pa.array(words, pa.int64())], fields=list(span))
+                values = pa.StructArray.from_arrays([pa.array(p, pa.int32()), pa.array(shard, pa.int32()), pa.array(key), pa.array(begin, pa.int64()), pa.array(words, pa.int64()), pa.array(number_of, pa.int64())], fields=list(span))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id"), b.column("source"), pa.array(n), pa.array([sizes[q] for q in queues], pa.int64()), pa.array([target[q] for q in queues], pa.float64()), pa.array(taken), pa.ListArray.from_arrays(pa.array(cuts), values)],
                     ["doc_id", "source", "size", "source_size", "target", "taken", "draws"],
                 )
 
-    schema = "doc_id long, source string, size long, source_size long, target double, taken long, draws array<struct<pass:int,shard:int,rank:long,first:long,words:long>>"
+    schema = "doc_id long, source string, size long, source_size long, target double, taken long, draws array<struct<pass:int,shard:int,rank:long,first:long,words:long,block:long>>"
     return rows.select("doc_id", "source", "queue", "n", "base").transform(common.map_batches, draw, schema)
 
 
@@ -191,7 +197,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     is dealt to tasks by ranges of that order, which are even as its keys are hashes. Columns of any names stay.
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    plan = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_n"), "draws")
+    source_col = options.get("source_col", "source")
+    plan = mix(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_n")).agg(F.min("draws").alias("draws"))
     plan = common.table(plan, "mixing-draws")
     facts = plan.select(F.explode("draws").alias("d")).agg(F.sum("d.words").alias("words"), F.max("d.shard").alias("shard")).first()
     parts = -(-(facts["words"] or 0) // (PART_WORDS * ((facts["shard"] or 0) + 1))) or 1
@@ -200,35 +207,38 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.to_pylist()
-            out = []
-            for row in rows:
-                draws = row.pop(draws_col)
-                text = row[text_col] or ""
-                data = np.frombuffer(text.encode(), np.uint8)
-                start, end, _ = bytescan.words(data, np.array([0, data.size]))
-                for p in sorted({d["pass"] for d in draws}):
-                    mine = [d for d in draws if d["pass"] == p]
-                    if sum(d["words"] for d in mine) == start.size:
-                        new = text
-                    else:
-                        runs: list[list[int]] = []
-                        for d in mine:
-                            if runs and runs[-1][1] == d["first"]:
-                                runs[-1][1] += d["words"]
-                            else:
-                                runs.append([d["first"], d["first"] + d["words"]])
-                        new = "\n".join(bytes(data[start[i] : end[j - 1]]).decode() for i, j in runs)
-                    out.append(row | {text_col: new, shard_col: mine[0]["shard"], rank_col: mine[0]["rank"]} | ({"n_chars": len(new)} if "n_chars" in row else {}))
-            if out:
-                schema = pa.schema([f for f in b.schema if f.name != draws_col] + [(shard_col, pa.int32()), (rank_col, pa.int64())])
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+            draws, text = b.column(draws_col), b.column(text_col)
+            count = np.diff(draws.offsets.to_numpy())
+            p, shard, rank, first, words = (draws.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
+            row = np.repeat(np.arange(b.num_rows), count)
+            if not row.size:
+                continue
+            data, offsets = bytescan.raw(text)
+            start, end, doc = bytescan.words(data, offsets)
+            size = np.bincount(doc, minlength=b.num_rows)
+            own = np.cumsum(size) - size
+            head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (p[1:] != p[:-1])))  # draws stand by pass
+            new: list[str] = []
+            for k, (i, j) in enumerate(zip(head.tolist(), [*head[1:].tolist(), row.size], strict=True)):
+                r = row[i]
+                if words[i:j].sum() == size[r]:
+                    new.append(text[int(r)].as_py() or "")
+                    continue
+                run = np.flatnonzero(np.append(True, first[i + 1 : j] != first[i : j - 1] + words[i : j - 1])) + i  # runs of words that follow each other
+                last = np.append(run[1:], j) - 1
+                new.append("\n".join(bytes(data[start[own[r] + first[x]] : end[own[r] + first[y] + words[y] - 1]]).decode() for x, y in zip(run.tolist(), last.tolist(), strict=True)))
+            take = pa.array(row[head])
+            columns = {c: b.column(c).take(take) for c in b.schema.names if c != draws_col}
+            columns[text_col] = pa.array(new, b.schema.field(text_col).type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pc.utf8_length(columns[text_col]).cast(b.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(shard[head], pa.int32()), pa.array(rank[head])], [*columns, shard_col, rank_col])
 
     from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-    # Rows of one id and size take the same draws.
-    same = F.col(f"doc.{id_col}").cast("long").eqNullSafe(F.col("mix._mix_id")) & (word_count(F.col(f"doc.{text_col}")) == F.col("mix._mix_n"))
-    joined = docs.alias("doc").join(plan.dropDuplicates(["_mix_id", "_mix_n"]).alias("mix"), same).select("doc.*", F.col("mix.draws").alias(draws_col))
+    # Rows of one id, source and size take the same draws, the least of theirs.
+    same = F.col(f"doc.{id_col}").cast("long").eqNullSafe(F.col("mix._mix_id")) & F.col(f"doc.{source_col}").cast("string").eqNullSafe(F.col("mix._mix_source")) & (word_count(F.col(f"doc.{text_col}")) == F.col("mix._mix_n"))
+    joined = docs.alias("doc").join(plan.alias("mix"), same).select("doc.*", F.col("mix.draws").alias(draws_col))
     schema = StructType([*docs.schema.fields, StructField(shard_col, IntegerType()), StructField(rank_col, LongType())])
     rows = joined.transform(common.map_batches, cut, schema)
     part = F.shiftright(F.shiftright(rank_col, 40) * F.lit(parts).cast("long"), 23)  # of the 63-bit key, the top 23 bits
@@ -236,5 +246,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    """Mixes all documents with weights 5, 2, 1 by source."""
-    return mix(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """Mixes all documents with weights 5, 2, 1 by source. Further columns: source, the shards that draw from the document,
+    and its draws as pass:shard:block:first:words."""
+    rows = mix(common.documents(spark, sf_dir))
+    draws = F.transform("draws", lambda d: F.concat_ws(":", *[d[c].cast("string") for c in ("pass", "shard", "block", "first", "words")]))
+    shards = F.array_join(F.transform(F.array_sort(F.array_distinct(F.transform("draws", lambda d: d["shard"]))), lambda x: x.cast("string")), ",")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", shards.alias("shards"), F.array_join(draws, ",").alias("draws"))

@@ -2,11 +2,12 @@
 
 Each source is a queue of tokens in document order. Deficit round-robin serves the queues in quanta: a source
 earns credit in proportion to its target and is served as soon as it has earned half a quantum more than it
-was given, so at every window's end each source is within one quantum of its target and what it lacks is
-carried into the next window, whatever partition that lies in. The schedule has a closed form: quantum i of
-source s falls due at time (2i+1)/w_s, ties in source order, and its place in the stream is the sum over all
-sources of the quanta due before it. So every partition places its own documents knowing only each queue's
-total and where its rows start in their queues.
+was given; what it lacks is carried into the next window, whatever partition that lies in. So as long as no queue
+has ended, each of n sources with share p stands within (1 + n p) / 2 quanta of its target at every place of the
+stream: half a quantum by its own rounding, and its share of the others' halves. The schedule has a closed form:
+quantum i of source s falls due at time (2i+1)/w_s, ties in source order, and its place in the stream is the sum
+over all sources of the quanta due before it. So every partition places its own documents knowing only each
+queue's total and where its rows start in their queues. A queue that ends early leaves its share to the others.
 
 Full windows need no padding; the rest of the stream is cut into sequences whose lengths are powers of two.
 Null texts are empty and hold the end id only; null is a source of its own; rows of equal id are documents of
@@ -29,6 +30,9 @@ from harbinger.llm import common, tokens
 
 #: Weights are rounded to this many parts, so that the schedule's products stay within 63 bits.
 PARTS = 1 << 20
+CYCLE = (5.0, 2.0, 1.0)
+#: Quanta times queues that are placed at once.
+PLACED = 1 << 18
 
 
 def weights(totals: dict[str, int], targets: dict[str, float] | None = None) -> dict[str, int]:
@@ -41,11 +45,12 @@ def weights(totals: dict[str, int], targets: dict[str, float] | None = None) ->
 def places(queue: int, quanta: np.ndarray, weight: np.ndarray, total: np.ndarray, quantum: int) -> np.ndarray:
     """Where in the stream each of a queue's quanta starts."""
     out = np.minimum(total[queue], quanta * quantum)
-    due = 2 * quanta + 1
-    for s in range(weight.size):
-        if s != queue:
-            last = (due * weight[s] - (s > queue)) // weight[queue]
-            out = out + np.minimum(total[s], (last + 1) // 2 * quantum)
+    after = (np.arange(weight.size) > queue).astype(np.int64)
+    step = max(1, PLACED // weight.size)
+    for lo in range(0, quanta.size, step):
+        due = 2 * quanta[lo : lo + step, None] + 1
+        served = np.minimum(total, ((due * weight - after) // weight[queue] + 1) // 2 * quantum)
+        out[lo : lo + step] += served.sum(axis=1) - served[:, queue]
     return out
 
 
@@ -115,7 +120,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, source_col: str, toke
 
 
 def pack_documents(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str, float] | None = None, window: int = 1024, quantum: int = 64,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", targets: dict[str | None, float] | None = None, window: int = 1024, quantum: int = 64,
     tokenizer: str = "byte_bpe_50k.json", tokenizer_path: str | None = None, end_id: int | None = 0,
 ) -> DataFrame:
     """A row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
@@ -163,6 +168,15 @@ def pack_documents(
     )
 
 
+def cycle_targets(docs: DataFrame, source_col: str = "source") -> dict[str | None, float] | None:
+    """Weights 5, 2, 1, repeating, by source; None, the corpus's own proportions, past common.MOST_QUEUES sources, as those share queues."""
+    names = [r[0] for r in docs.select(F.col(source_col).cast("string")).distinct().limit(common.MOST_QUEUES + 1).collect()]
+    if len(names) > common.MOST_QUEUES:
+        return None
+    return {s: CYCLE[k % len(CYCLE)] for k, s in enumerate(sorted(names, key=lambda s: (s is None, s or "")))}
+
+
 def op8_packing(spark, sf_dir: str) -> DataFrame:
-    """Packs all documents into windows of 1024 tokens in the corpus's own proportions."""
-    return pack_documents(common.documents(spark, sf_dir))
+    """Packs all documents into windows of 1024 tokens, sources in code-point order, null last, weighing 5, 2, 1, repeating."""
+    docs = common.documents(spark, sf_dir)
+    return pack_documents(docs, targets=cycle_targets(docs))
