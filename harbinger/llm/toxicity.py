@@ -1,20 +1,21 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word (a run of letters, in lower case) enters the network as word and character inputs: the log-odds of the
-word, and the largest, mean and least log-odds of its runs of 4 and 5 bytes, all by hashed tables counted over
-the training documents. Two GRUs read windows of WINDOW words, one in each direction; attention weighs their
+A word (a run of letters and digits with a letter in it, in lower case) enters the network as word and character inputs, from hashed slots: an embedding of the word and the mean embedding
+of its runs of 4 and 5 bytes, both learned with the network, and beside them counted log-odds of the word and the
+largest, mean and least of its runs, which hold what is too rare to be learned. Two GRUs read windows of WINDOW words, one in each direction; attention weighs their
 states; a logistic unit gives the window's score. Windows overlap by half, all of them are scored, and a
 document's score is that of its worst window.
 
 Training sees at most SAMPLE documents of each label, those of least hash, so its cost and memory are bounded;
 scoring covers every window of every whole text and needs no shuffle. A document's label holds for its worst
 window only (multiple-instance learning): each epoch trains on the window that scores highest now, which for
-clean documents is the hardest one. Then the bias is lowered where more than CLEAN_FLAGGED of the sample's clean
-documents would reach THRESHOLD, as happens with few labels.
+clean documents is the hardest one, of CANDIDATES windows with the hottest words of each document. Then the bias is
+lowered where more than CLEAN_FLAGGED of the sample's clean documents would reach THRESHOLD, read either through
+tables that did not count them or through those that score, as happens with few labels.
 
 Texts without letters, null ones too, score 0. Without labelled documents of both kinds every score is 0.
 Label rows with nulls or of unknown documents are ignored; a document labelled several times counts as toxic
-if any label says so. Every row gives one row.
+if any label says so. Of several texts of one id the least is learned from. Every row gives one row.
 """
 
 from __future__ import annotations
@@ -30,7 +31,11 @@ from pyspark.sql import functions as F
 from harbinger.llm import bytescan, common
 
 WINDOW, STRIDE = 32, 16
-HIDDEN, ATTENTION, INPUTS = 8, 8, 8
+HIDDEN, ATTENTION = 8, 8
+#: Inputs of a word: counted ones, and the learned embeddings of the word and of its runs.
+COUNTED, EMBED = 8, 4
+INPUTS = COUNTED + 2 * EMBED
+EMBED_BITS, DECAY = 14, 0.01
 #: Labelled documents of each label that training reads at most, and windows of each that it may choose from.
 SAMPLE, CANDIDATES = 2500, 6
 WORD_BITS, GRAM_BITS = 17, 18
@@ -49,8 +54,11 @@ def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         after = np.flatnonzero(low[:-1] == 0xC3) + 1
         capital = after[(low[after] >= 0x80) & (low[after] <= 0x9E) & (low[after] != 0x97)]
         low[capital] += 0x20
-    blank = np.where(((low >= 97) & (low <= 122)) | (low >= 0x80), low, np.uint8(32))
-    return low, *bytescan.words(blank, offsets)
+    letter = ((low >= 97) & (low <= 122)) | (low >= 0x80)
+    start, end, doc = bytescan.words(np.where(letter | ((low >= 48) & (low <= 57)), low, np.uint8(32)), offsets)
+    sums = np.concatenate([[0], np.cumsum(letter)])
+    some = sums[end] > sums[start]
+    return low, start[some], end[some], doc[some]
 
 
 def distinct(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +92,11 @@ class Model:
 
     def inputs(self, low: np.ndarray, once: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Word and character inputs of distinct words."""
-        x = np.zeros((once.size, INPUTS), np.float32)
+        x = self.counted(low, once, start, end)
+        return np.concatenate([x, embedded(self.p, *slots(low, once, start, end))], axis=1)
+
+    def counted(self, low: np.ndarray, once: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        x = np.zeros((once.size, COUNTED), np.float32)
         x[:, 0] = self.words[(once >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
         for k, size in enumerate((4, 5)):
             slot, word = grams(low, start, end, size)
@@ -98,6 +110,27 @@ class Model:
         return x
 
 
+def slots(low: np.ndarray, once: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of distinct words: the embedding slot of each, and the slots of its runs of bytes, word by word, with their number."""
+    parts = [grams(low, start, end, size) for size in (4, 5)]
+    slot, word = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(word, kind="stable")
+    return (once >> np.uint64(64 - EMBED_BITS)).astype(np.int64), slot[order] >> (GRAM_BITS - EMBED_BITS), np.bincount(word, minlength=once.size)
+
+
+def embedded(p: dict, word: np.ndarray, run: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The learned inputs of words with such slots."""
+    if not word.size:
+        return np.zeros((0, 2 * EMBED), np.float32)
+    return np.concatenate([p["ew"][word], np.add.reduceat(p["eg"][run], np.cumsum(n) - n) / n[:, None].astype(np.float32)], axis=1)
+
+
+def scattered(d: np.ndarray, word: np.ndarray, run: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the embedding tables from those of the learned inputs of words."""
+    of = lambda at, x: np.stack([np.bincount(at, x[:, k], 1 << EMBED_BITS) for k in range(EMBED)], axis=1).astype(np.float32)
+    return of(word, d[:, :EMBED]), of(run, np.repeat(d[:, EMBED:] / n[:, None], n, axis=0))
+
+
 def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts with so many words: text number, first word within all words, and length of each window."""
     n = np.where(count > 0, np.maximum(1, -(-(count - STRIDE) // STRIDE)), 0)
@@ -150,9 +183,9 @@ def project(p: dict, x: np.ndarray) -> list[np.ndarray]:
 
 
 def gradients(p: dict, x: np.ndarray, live: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the weighted logistic loss; x: (time, window, INPUTS)."""
+    """Of the weighted logistic loss, by parameter and, as x, by input (time, window, INPUTS)."""
     logit, s = forward(p, project(p, x), live, keep=True)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
+    g = {k: np.zeros_like(v) for k, v in p.items() if k not in ("ew", "eg")} | {"x": np.zeros_like(x)}
     d = (_sigmoid(logit) - y) * weight / y.size
     g["wo"], g["bo"][0] = s["pooled"].T @ d, d.sum()
     dp = np.outer(d, p["wo"])
@@ -176,10 +209,10 @@ def gradients(p: dict, x: np.ndarray, live: np.ndarray, y: np.ndarray, weight: n
             dx = np.concatenate([dz, dr, dc], axis=1)
             dg = np.concatenate([dz, dr, dc * r], axis=1)
             g[f"w{way}"] += x[t].T @ dx
+            g["x"][t] += dx @ w.T
             g[f"b{way}"] += dx.sum(axis=0)
             g[f"u{way}"] += h.T @ dg
             carry = np.where(on, own * z, whole) + dg @ u.T
-        del w
     return g
 
 
@@ -224,6 +257,7 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 11) -> Model | None:
     p = {"wa": size(2 * HIDDEN, ATTENTION), "va": size(ATTENTION), "wo": size(2 * HIDDEN), "bo": np.full(1, -2, np.float32)}
     for way in "fb":
         p |= {f"w{way}": 0.5 * size(INPUTS, 3 * HIDDEN), f"u{way}": 0.5 * size(HIDDEN, 3 * HIDDEN), f"b{way}": np.zeros(3 * HIDDEN, np.float32)}
+    p |= {e: np.zeros((1 << EMBED_BITS, EMBED), np.float32) for e in ("ew", "eg")}  # slots that training does not meet say nothing
     model = Model(*_tables(texts, y), p)
     # Training reads tables of the other half: a document's own words must not give its label away.
     half = np.zeros(y.size, np.int64)
@@ -231,15 +265,17 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 11) -> Model | None:
         mine = np.flatnonzero(y == label)
         half[mine[rng.permutation(mine.size)[: mine.size // 2]]] = 1
     crossed = [Model(*_tables(texts.filter(pa.array(half != k)), y[half != k]), p) for k in (0, 1)]
-    held, owner, sizes = [], [], []
+    held, owner, sizes, number, known, words = [], [], [], [], [], 0
     data, offsets = bytescan.raw(texts)
     for lo, hi in bytescan.passes(offsets):
         low, start, end, doc = letters(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         if not start.size:
             continue
         once, back, s, e = distinct(low, start, end)
-        x = np.concatenate([c.inputs(low, once, s, e) for c in crossed])
-        back = back + once.size * half[lo:hi][doc]
+        x = np.concatenate([c.counted(low, once, s, e) for c in crossed])
+        known.append(slots(low, once, s, e))
+        plain, back = back + words, back + once.size * half[lo:hi][doc]
+        words += once.size
         text, first, length = windows(np.bincount(doc, minlength=hi - lo))
         top = np.append(np.maximum(x[:, 0], x[:, 1])[back], np.full(WINDOW, -99, np.float32))
         heat = np.max(top[first[:, None] + np.arange(WINDOW)] + np.where(np.arange(WINDOW) < length[:, None], 0, -99), axis=1)
@@ -248,37 +284,55 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 11) -> Model | None:
         order = order[rank < CANDIDATES]
         at = np.minimum(first[order][:, None] + np.arange(WINDOW), back.size - 1)
         held.append(x[back[at]])
+        number.append(plain[at])
         owner.append(text[order] + lo)
         sizes.append(length[order])
     if not held:
         return None
-    x, owner, sizes = np.concatenate(held), np.concatenate(owner), np.concatenate(sizes)
+    x, owner, sizes, number = np.concatenate(held), np.concatenate(owner), np.concatenate(sizes), np.concatenate(number).T
+    word, run, n_runs = (np.concatenate(c) for c in zip(*known, strict=True))
+    first_run = np.cumsum(n_runs) - n_runs
     spread = x[np.arange(WINDOW)[None, :] < sizes[:, None]].std(axis=0) + 1e-3
     x = np.ascontiguousarray(x.transpose(1, 0, 2))
     live = np.arange(WINDOW)[:, None] < sizes[None, :]
     for way in "fb":
-        p[f"w{way}"] /= np.maximum(1, spread)[:, None].astype(np.float32)
+        p[f"w{way}"][:COUNTED] /= np.maximum(1, spread)[:, None].astype(np.float32)
     docs, first = np.unique(owner, return_index=True)
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     label = y[docs].astype(np.float32)
     batches = max(1, docs.size // min(BATCH, max(16, docs.size // 16)))
     epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+
+    def whole(own: slice | np.ndarray, learned: np.ndarray) -> np.ndarray:
+        return np.concatenate([x[:, own], learned[number[:, own]]], axis=2)
+
     for epoch in range(epochs):
-        score = np.concatenate([forward(p, project(p, x[:, k : k + CHUNK]), live[:, k : k + CHUNK])[0] for k in range(0, owner.size, CHUNK)])
+        learned = embedded(p, word, run, n_runs)
+        score = np.concatenate([forward(p, project(p, whole(slice(k, k + CHUNK), learned)), live[:, k : k + CHUNK])[0] for k in range(0, owner.size, CHUNK)])
         if epoch == 0:
             score = -np.arange(owner.size, dtype=np.float32)  # the hottest by its inputs
         best = np.maximum.reduceat(score, first)
         chosen = np.array([np.flatnonzero(score[i:j] == b)[0] + i for i, j, b in zip(first, [*first[1:], owner.size], best, strict=True)])
         for k in np.array_split(rng.permutation(chosen.size), min(batches, chosen.size)):
-            g = gradients(p, x[:, chosen[k]], live[:, chosen[k]], label[k], np.ones(k.size, np.float32))
+            own = chosen[k]
+            met, at = np.unique(number[:, own], return_inverse=True)
+            at = at.reshape(WINDOW, -1)
+            some = np.repeat(first_run[met] - (np.cumsum(n_runs[met]) - n_runs[met]), n_runs[met]) + np.arange(n_runs[met].sum())
+            mine = word[met], run[some], n_runs[met]
+            g = gradients(p, np.concatenate([x[:, own], embedded(p, *mine)[at]], axis=2), live[:, own], label[k], np.ones(k.size, np.float32))
+            dx = g.pop("x")[:, :, COUNTED:].reshape(-1, 2 * EMBED)
+            g["ew"], g["eg"] = scattered(np.stack([np.bincount(at.ravel(), dx[:, c], met.size) for c in range(2 * EMBED)], axis=1), *mine)
+            g["ew"] += DECAY / y.size * p["ew"]
+            g["eg"] += DECAY / y.size * p["eg"]
             step += 1
             rate = RATE * min(1.0, 2 * (1 - epoch / epochs))
             for name, d in g.items():
                 m[name] = 0.9 * m[name] + 0.1 * d
                 v[name] = 0.99 * v[name] + 0.01 * d * d
                 p[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    clean = np.clip(scores(model, texts.filter(pa.array(y == 0))), 1e-9, 1 - 1e-9)
-    high = np.quantile(clean, 1 - CLEAN_FLAGGED, method="higher")
+    clean = np.clip(np.concatenate([scores(crossed[k], texts.filter(pa.array((y == 0) & (half == k)))) for k in (0, 1)]), 1e-9, 1 - 1e-9)
+    same = np.clip(scores(model, texts.filter(pa.array(y == 0))), 1e-9, 1 - 1e-9)
+    high = max(np.quantile(c, 1 - CLEAN_FLAGGED, method="higher") for c in (clean, same))
     p["bo"] -= np.float32(max(0.0, np.log(high / (1 - high)) - np.log(THRESHOLD / (1 - THRESHOLD)) + 1e-3))
     return model
 
@@ -321,7 +375,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = common.table(known, "toxicity-labels")
     chosen = known.where("y = 0").orderBy("o", "doc_id").limit(sample).unionByName(known.where("y > 0").orderBy("o", "doc_id").limit(sample))
     chosen = common.table(chosen.select("doc_id", "y"), "toxicity-sample")
-    rows = common.texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).toArrow()  # at most 2 * sample rows
+    rows = common.texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).toArrow()  # at most 2 * sample rows
     rows = rows.sort_by("doc_id")
     return train(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.array([int(v > 0) for v in rows.column("y").to_pylist()]))
 

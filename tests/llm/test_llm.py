@@ -441,6 +441,16 @@ def test_toxicity_learns_words_and_prefixes(spark, empty):
     assert np.mean([(got[k] >= 0.7) == (k % 4 == 0) for k in held]) > 0.95 and got[9000] == got[9001] == 0
     assert toxicity.fit(docs, labels.where("false")) is None and toxicity.score_documents(empty, None).count() == 0
     assert toxicity.without_toxic(docs, model).where("doc_id % 4 = 0 and doc_id < 600").count() < 20
+    # Labels of the held-out third are never read, and a score is that of the worst of all overlapping windows.
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.fit(docs.unionByName(docs.limit(3)), flipped)
+    texts = [*(t for _, t in rows[:40]), "", "12 34", "One", "sh1t h4ppens", " ".join(f"{a}bad{b}" for a in "abcdefgh" for b in "stuvwxyz")]
+    assert (toxicity.scores(again, pa.array(texts)) == toxicity.scores(model, pa.array(texts))).all()
+    for t in texts:
+        words = [w for w in re.findall(r"[a-z0-9]+", t.lower()) if re.search("[a-z]", w)]
+        starts = [0, *range(toxicity.STRIDE, len(words) - toxicity.STRIDE, toxicity.STRIDE)] if words else []
+        want = max((toxicity.scores(model, pa.array([" ".join(words[k : k + toxicity.WINDOW])]))[0] for k in starts), default=0)
+        assert abs(toxicity.scores(model, pa.array([t]))[0] - want) < 1e-5
 
 
 def test_gradients():
@@ -460,6 +470,11 @@ def test_gradients():
             ends.append(loss())
         p[k][i] = old
         assert abs((ends[0] - ends[1]) / 2e-5 - g[k][i]) < 1e-6
+    i, ends = (1, 0, 3), []
+    for d in (1e-5, -2e-5):
+        x[i] += d
+        ends.append(loss())
+    assert abs((ends[0] - ends[1]) / 2e-5 - g["x"][i]) < 1e-6
 
 
 def test_url_list_is_judged_at_fetch_time(spark):
