@@ -45,6 +45,8 @@ THRESHOLD = 0.7
 #: Share of the clean documents of the sample that may reach the threshold; the network's bias is lowered until it holds.
 CLEAN_FLAGGED = 0.01
 CHUNK = 4096
+#: Bytes of a pass, and words at once, of what the driver does.
+TRAIN_BYTES, TRAIN_WORDS = 1 << 18, 1 << 14
 
 
 def letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +117,13 @@ def slots(low: np.ndarray, once: np.ndarray, start: np.ndarray, end: np.ndarray)
     parts = [grams(low, start, end, size) for size in (4, 5)]
     slot, word = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.argsort(word, kind="stable")
-    return (once >> np.uint64(64 - EMBED_BITS)).astype(np.int64), slot[order] >> (GRAM_BITS - EMBED_BITS), np.bincount(word, minlength=once.size)
+    return (once >> np.uint64(64 - EMBED_BITS)).astype(np.uint16), (slot[order] >> (GRAM_BITS - EMBED_BITS)).astype(np.uint16), np.bincount(word, minlength=once.size)
+
+
+def picked(at: np.ndarray, word: np.ndarray, run: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slots of some words."""
+    m = n[at]
+    return word[at], run[np.repeat((np.cumsum(n) - n)[at] - (np.cumsum(m) - m), m) + np.arange(m.sum())], m
 
 
 def embedded(p: dict, word: np.ndarray, run: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -220,7 +228,7 @@ def _tables(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shrunk log-odds of hashed words and character runs, by the documents of each label that hold them."""
     counts = [np.zeros((2, 1 << WORD_BITS)), np.zeros((2, 1 << GRAM_BITS))]
     data, offsets = bytescan.raw(texts)
-    for lo, hi in bytescan.passes(offsets):
+    for lo, hi in bytescan.passes(offsets, TRAIN_BYTES):
         low, start, end, doc = letters(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         if not start.size:
             continue
@@ -267,15 +275,13 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 11) -> Model | None:
     crossed = [Model(*_tables(texts.filter(pa.array(half != k)), y[half != k]), p) for k in (0, 1)]
     held, owner, sizes, number, known, words = [], [], [], [], [], 0
     data, offsets = bytescan.raw(texts)
-    for lo, hi in bytescan.passes(offsets):
+    for lo, hi in bytescan.passes(offsets, TRAIN_BYTES):
         low, start, end, doc = letters(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         if not start.size:
             continue
         once, back, s, e = distinct(low, start, end)
         x = np.concatenate([c.counted(low, once, s, e) for c in crossed])
-        known.append(slots(low, once, s, e))
-        plain, back = back + words, back + once.size * half[lo:hi][doc]
-        words += once.size
+        plain, back = back, back + once.size * half[lo:hi][doc]
         text, first, length = windows(np.bincount(doc, minlength=hi - lo))
         top = np.append(np.maximum(x[:, 0], x[:, 1])[back], np.full(WINDOW, -99, np.float32))
         heat = np.max(top[first[:, None] + np.arange(WINDOW)] + np.where(np.arange(WINDOW) < length[:, None], 0, -99), axis=1)
@@ -284,14 +290,18 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 11) -> Model | None:
         order = order[rank < CANDIDATES]
         at = np.minimum(first[order][:, None] + np.arange(WINDOW), back.size - 1)
         held.append(x[back[at]])
-        number.append(plain[at])
+        met, here = np.unique(plain[at], return_inverse=True)
+        known.append((once[met], *slots(low, once[met], s[met], e[met])))
+        number.append(here.reshape(at.shape) + words)
+        words += met.size
         owner.append(text[order] + lo)
         sizes.append(length[order])
     if not held:
         return None
-    x, owner, sizes, number = np.concatenate(held), np.concatenate(owner), np.concatenate(sizes), np.concatenate(number).T
-    word, run, n_runs = (np.concatenate(c) for c in zip(*known, strict=True))
-    first_run = np.cumsum(n_runs) - n_runs
+    x, owner, sizes, number = np.concatenate(held), np.concatenate(owner), np.concatenate(sizes), np.concatenate(number)
+    once, word, run, n_runs = (np.concatenate(c) for c in zip(*known, strict=True))
+    _, kept, same = np.unique(once, return_index=True, return_inverse=True)
+    number, (word, run, n_runs) = np.ascontiguousarray(same.astype(np.int32)[number].T), picked(kept, word, run, n_runs)
     spread = x[np.arange(WINDOW)[None, :] < sizes[:, None]].std(axis=0) + 1e-3
     x = np.ascontiguousarray(x.transpose(1, 0, 2))
     live = np.arange(WINDOW)[:, None] < sizes[None, :]
@@ -307,7 +317,7 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 11) -> Model | None:
         return np.concatenate([x[:, own], learned[number[:, own]]], axis=2)
 
     for epoch in range(epochs):
-        learned = embedded(p, word, run, n_runs)
+        learned = np.concatenate([embedded(p, *picked(np.arange(k, min(k + TRAIN_WORDS, word.size)), word, run, n_runs)) for k in range(0, word.size, TRAIN_WORDS)])
         score = np.concatenate([forward(p, project(p, whole(slice(k, k + CHUNK), learned)), live[:, k : k + CHUNK])[0] for k in range(0, owner.size, CHUNK)])
         if epoch == 0:
             score = -np.arange(owner.size, dtype=np.float32)  # the hottest by its inputs
@@ -317,8 +327,7 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 11) -> Model | None:
             own = chosen[k]
             met, at = np.unique(number[:, own], return_inverse=True)
             at = at.reshape(WINDOW, -1)
-            some = np.repeat(first_run[met] - (np.cumsum(n_runs[met]) - n_runs[met]), n_runs[met]) + np.arange(n_runs[met].sum())
-            mine = word[met], run[some], n_runs[met]
+            mine = picked(met, word, run, n_runs)
             g = gradients(p, np.concatenate([x[:, own], embedded(p, *mine)[at]], axis=2), live[:, own], label[k], np.ones(k.size, np.float32))
             dx = g.pop("x")[:, :, COUNTED:].reshape(-1, 2 * EMBED)
             g["ew"], g["eg"] = scattered(np.stack([np.bincount(at.ravel(), dx[:, c], met.size) for c in range(2 * EMBED)], axis=1), *mine)
@@ -330,20 +339,20 @@ def train(texts: pa.Array, y: np.ndarray, seed: int = 11) -> Model | None:
                 m[name] = 0.9 * m[name] + 0.1 * d
                 v[name] = 0.99 * v[name] + 0.01 * d * d
                 p[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    clean = np.clip(np.concatenate([scores(crossed[k], texts.filter(pa.array((y == 0) & (half == k)))) for k in (0, 1)]), 1e-9, 1 - 1e-9)
-    same = np.clip(scores(model, texts.filter(pa.array(y == 0))), 1e-9, 1 - 1e-9)
+    clean = np.clip(np.concatenate([scores(crossed[k], texts.filter(pa.array((y == 0) & (half == k))), TRAIN_BYTES) for k in (0, 1)]), 1e-9, 1 - 1e-9)
+    same = np.clip(scores(model, texts.filter(pa.array(y == 0)), TRAIN_BYTES), 1e-9, 1 - 1e-9)
     high = max(np.quantile(c, 1 - CLEAN_FLAGGED, method="higher") for c in (clean, same))
     p["bo"] -= np.float32(max(0.0, np.log(high / (1 - high)) - np.log(THRESHOLD / (1 - THRESHOLD)) + 1e-3))
     return model
 
 
-def scores(model: Model | None, texts: pa.Array) -> np.ndarray:
-    """The worst window's score of each text."""
+def scores(model: Model | None, texts: pa.Array, most: int = bytescan.PASS_BYTES) -> np.ndarray:
+    """The worst window's score of each text, in passes of about so many bytes."""
     data, offsets = bytescan.raw(texts)
     out = np.zeros(offsets.size - 1)
     if model is None:
         return out
-    for lo, hi in bytescan.passes(offsets):
+    for lo, hi in bytescan.passes(offsets, most):
         low, start, end, doc = letters(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         if not start.size:
             continue
