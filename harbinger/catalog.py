@@ -70,15 +70,17 @@ def first_event_per_key(spark, sf_dir):
 
 
 def watermark(spark, sf_dir):
+    """Two feeds of every source: one read to its newest day, one of its old rows only, which stays at its start."""
     rows = filings(spark, sf_dir)
-    return rows.groupBy("source").agg(F.least(F.greatest(F.max("date"), F.lit("1999-01-01")), F.lit("2001-06-30")).alias("watermark"))
+    rule = lambda d: store.watermark(d, "1999-01-01", "2001-06-30")
+    return rows.groupBy("source").agg(rule(F.col("date")).alias("watermark"), rule(F.when(F.col("date") < "1995-01-01", F.col("date"))).alias("at_start"))
 
 
 def report_days(spark, sf_dir):
-    """A window per order in the first hundred thousand days: with a watermark, a since, both or none."""
+    """A window per order: with a watermark, a since, both or none."""
     d = F.to_date("o_orderdate")
     k = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(k.alias("id"), F.when(k % 100 != 0, F.date_sub(d, (k % 41).cast("int"))).alias("watermark"), F.when(k % 150 == 0, F.date_sub(d, (k % 7).cast("int"))).alias("since"), d.alias("end"))
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 2 != 0, F.date_sub(d, (k % 41).cast("int"))).alias("watermark"), F.when(k % 3 == 0, F.date_sub(d, (k % 7).cast("int"))).alias("since"), d.alias("end"))
     return report.report_days(rows).select("id", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
@@ -154,7 +156,16 @@ def _digest(spark, sf_dir) -> digest.Digest:
 
 
 def corroborated_scores(spark, sf_dir):
-    return _digest(spark, sf_dir).entries.select("source", "id", "score", F.size("reasons").alias("n_reasons"))
+    return _digest(spark, sf_dir).entries.select("source", "id", "score", F.size("reasons").alias("n_reasons"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+def neighborhood_filter(spark, sf_dir):
+    """Both filters by neighborhood: of stored rows by pattern, and of entries after inheritance."""
+    rows, entries, _ = _entries(spark, sf_dir)
+    stored_rows = digest.candidates(rows, CUTOFF, AS_OF, digest.selection_floor(MIN_SCORE), "uNi_ed")
+    inherited = digest.in_neighborhood(co.inherit(entries, co.neighborhoods(rows)), "InD")
+    one = lambda x, kind: x.select(F.lit(kind).alias("filter"), "source", "id", "neighborhood")
+    return one(stored_rows, "stored").unionByName(one(inherited, "entries"))
 
 
 def venue_assign(spark, sf_dir):
@@ -215,6 +226,6 @@ QUERIES = {
     "score_fire": scored(scoring.fire), "score_vending": scored(scoring.vending), "score_mobile_food": scored(scoring.mobile_food), "score_entertainment": scored(scoring.entertainment), "score_tables_chairs": scored(scoring.tables_chairs),
 } | {f.__name__: f for f in (
     score_license, first_event_per_key, watermark, report_days, upsert_merge, snapshot_diff, mark_seen, archive_stale, legacy_migrate, digest_candidates, corroborate_address, corroborate_name, inherit_neighborhood,
-    corroborated_scores, venue_assign, venue_summary, venue_history, digest_order, bucket_counts, strip_tags, parse_report, snippet,
+    corroborated_scores, neighborhood_filter, venue_assign, venue_summary, venue_history, digest_order, bucket_counts, strip_tags, parse_report, snippet,
 )}
 SQL = catalog_sql.SQL

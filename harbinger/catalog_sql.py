@@ -81,7 +81,7 @@ _INHERIT = """hood AS (SELECT ak, arg_min(neighborhood, {'d': date, 's': source,
 _ENTRIES = f"""
 ha AS {_hits('ak', 3)}, hn AS {_hits('nk', 2)}, {_INHERIT},
 ent AS (SELECT c.source, c.id, c.name, c.address, c.date, coalesce(nullif(c.neighborhood, ''), inherited, '') AS neighborhood, CAST(c.score + CASE WHEN ha.n > 0 THEN 2 ELSE 0 END + CASE WHEN hn.n > 0 THEN 1 ELSE 0 END AS INTEGER) AS score,
-  CAST(1 + CAST(ha.n > 0 AS INTEGER) + CAST(hn.n > 0 AS INTEGER) AS INTEGER) AS n_reasons, c.ak, c.nk FROM cand c JOIN ha USING (source, id) JOIN hn USING (source, id) LEFT JOIN hood USING (ak))
+  CAST(1 + CAST(ha.n > 0 AS INTEGER) + CAST(hn.n > 0 AS INTEGER) AS INTEGER) AS n_reasons, 'filed' || CASE WHEN ha.n > 0 THEN '; corroborated by ' || ha.hits ELSE '' END || CASE WHEN hn.n > 0 THEN '; name also in ' || hn.hits ELSE '' END AS reasons, c.ak, c.nk FROM cand c JOIN ha USING (source, id) JOIN hn USING (source, id) LEFT JOIN hood USING (ak))
 """
 _RANK = "list_position(['abc', 'health', 'business', 'tables_chairs', 'entertainment', 'mobile_food', 'vending', 'planning', 'fire', 'permit', 'electrical', 'plumbing'], source)"
 
@@ -167,8 +167,8 @@ c AS (SELECT *, CASE WHEN t IN (41, 47, 75) THEN 'restaurant' WHEN t IN (40, 42,
 SELECT id, kind, CAST(CASE WHEN label IS NULL THEN 0 ELSE greatest(CASE WHEN label = 'off-sale shop' THEN 2 ELSE 3 END + CAST(kind = 'issued' AS INTEGER) - CAST(a = 'PER' AS INTEGER), 0) END AS INTEGER) AS score,
 CASE WHEN label IS NULL THEN '' ELSE 'liquor license ' || kind || ': type ' || t || ' (' || label || ')' || CASE WHEN contains(a, 'PRM') THEN ', premises transfer' WHEN a = 'ORI' THEN ', new license' WHEN a = 'PER' THEN ', ownership transfer at existing premises' ELSE '' END END AS reasons FROM c""",
     "first_event_per_key": "SELECT event_id AS seq, 'P' || user_id AS permit, strftime(ts, '%Y-%m-%d') AS date, user_id % 7 <> 0 AND row_number() OVER (PARTITION BY user_id ORDER BY strftime(ts, '%Y-%m-%d'), event_id) = 1 AS first FROM events",
-    "watermark": f"WITH f AS ({FILINGS}) SELECT source, least(greatest(max(date), '1999-01-01'), '2001-06-30') AS watermark FROM f GROUP BY source",
-    "report_days": """WITH b AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS e, CASE WHEN o_orderkey % 100 <> 0 THEN CAST(o_orderdate AS DATE) - CAST(o_orderkey % 41 AS INTEGER) END AS w, CASE WHEN o_orderkey % 150 = 0 THEN CAST(o_orderdate AS DATE) - CAST(o_orderkey % 7 AS INTEGER) END AS s FROM orders WHERE o_orderkey % 50 = 0)
+    "watermark": f"WITH f AS ({FILINGS}) SELECT source, least(greatest(max(date), '1999-01-01'), '2001-06-30') AS watermark, '1999-01-01' AS at_start FROM f GROUP BY source",
+    "report_days": """WITH b AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS e, CASE WHEN o_orderkey % 2 <> 0 THEN CAST(o_orderdate AS DATE) - CAST(o_orderkey % 41 AS INTEGER) END AS w, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) - CAST(o_orderkey % 7 AS INTEGER) END AS s FROM orders)
 SELECT id, strftime(unnest(generate_series(greatest(coalesce(s, w + 1, e - 14), e - 30), e, INTERVAL 1 DAY)), '%Y-%m-%d') AS day FROM b""",
     "upsert_merge": f"""WITH f AS ({FILINGS})
 SELECT source, external_id, name || CASE WHEN k % 9 = 0 THEN ' LAST' WHEN k % 3 = 0 THEN ' NEW' ELSE '' END AS name, CASE WHEN k % 4 = 1 THEN '2001-07-15' ELSE date END AS date, date AS first_seen,
@@ -183,15 +183,18 @@ SELECT source, external_id, CASE WHEN have OR source = 'permit' THEN name WHEN k
     "corroborate_address": f"WITH {_BASE} SELECT source, id, hits FROM {_hits('ak', 3)}",
     "corroborate_name": f"WITH {_BASE} SELECT source, id, hits FROM {_hits('nk', 2)}",
     "inherit_neighborhood": f"WITH {_BASE}, {_INHERIT} SELECT source, id, coalesce(nullif(neighborhood, ''), inherited, '') AS neighborhood FROM cand LEFT JOIN hood USING (ak)",
-    "corroborated_scores": f"WITH {_BASE}, {_ENTRIES} SELECT source, id, score, n_reasons FROM ent",
+    "corroborated_scores": f"WITH {_BASE}, {_ENTRIES} SELECT source, id, score, n_reasons, reasons FROM ent",
+    "neighborhood_filter": f"""WITH {_BASE}, {_INHERIT} SELECT 'stored' AS filter, source, external_id AS id, neighborhood FROM st WHERE NOT seen AND score >= 1 AND date >= '2000-08-01' AND date <= '2001-08-01' AND neighborhood ILIKE '%uni_ed%'
+UNION ALL SELECT 'entries', source, id, coalesce(nullif(neighborhood, ''), inherited, '') FROM cand LEFT JOIN hood USING (ak) WHERE contains(lower(coalesce(nullif(neighborhood, ''), inherited, '')), 'ind')""",
     "venue_assign": f"WITH {_BASE}, {_venues('cand')} SELECT source, id, venue_key FROM asg",
     "venue_summary": f"WITH {_BASE}, {_venues('cand')} SELECT venue_key, name, address, neighborhood, score, date, CAST(n_entries AS INTEGER) AS n_entries, first_id FROM ven",
     "venue_history": f"""{_DISPLAY}, vk AS (SELECT venue_key, CASE WHEN strlen({_address_key('address')}) >= 5 THEN {_address_key('address')} ELSE '' END AS ak FROM shown),
 h10 AS (SELECT * FROM (SELECT venue_key, h.source, h.name, h.date, row_number() OVER (PARTITION BY venue_key ORDER BY h.date DESC, h.source, h.name) AS r FROM vk JOIN (SELECT DISTINCT source, name, date, ak FROM hist) h USING (ak) WHERE ak <> '') WHERE r <= 10),
 h5 AS (SELECT *, row_number() OVER (PARTITION BY venue_key ORDER BY r) AS q FROM h10 WHERE NOT EXISTS (SELECT 1 FROM asg m WHERE m.venue_key = h10.venue_key AND m.source = h10.source AND m.name = h10.name AND m.date = h10.date))
 SELECT venue_key, coalesce(string_agg(source || ': ' || h5.name || ' (' || h5.date || ')', ', ' ORDER BY r) FILTER (q <= 5), '') AS earlier FROM vk LEFT JOIN h5 USING (venue_key) GROUP BY venue_key""",
-    "digest_order": f"""{_DISPLAY} SELECT bucket, CASE WHEN v.neighborhood = '' THEN 'Unknown neighborhood' ELSE v.neighborhood END AS neighborhood_shown, v.name AS venue_name, v.address AS venue_address, v.score AS venue_score, v.date AS venue_date,
-CAST(p AS INTEGER) AS position, m.source, m.id, m.name, m.date, m.score FROM shown v JOIN mem m USING (venue_key)""",
+    "digest_order": f"""{_DISPLAY}, ranked AS (SELECT *, max({{'s': score, 'd': date}}) OVER (PARTITION BY bucket, neighborhood) AS top, row_number() OVER (PARTITION BY bucket, neighborhood ORDER BY score DESC, date DESC, root) AS venue_rank FROM shown)
+SELECT bucket, CASE bucket WHEN 'strong' THEN 0 ELSE 1 END AS bucket_rank, top.s AS hood_score, top.d AS hood_date, CAST(venue_rank AS INTEGER) AS venue_rank, CASE WHEN v.neighborhood = '' THEN 'Unknown neighborhood' ELSE v.neighborhood END AS neighborhood_shown, v.name AS venue_name, v.address AS venue_address, v.score AS venue_score, v.date AS venue_date,
+CAST(p AS INTEGER) AS position, m.source, m.id, m.name, m.date, m.score FROM ranked v JOIN mem m USING (venue_key)""",
     "bucket_counts": f"WITH f AS ({FILINGS}) SELECT CASE WHEN score >= 4 THEN 'strong' WHEN score >= 2 THEN 'watch' ELSE 'low' END AS bucket, CAST({_RANK} - 1 AS INTEGER) AS rank, count(*) AS n, CAST(sum(CASE WHEN seen THEN 1 ELSE 0 END) AS BIGINT) AS n_seen FROM f GROUP BY ALL",
     "strip_tags": r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*(>|\z)', '', 'g'), '>', ''), '&amp;', '&'), '&#038;', '&'), '&#8217;', ''''), '&#39;', ''''), '&quot;', '" + '"' + r"'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g')) AS text FROM pages",
     "parse_report": "SELECT CAST(s_suppkey AS VARCHAR) AS license_number, 'ACT' AS status, [41, 47, 20, 0, 99][s_suppkey % 5 + 1] AS license_type, 'ORI' AS action, CASE WHEN s_suppkey % 3 = 0 THEN 'Caf&e ' || s_suppkey ELSE '' END AS dba, s_name || ' & Sons' AS owner, s_suppkey || ' Main St' AS street, 'Town' AS city, '94100' AS zip FROM supplier WHERE s_suppkey % 4 <> 0",

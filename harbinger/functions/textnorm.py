@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -44,31 +45,41 @@ def ascii_lower(x: Column) -> Column:
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def spread(key: Column, *own: str) -> Column:
+    """The key for a join that empty keys never meet: they become keys of their own, so that they are no single task's."""
+    return bound(key, lambda k: F.when(k == "", F.concat(F.lit("\0"), *own)).otherwise(k))
+
+
 def text(x: Column) -> Column:
     """Never null: a missing text is empty."""
     return F.coalesce(x, F.lit(""))
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x) with x computed once, however often `use` reads it."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def address_key(address: Column) -> Column:
     """One form per building: upper case, no unit, digits for ordinals and house number, short street suffix."""
-    t = tokens(F.translate(F.upper(text(address)), ",.", ""))
-    unit = F.array_min(F.filter(F.transform(t, lambda x, i: F.when(x.isin(*UNIT_TOKENS), i)), lambda i: i.isNotNull()))
-    t = F.when(F.coalesce(unit, F.lit(0)) > 0, F.slice(t, F.lit(1), F.greatest(unit, F.lit(0)))).otherwise(t)
-    n = F.size(t)
 
-    def canonical(x: Column, i: Column) -> Column:
-        x = lookup(ORDINALS, x)
-        house = F.coalesce(F.nullif(F.regexp_extract(x, r"^([0-9]+)-[0-9]+$", 1), F.lit("")), lookup(HOUSE_WORDS, x))
-        x = F.when(i == 0, house).otherwise(x)
-        return F.when(i == n - 1, lookup(SUFFIXES, x)).otherwise(x)
+    def without_unit(t: Column) -> Column:
+        unit = F.array_min(F.filter(F.transform(t, lambda x, i: F.when(x.isin(*UNIT_TOKENS), i)), lambda i: i.isNotNull()))
+        return bound(F.coalesce(unit, F.lit(0)), lambda u: F.when(u > 0, F.slice(t, F.lit(1), F.greatest(u, F.lit(0)))).otherwise(t))
+
+    def house(x: Column) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(x, r"^([0-9]+)-[0-9]+$", 1), F.lit("")), lookup(HOUSE_WORDS, x))
+
+    def joined(t: Column) -> Column:
+        first = lambda x, i: F.when(i == 0, house(lookup(ORDINALS, x))).otherwise(lookup(ORDINALS, x))
+        return F.array_join(F.transform(F.transform(t, first), lambda x, i: F.when(i == F.size(t) - 1, lookup(SUFFIXES, x)).otherwise(x)), " ")
 
-    return F.array_join(F.transform(t, canonical), " ")
+    return bound(bound(tokens(F.translate(F.upper(text(address)), ",.", "")), without_unit), joined)
 
 
 def matchable_address(address: Column) -> Column:
     """The address key, or empty where it is too short."""
-    key = address_key(address)
-    return F.when(F.octet_length(key) >= MIN_ADDRESS_BYTES, key).otherwise("")
+    return bound(address_key(address), lambda key: F.when(F.octet_length(key) >= MIN_ADDRESS_BYTES, key).otherwise(""))
 
 
 def normal_name(name: Column) -> Column:
@@ -87,8 +98,7 @@ def name_key(name: Column) -> Column:
 
 def matchable_name(name: Column) -> Column:
     """The name key, or empty where it is too short."""
-    key = name_key(name)
-    return F.when(F.octet_length(key) >= MIN_NAME_BYTES, key).otherwise("")
+    return bound(name_key(name), lambda key: F.when(F.octet_length(key) >= MIN_NAME_BYTES, key).otherwise(""))
 
 
 def normal_date(x: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harbinger.functions.textnorm import matchable_address, matchable_name, trim
+from harbinger.functions.textnorm import matchable_address, matchable_name, spread, trim
 
 #: Stored rows that count: a signal of their own, at an address.
 MIN_SCORE = 2
@@ -55,7 +55,7 @@ def listed(found: Column) -> Column:
 
 def corroborate(entries: DataFrame, addresses: DataFrame, names: DataFrame) -> DataFrame:
     """The entries with score and reasons raised by other sources at the same address (+2), then under the same name (+1)."""
-    keyed = entries.withColumns({"_a": matchable_address(F.col("address")), "_n": matchable_name(F.col("name"))})
+    keyed = entries.withColumns({"_a": spread(matchable_address(F.col("address")), "source", "id"), "_n": spread(matchable_name(F.col("name")), "source", "id")})
     a, n = addresses.select(F.col("key").alias("_a"), F.col("filings").alias("_at")), names.select(F.col("key").alias("_n"), F.col("filings").alias("_as"))
     rows = keyed.join(a, "_a", "left").join(n, "_n", "left")
     rows = rows.withColumns({"_at": others(F.col("_at"), F.col("source"), ADDRESS_HITS), "_as": others(F.col("_as"), F.col("source"), NAME_HITS)})
@@ -75,6 +75,6 @@ def neighborhoods(signals: DataFrame) -> DataFrame:
 
 def inherit(entries: DataFrame, hoods: DataFrame) -> DataFrame:
     """The entries, empty neighborhoods filled from their address."""
-    rows = entries.withColumn("_k", matchable_address(F.col("address"))).join(hoods.withColumnRenamed("key", "_k"), "_k", "left")
+    rows = entries.withColumn("_k", spread(matchable_address(F.col("address")), "source", "id")).join(hoods.withColumnRenamed("key", "_k"), "_k", "left")
     filled = F.coalesce(F.nullif(F.col("neighborhood"), F.lit("")), F.col("inherited"), F.lit(""))
     return rows.withColumn("neighborhood", filled).select(*entries.columns)

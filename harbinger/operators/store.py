@@ -1,11 +1,13 @@
-"""The keyed table of signals on plain Parquet: versioned snapshots and a pointer, so that readers never see half a write.
+"""The keyed table of signals on plain Parquet: versions with manifests and pointers, so that readers never see half a write.
 
-A version holds signals (partitioned by source) and the meta values; both become current together when the
-pointer is renamed into place. All file work goes through Hadoop's file systems, so any shared store serves.
+All file work goes through Hadoop's file systems, so any shared store serves.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +70,9 @@ def migrated(stored: DataFrame, businesses: DataFrame | None, permits: DataFrame
     return out
 
 
-def watermark(dates: DataFrame, since: str, today: str) -> DataFrame:
-    """(watermark): the newest date fetched, at least since, at most today. dates: (date)."""
-    return dates.agg(F.least(F.greatest(F.coalesce(F.max("date"), F.lit("")), F.lit(since)), F.lit(today)).alias("watermark"))
+def watermark(dates: Column, since: str, today: str) -> Column:
+    """An aggregate: the newest of the dates fetched, at least since, at most today."""
+    return F.least(F.greatest(F.coalesce(F.max(dates), F.lit("")), F.lit(since)), F.lit(today))
 
 
 def prefixes(external_id: Column) -> Column:
@@ -95,54 +97,111 @@ def first_events(batch: DataFrame, stored_ids: DataFrame, key: str = "permit", d
     return rows.withColumn("first", F.coalesce(first, F.lit(True))).drop("_p", "_stored", "_least")
 
 
+#: Newest versions that stay readable.
+KEEP_VERSIONS = 3
+
+
 class Store:
-    """Signals and meta values under a folder."""
+    """Signals and meta values under a folder.
+
+    A version is a folder v=N with the signals of the sources that it changed and a manifest: for every source the
+    version that holds it, and the meta values. It is current once the empty file CURRENT.N exists, which is made
+    last and never replaced, so a crash at any step leaves the version before. Versions that none of the newest
+    KEEP_VERSIONS refers to are deleted after a commit."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[8:]) for n in self._names(self.root) if n.startswith("CURRENT.") and n[8:].isdigit())
+
     def version(self) -> int:
-        at = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(at):
-            return 0
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        return max(self._versions(), default=0)
+
+    def _manifest(self, v: int) -> dict:
+        if not v:
+            return {"sources": {}, "meta": {}}
+        stream = self._fs.open(self._path(f"{self.root}/v={v}/manifest.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _write(self, name: str, text: str) -> None:
+        out = self._fs.create(self._path(f"{self.root}/{name}"), not name.startswith("CURRENT."))
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def _folder(self, source: str | None) -> str:
+        return "source=" + ("__HIVE_DEFAULT_PARTITION__" if not source else self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source))
 
     def signals(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/v={v}/signals") if v else self.spark.createDataFrame([], SCHEMA)
+        by: dict[int, list[str]] = {}
+        for folder, v in self._manifest(self.version())["sources"].items():
+            by.setdefault(v, []).append(f"{self.root}/v={v}/signals/{folder}")
+        out = self.spark.createDataFrame([], SCHEMA)
+        names = out.columns
+        for k, (v, paths) in enumerate(sorted(by.items())):
+            rows = self.spark.read.schema(SCHEMA).option("basePath", f"{self.root}/v={v}/signals").parquet(*sorted(paths)).select(*names)
+            out = rows if k == 0 else out.unionByName(rows)
+        return out
 
     def meta(self) -> dict[str, str]:
         """Watermarks by source: a handful of values."""
-        v = self.version()
-        return {r["key"]: r["value"] for r in self.spark.read.parquet(f"{self.root}/v={v}/meta").collect()} if v else {}
+        return self._manifest(self.version())["meta"]
 
-    def commit(self, signals: DataFrame, meta: dict[str, str]) -> int:
-        """Writes the next version and makes it current; a crash before the last step leaves the old one."""
+    def commit(self, signals: DataFrame, meta: dict[str, str], only: Iterable[str] | None = None) -> int:
+        """Writes the next version and makes it current. only: the sources that signals holds; all others stay as they are."""
         v = self.version() + 1
         at = f"{self.root}/v={v}"
-        signals.select(*[f.split()[0] for f in SCHEMA.split(", ")]).write.mode("overwrite").partitionBy("source").parquet(f"{at}/signals")
-        self.spark.createDataFrame(sorted(meta.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{at}/meta")
-        out = self._fs.create(self._path(f"{self.root}/CURRENT.{v}"), True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
-        self._fs.delete(self._path(f"{self.root}/CURRENT"), False)
-        self._fs.rename(self._path(f"{self.root}/CURRENT.{v}"), self._path(f"{self.root}/CURRENT"))
+        kept = {}
+        if only is not None:
+            gone = {self._folder(s) for s in only}
+            kept = {k: n for k, n in self._manifest(v - 1)["sources"].items() if k not in gone}
+            signals = signals.where(F.col("source").isin(*only)) if only else None
+        self._fs.delete(self._path(at), True)  # what an earlier attempt left
+        if signals is not None:
+            signals.select(*[f.split()[0] for f in SCHEMA.split(", ")]).write.mode("overwrite").partitionBy("source").parquet(f"{at}/signals")
+        own = {n: v for n in self._names(f"{at}/signals") if n.startswith("source=")}
+        self._write(f"v={v}/manifest.json", json.dumps({"sources": kept | own, "meta": dict(sorted(meta.items()))}))
+        self._write(f"CURRENT.{v}", "")
+        self._expire()
         return v
 
+    def _expire(self) -> None:
+        """Old pointers first, then the versions that no kept one refers to."""
+        versions = self._versions()
+        keep = versions[-KEEP_VERSIONS:]
+        used = {n for v in keep for n in self._manifest(v)["sources"].values()} | set(keep)
+        for v in versions[:-KEEP_VERSIONS]:
+            self._fs.delete(self._path(f"{self.root}/CURRENT.{v}"), False)
+        for name in self._names(self.root):
+            if name.startswith("v=") and int(name[2:]) <= keep[-1] and int(name[2:]) not in used:
+                self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
     def upsert(self, batch: DataFrame, meta: dict[str, str] | None = None) -> int:
-        return self.commit(merged(self.signals(), deduplicated(batch)), self.meta() | (meta or {}))
+        only = sorted(r[0] for r in batch.select("source").distinct().collect())
+        return self.commit(merged(self.signals().where(F.col("source").isin(*only)), deduplicated(batch)), self.meta() | (meta or {}), only)
 
     def deliver(self, delivered: DataFrame, cutoff: str, min_score: int) -> int:
         """Marks what was shown and archives what is stale; returns how many were archived."""
         rows = marked_seen(self.signals(), delivered)
-        count = rows.where(stale(cutoff, min_score)).count()
-        self.commit(archived(rows, cutoff, min_score), self.meta())
-        return count
+        stale_by = {r["source"]: r["count"] for r in rows.where(stale(cutoff, min_score)).groupBy("source").count().collect()}
+        only = sorted({*stale_by, *(r[0] for r in delivered.select("source").distinct().collect())})
+        if only:
+            self.commit(archived(rows, cutoff, min_score), self.meta(), only)
+        return sum(stale_by.values())
 
     def migrate(self, businesses: DataFrame | None, permits: DataFrame | None) -> int:
         """Takes over the old tables; their watermarks' names change with them."""
         names = {"watermark:businesses": "watermark:business", "watermark:permits": "watermark:permit"}
-        return self.commit(migrated(self.signals(), businesses, permits), {names.get(k, k): v for k, v in self.meta().items()})
+        return self.commit(migrated(self.signals(), businesses, permits), {names.get(k, k): v for k, v in self.meta().items()}, ["business", "permit"])

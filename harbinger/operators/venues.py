@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harbinger.functions.textnorm import matchable_address, matchable_name
+from harbinger.functions.textnorm import matchable_address, matchable_name, spread
 from harbinger.operators.corroborate import ENTRY, HISTORY_HITS
 
 #: Fixed order: whose name a venue shows.
@@ -37,7 +37,7 @@ def assign(entries: DataFrame) -> DataFrame:
     rows = entries.withColumns({"_a": matchable_address(F.col("address")), "_n": matchable_name(F.col("name"))})
     # The anchor of a name is one row per name, so no window gathers a name's entries.
     anchors = rows.where("_a <> '' and _n <> ''").groupBy("_n").agg(F.min_by("_a", place()).alias("_anchor"))
-    rows = rows.join(anchors, "_n", "left")
+    rows = rows.withColumn("_s", spread(F.col("_n"), "source", "id")).join(anchors.withColumnRenamed("_n", "_s"), "_s", "left").drop("_s")
     key = F.when(F.col("_a") != "", F.concat(F.lit("A:"), "_a")).when(F.col("_anchor").isNotNull(), F.concat(F.lit("A:"), "_anchor")).when(F.col("_n") != "", F.concat(F.lit("N:"), "_n"))
     return rows.withColumns({"venue_key": F.coalesce(key, F.concat(F.lit("I:"), "source", F.lit(":"), "id")), "addressed": F.col("_a") != ""}).drop("_a", "_n", "_anchor")
 
@@ -59,7 +59,7 @@ def summarize(assigned: DataFrame, addresses: DataFrame | None = None) -> DataFr
     out = out.select("venue_key", name.alias("name"), address.alias("address"), F.coalesce("_hood", F.lit("")).alias("neighborhood"), "score", "date", "root", F.transform("_entries", lambda x: x["e"]).alias("entries"))
     if addresses is None:
         return out.withColumn("history", F.array().cast(f"array<{ENTRY}>"))
-    rows = out.withColumn("_k", matchable_address(F.col("address"))).join(addresses.select(F.col("key").alias("_k"), "filings"), "_k", "left")
+    rows = out.withColumn("_k", spread(matchable_address(F.col("address")), "venue_key")).join(addresses.select(F.col("key").alias("_k"), "filings"), "_k", "left")
     shown = F.slice(F.coalesce("filings", F.array().cast(f"array<{ENTRY}>")), 1, HISTORY_HITS)
     earlier = F.filter(shown, lambda h: ~F.exists("entries", lambda m: (m["source"] == h["source"]) & (m["name"] == h["name"]) & (m["date"] == h["date"])))
     return rows.withColumn("history", F.slice(earlier, 1, HISTORY_SHOWN)).drop("_k", "filings")
@@ -70,22 +70,25 @@ def bucket(score: Column) -> Column:
 
 
 def display_order(venues: DataFrame, min_score: int) -> DataFrame:
-    """Venues of at least min_score with the keys they are shown by: bucket, neighborhood by its best venue, venue."""
+    """Venues of at least min_score with the keys they are shown by: bucket, neighborhood by its best venue, and the venue's
+    rank in its neighborhood."""
     rows = venues.where(F.col("score") >= min_score).withColumns({"bucket": bucket(F.col("score")), "hood": F.when(F.col("neighborhood") == "", "Unknown neighborhood").otherwise(F.col("neighborhood"))})
     best = Window.partitionBy("bucket", "hood")
     top = F.max(F.struct("score", "date")).over(best)
     rank = F.when(F.col("bucket") == "strong", 0).when(F.col("bucket") == "watch", 1).otherwise(2)
-    return rows.withColumns({"bucket_rank": rank, "hood_score": top["score"], "hood_date": top["date"]})
+    place = F.row_number().over(best.orderBy(F.col("score").desc(), F.col("date").desc(), "root"))
+    return rows.withColumns({"bucket_rank": rank, "hood_score": top["score"], "hood_date": top["date"], "venue_rank": place})
 
 
 def in_order(shown: DataFrame) -> DataFrame:
-    return shown.orderBy("bucket_rank", F.col("hood_score").desc(), F.col("hood_date").desc(), "hood", F.col("score").desc(), F.col("date").desc(), "root")
+    return shown.orderBy("bucket_rank", F.col("hood_score").desc(), F.col("hood_date").desc(), "hood", "venue_rank")
 
 
 def filings(shown: DataFrame) -> DataFrame:
-    """One row per filing of the shown venues, in display order."""
+    """One row per filing of the shown venues, in display order: by bucket_rank, hood_score and hood_date descending,
+    neighborhood_shown, venue_rank, position."""
     rows = shown.select("*", F.posexplode("entries").alias("position", "e"))
     return in_order(rows.withColumnRenamed("position", "_position")).select(
         "bucket", F.col("hood").alias("neighborhood_shown"), F.col("name").alias("venue_name"), F.col("address").alias("venue_address"), F.col("score").alias("venue_score"), F.col("date").alias("venue_date"),
-        (F.col("_position") + 1).alias("position"), F.col("e.source").alias("source"), F.col("e.id").alias("id"), F.col("e.name").alias("name"), F.col("e.date").alias("date"), F.col("e.score").alias("score"),
+        "bucket_rank", "hood_score", "hood_date", "venue_rank", (F.col("_position") + 1).alias("position"), F.col("e.source").alias("source"), F.col("e.id").alias("id"), F.col("e.name").alias("name"), F.col("e.date").alias("date"), F.col("e.score").alias("score"),
     )

@@ -42,7 +42,8 @@ def snippet(source: Column, raw: Column) -> Column:
 
 
 def candidates(signals: DataFrame, cutoff: str, today: str, floor: int, neighborhood: str | None = None) -> DataFrame:
-    """Undelivered rows of the window, as digest entries; a plain filter that reaches the scan."""
+    """Undelivered rows of the window, as digest entries; a plain filter that reaches the scan. The neighborhood is part of a
+    pattern, so that % and _ in it stand for any characters and any one."""
     rows = signals.where(~F.col("seen") & (F.col("score") >= floor) & (F.col("date") >= cutoff) & (F.col("date") <= today))
     if neighborhood is not None:
         rows = rows.where(F.col("neighborhood").ilike(f"%{neighborhood}%"))
@@ -53,6 +54,11 @@ def rescued(entries: DataFrame, min_score: int) -> DataFrame:
     return entries.where((F.col("score") >= min_score) | ~F.col("source").isin(*NOT_RESCUED))
 
 
+def in_neighborhood(entries: DataFrame, name: str) -> DataFrame:
+    """Entries whose neighborhood, inherited or not, holds the name as it stands, in any case."""
+    return entries.where(F.contains(F.lower("neighborhood"), F.lower(F.lit(name))))
+
+
 @dataclass
 class Digest:
     """The entries after corroboration and the venues shown, with the keys of their order."""
@@ -72,5 +78,5 @@ def build(signals: DataFrame, as_of: str, days: int = 7, min_score: int = 2, nei
     addresses = co.address_index(history)
     entries = co.inherit(co.corroborate(entries, addresses, co.name_index(history)), co.neighborhoods(signals))
     if neighborhood:
-        entries = entries.where(F.contains(F.lower("neighborhood"), F.lower(F.lit(neighborhood))))
+        entries = in_neighborhood(entries, neighborhood)
     return Digest(entries, ve.display_order(ve.summarize(ve.assign(entries), addresses), min_score))

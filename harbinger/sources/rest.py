@@ -7,6 +7,7 @@ together. The stream's offset is the newest date seen; a date's rows may come ag
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 import urllib.error
@@ -78,23 +79,49 @@ class RestReader(DataSourceReader):
 
 
 class RestStreamReader(SimpleDataSourceStreamReader):
+    """A micro-batch per call: the rows from `since` on, at most `pagesPerBatch` pages of them, which is what the driver holds.
+
+    Offsets are the newest date read and how many rows of that date, so a batch begins where the last one ended."""
+
     def __init__(self, options: dict):
         self.options = options  # keys match in any case
 
     def initialOffset(self):
-        return {"since": self.options.get("since", "")}
+        return {"since": self.options.get("since", ""), "skip": 0}
+
+    def _from(self, start: dict) -> Iterator[tuple[int, str, str]]:
+        field, skip = self.options.get("dateField"), start["skip"]
+        for seq, raw in _rows(self.options, start["since"] or None):
+            date = json.loads(raw).get(field) if field else None
+            date = date if isinstance(date, str) else ""
+            if not field:
+                if seq >= skip:
+                    yield seq, raw, date
+            elif date == start["since"] and skip > 0:
+                skip -= 1
+            else:
+                yield seq, raw, date
 
     def read(self, start):
-        rows = list(_rows(self.options, start["since"] or None))
-        field = self.options.get("dateField")
-        dates = [d for _, r in rows if field and isinstance(d := json.loads(r).get(field), str)]
-        return iter(rows), {"since": max([start["since"], *dates])}
+        most = int(self.options.get("pagesPerBatch", 20)) * int(self.options.get("pageSize", PAGE_ROWS))
+        rows, end = [], dict(start)
+        for seq, raw, date in itertools.islice(self._from(start), most):
+            rows.append((seq, raw))
+            if self.options.get("dateField") and date > end["since"]:
+                end = {"since": date, "skip": 0}
+            end["skip"] += 1
+        return iter(rows), end
 
     def readBetweenOffsets(self, start, end):
-        field = self.options.get("dateField")
-        for seq, raw in _rows(self.options, start["since"] or None):
-            if not field or str(json.loads(raw).get(field) or "") <= end["since"]:
-                yield seq, raw
+        """The rows that `read` gave when it went from start to end."""
+        at = dict(start)
+        for seq, raw, date in self._from(start):
+            if at == end:
+                return
+            if self.options.get("dateField") and date > at["since"]:
+                at = {"since": date, "skip": 0}
+            at["skip"] += 1
+            yield seq, raw
 
 
 class RestSource(DataSource):

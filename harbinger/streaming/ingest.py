@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 import sys
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from harbinger.functions.fields import field, parsed
 from harbinger.functions.textnorm import normal_date
-from harbinger.operators.store import Store
+from harbinger.operators.store import Store, watermark
 from harbinger.sources import feeds, report, rest
 
 BACKFILL_DAYS = 90
@@ -33,16 +33,15 @@ def ingest(store: Store, feed: feeds.Feed, rows: DataFrame, today: str, since: s
     try:
         meta = {}
         if feed.date_field:
-            newest = rows.select(F.max(normal_date(field(parsed(F.col("raw")), feed.date_field))).alias("d")).first()["d"] or ""
             first = rows.sparkSession.range(1).select(normal_date(F.lit(since or "")).alias("d")).first()["d"]
-            meta[f"watermark:{feed.key}"] = min(max(newest, first), today)
+            meta[f"watermark:{feed.key}"] = rows.agg(watermark(normal_date(field(parsed(F.col("raw")), feed.date_field)), first, today)).first()[0]
         store.upsert(new, meta)
         return new.count()
     finally:
         new.unpersist()
 
 
-def fetch(spark: SparkSession, store: Store, today: str, since: str | None = None, full: bool = False, token: str | None = None, only: Iterable[str] | None = None, base: str = BASE) -> tuple[dict[str, int], dict[str, str]]:
+def fetch(spark: SparkSession, store: Store, today: str, since: str | None = None, full: bool = False, token: str | None = None, only: Iterable[str] | None = None, base: str = BASE, report_options: Mapping[str, str] | None = None) -> tuple[dict[str, int], dict[str, str]]:
     """All feeds and the report, one after the other; one that fails is recorded and the rest go on."""
     spark.dataSource.register(rest.RestSource)
     spark.dataSource.register(report.ReportSource)
@@ -63,7 +62,7 @@ def fetch(spark: SparkSession, store: Store, today: str, since: str | None = Non
         days = report.days_to_fetch(mark, since, datetime.date.fromisoformat(today) - datetime.timedelta(days=1))
         if not days:
             return 0
-        pages = spark.read.format("harbinger_report").option("days", ",".join(map(str, days))).load()
+        pages = spark.read.format("harbinger_report").options(days=",".join(map(str, days)), **(report_options or {})).load()
         order = F.struct("day", F.when(F.col("kind") == "NewApplications", 0).otherwise(1), F.col("license_number"))
         new = report.signals(report.parsed(pages).withColumn("seq", order), today).persist()
         try:

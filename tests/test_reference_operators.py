@@ -193,3 +193,197 @@ def test_config(tmp_path):
     assert config.parse('app_token = "x"').app_token == "x" and config.load(str(tmp_path / "db")) == config.Config()
     (tmp_path / "config.toml").write_text("app_token = [")
     assert config.load(str(tmp_path / "db")) == config.Config() and config.app_token(" ", config.Config("f")) == "f" and config.app_token("e", config.Config("f")) == "e"
+
+
+def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    db = f"file://{tmp_path}/db"
+    s = store.Store(spark, db)
+    s.commit(frame(spark, signal("permit", "1"), signal("abc", "a")), {"m": "1"})
+    for step in ("manifest", "CURRENT"):
+        with monkeypatch.context() as m:
+            whole = store.Store._write
+            m.setattr(store.Store, "_write", lambda self, name, text: whole(self, name, text) if step not in name else (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                store.Store(spark, db).commit(frame(spark, signal("permit", "2")), {"m": "2"})
+        again = store.Store(spark, db)
+        assert (again.version(), again.meta(), {r["external_id"] for r in again.signals().collect()}) == (1, {"m": "1"}, {"1", "a"})
+    assert again.upsert(frame(spark, signal("permit", "2")).withColumn("seq", F.lit(0))) == 2
+    assert {r["external_id"] for r in store.Store(spark, db).signals().collect()} == {"1", "2", "a"}
+
+
+def test_only_changed_sources_are_rewritten_and_old_versions_go(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/db")
+    s.commit(frame(spark, signal("permit", "1"), signal("a:b/c", "a")), {})
+    for k in range(6):
+        s.upsert(frame(spark, signal("permit", str(k))).withColumn("seq", F.lit(0)))
+    held = sorted(x.name for x in (tmp_path / "db").iterdir() if not x.name.startswith("."))
+    assert held == ["CURRENT.5", "CURRENT.6", "CURRENT.7", "v=1", "v=5", "v=6", "v=7"]  # the first still holds the other source
+    assert sorted((r["source"], r["external_id"]) for r in s.signals().collect()) == [("a:b/c", "a"), *(("permit", str(k)) for k in range(6))]
+    assert s.deliver(spark.createDataFrame([("a:b/c", "a")], "source string, id string"), "2026-08-01", 2) == 6
+    assert s.signals().where("seen").count() == 7 and s.version() == 8
+
+
+class City:
+    """Pages of all feeds and of the report; what a test sets as status fails."""
+
+    def __init__(self):
+        self.calls, self.status, self.rows, city = [], {}, {}, self
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def reply(self, status, body):
+                self.send_response(status)
+                self.end_headers()
+                self.wfile.write(body)
+
+            def do_GET(self):
+                from urllib.parse import parse_qs, urlparse
+
+                at = urlparse(self.path)
+                q = {k: v[0] for k, v in parse_qs(at.query).items()}
+                name = at.path.rsplit("/", 1)[-1].removesuffix(".json")
+                city.calls.append((name, q, self.headers.get("X-App-Token")))
+                if name == "form":
+                    return self.reply(200, b'<input name="abclqs_daily_report" value="n1">')
+                status = city.status.get(name, [])
+                if status:
+                    return self.reply(status.pop(0), b"no")
+                lo = int(q.get("$offset", 0))
+                self.reply(200, json.dumps(city.rows.get(name, [])[lo : lo + int(q.get("$limit", 9))] if isinstance(city.rows.get(name, []), list) else city.rows[name]).encode())
+
+            def do_POST(self):
+                from urllib.parse import parse_qs
+
+                form = {k: v[0] for k, v in parse_qs(self.rfile.read(int(self.headers["Content-Length"])).decode()).items()}
+                city.calls.append(("report", form, None))
+                cells = ["ACTIVE", "47 | Y", "", "dba: Bean<br/>Owner LLC<br>1 A St", "", "ORI", "", "", "", "", "1 A St", "SF", "38", "94110", ""]
+                self.reply(200, ('<table><tr><th>x</th></tr><tr><th><a href="?LICENSE=5">5</a></th>' + "".join(f"<td>{c}</td>" for c in cells) + "</tr></table>").encode())
+
+            def log_message(self, *args):
+                pass
+
+        self.server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.base = f"http://127.0.0.1:{self.server.server_port}"
+
+
+@pytest.fixture
+def city():
+    made = City()
+    yield made
+    made.server.shutdown()
+
+
+@pytest.mark.parametrize(("status", "calls", "error"), [([429, 500], 3, None), ([503, 503, 503], 3, "503"), ([404], 1, "404"), ([400], 1, "400")])
+def test_pages_are_tried_again(city, status, calls, error):
+    city.status["x"], waits = list(status), []
+    if error:
+        with pytest.raises(RuntimeError, match=error):
+            rest.get_page(f"{city.base}/x", "key", waits.append)
+    else:
+        assert rest.get_page(f"{city.base}/x", "key", waits.append) == []
+    assert len(city.calls) == calls and waits == list(range(1, calls)) and {c[2] for c in city.calls} == {"key"}
+
+
+def test_pages_of_another_shape_and_lost_servers(city):
+    city.rows["x"] = {"error": True}
+    with pytest.raises(rest.BadShape):
+        rest.get_page(f"{city.base}/x")
+    waits = []
+    with pytest.raises(RuntimeError):
+        rest.get_page("http://127.0.0.1:9/x", None, waits.append)
+    assert waits == [1, 2]
+
+
+def test_snapshots_are_read_whole_and_ordered(city):
+    city.rows["d"] = [{"id": k} for k in range(5)]
+    assert [r["id"] for page in rest.pages(city.base, "d", None, "2026-01-01", None, 2) for r in page] == list(range(5))
+    assert [c[1] for c in city.calls] == [{"$order": ":id", "$limit": "2", "$offset": str(k)} for k in (0, 2, 4)]
+
+
+def test_stream_batches_are_bounded_and_meet(city):
+    city.rows["d"] = [{"id": k, "day": f"2026-07-{1 + k // 3:02d}"} for k in range(10)]
+    for field in ({"dateField": "day"}, {}):
+        reader = rest.RestStreamReader({"base": city.base, "dataset": "d", "pageSize": "2", "pagesPerBatch": "2", **field})
+        at, seen = reader.initialOffset(), []
+        for _ in range(6):
+            start = at
+            city.rows["d"], whole = [r for r in city.rows["d"] if not field or r["day"] >= at["since"]], city.rows["d"]
+            rows, at = reader.read(start)
+            rows = list(rows)
+            assert len(rows) <= 4 and list(reader.readBetweenOffsets(start, at)) == rows
+            city.rows["d"] = whole
+            seen += [json.loads(raw)["id"] for _, raw in rows]
+        assert seen == list(range(10))
+
+
+def test_fetch_reads_every_feed_and_goes_on_after_failures(spark, city, tmp_path):
+    ids = {f.dataset: f.key for f in feeds.FEEDS.values()}
+    health, permit, fire = (feeds.FEEDS[k].dataset for k in ("health", "permit", "fire"))
+    city.rows[health] = [{"permit_number": "9", "inspection_date": "2026-06-01T00:00:00", "dba": "Old Cafe", "street_address": "1 Oak St"}]
+    city.rows[permit] = [{"permit_number": "7", "filed_date": "2027-01-01T00:00:00", "description": "new cafe", "street_number": "1", "street_name": "Oak", "street_suffix": "St", "unit": "4"}]
+    city.status[fire] = [404]
+    s = store.Store(spark, f"file://{tmp_path}/db")
+    form = {"page": f"{city.base}/form", "post": f"{city.base}/report"}
+    run = lambda **o: ingest.fetch(spark, s, "2026-07-02", token="key", base=city.base, report_options=form, **o)
+    stored, failed = run(only=["health", "permit", "fire", "vending", "abc"], since=None)
+    assert set(failed) == {"fire"} and "404" in failed["fire"] and stored == {"health": 1, "permit": 1, "vending": 0, "abc": 30}
+    rows = {(r["source"], r["external_id"]): r for r in s.signals().collect()}
+    assert rows["permit", "7"]["address"] == "1 Oak St, unit 4" and rows["abc", "5"]["name"] == "Bean" and set(rows) == {("permit", "7"), ("health", "9-2026-06-01T00:00:00"), ("abc", "5"), ("abc", "5-issued")}
+    assert rows["health", "9-2026-06-01T00:00:00"]["seen"] and not rows["permit", "7"]["seen"]  # the first run of a quiet feed is no news
+    assert s.meta() == {"watermark:health": "2026-06-01", "watermark:permit": "2026-07-02", "watermark:abc": "2026-07-01"}
+    asked = lambda name: [c[1].get("$where") for c in city.calls if c[0] == name][-1]
+    assert asked(health) == "inspection_date >= '2024-01-01'" and asked(permit) == "filed_date >= '2026-04-03'" and asked(feeds.FEEDS["vending"].dataset) is None
+    assert {c[2] for c in city.calls if c[0] in ids} == {"key"} and len({c[1]["abclqs-date"] for c in city.calls if c[0] == "report"}) == 15
+    city.rows[health].append({"permit_number": "10", "inspection_date": "2026-06-02T00:00:00", "dba": "New Cafe"})
+    assert run(only=["health"])[0] == {"health": 1} and asked(health) == "inspection_date >= '2026-06-01'"
+    assert {r["external_id"]: r["seen"] for r in s.signals().where("source = 'health'").collect()} == {"9-2026-06-01T00:00:00": True, "10-2026-06-02T00:00:00": False}
+    run(only=["health"], since="2026-05-05", full=True)
+    assert asked(health) == "inspection_date >= '2026-05-05'"
+    run(only=["health"], full=True)
+    assert asked(health) == "inspection_date >= '2024-01-01'"
+    assert run(only=["abc"])[0] == {"abc": 0}
+
+
+def test_digest_shows_buckets_hoods_and_venues_in_order(spark):
+    e = lambda i, hood, score, date: signal(f"s{i}", str(i), f"{i}00 Oak St", date, score, f"Bar Number {i} X", hood)
+    rows = [e(1, "B", 3, "2026-07-01"), e(2, "A", 5, "2026-06-30"), e(3, "C", 5, "2026-07-01"), e(4, "A", 4, "2026-07-01"), e(5, "", 3, "2026-07-01"), e(6, "B", 2, "2026-07-02"), e(7, "A", 5, "2026-06-30")]
+    shown = digest.build(frame(spark, *rows), "2026-07-02", 7, 2).shown
+    assert [r["name"].split()[2] for r in venues.in_order(shown).collect()] == ["3", "2", "7", "4", "1", "6", "5"]
+    flat = venues.filings(shown).collect()
+    keys = [(r["bucket_rank"], -r["hood_score"], r["hood_date"], r["venue_rank"]) for r in flat]
+    assert [r["id"] for r in flat] == ["3", "2", "7", "4", "1", "6", "5"] and [k[3] for k in keys] == [1, 1, 2, 3, 1, 2, 1]
+
+
+def test_markdown_and_json_word_by_word(spark):
+    rows = [signal("permit", "p", "1 Oak Street", score=3, hood="Mission"), signal("abc", "a", "1 OAK ST", "2026-06-30", name="Bean"), signal("health", "old", "1 Oak St", "2025-01-01", name="Prior", seen=True)]
+    shown = digest.build(frame(spark, *rows), "2026-07-02", 7, 2).shown
+    assert render.text(shown, 7, True) == """# Early signals — last 7 days
+
+## 🔥 Strong signals
+
+### Mission
+
+- **Bean** — 1 OAK ST — score 5 — 2 filings
+  - 2026-07-01 [permit] [Name p](https://dbiweb02.sfgov.org/dbipts/default.aspx?page=Permit&PermitNumber=p): r
+  - 2026-06-30 [abc] [Bean](https://www.abc.ca.gov/licensing/license-lookup/single-license/?RPTTYPE=12&LICENSE=a): r
+  - earlier: health: Prior (2025-01-01)
+
+2 new signal(s) at 1 venue(s).
+"""
+    out = json.loads(render.as_json(shown, 7, 2, 0, "now"))
+    venue = out["venues"][0]
+    assert list(venue) == ["name", "address", "neighborhood", "date", "score", "bucket", "filings", "history"] and list(venue["filings"][0]) == ["source", "id", "name", "address", "neighborhood", "date", "score", "bucket", "reasons", "url", "description"]
+    assert venue["history"] == [{"source": "health", "name": "Prior", "date": "2025-01-01"}] and out["entries"] == venue["filings"] and venue["filings"][1]["reasons"] == ["r", "corroborated by permit: Name p (2026-07-01), health: Prior (2025-01-01)"]
+    assert render.text(shown.where("false"), 7, True).endswith("\nNo new signals.\n")
+
+
+def test_entries_of_a_neighborhood(spark):
+    rows = [signal("permit", "1", "1 Oak St", hood="Outer Mission"), signal("abc", "2", "1 Oak St"), signal("fire", "3", "9 Elm St", hood="Marina"), signal("vending", "4", "8 Elm St")]
+    made = digest.build(frame(spark, *rows), "2026-07-02", 7, 2, "mISS")
+    assert {r["id"] for r in made.entries.collect()} == {"1", "2"}  # the second inherits it
+    assert [r["id"] for r in digest.candidates(frame(spark, *rows), "2026-06-01", "2026-07-02", 1, "mar_na").collect()] == ["3"]
+
+
+def test_init_makes_a_store(spark, tmp_path):
+    assert cli.main(["--db", f"file://{tmp_path}/db", "init"], spark, "2026-07-02") == 0
+    assert store.Store(spark, f"file://{tmp_path}/db").signals().count() == 0
