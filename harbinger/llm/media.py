@@ -4,7 +4,7 @@ Storing: a payload's bytes become the DC terms of 8x8 blocks (one block a byte,
 the DC-only thumbnail of the image, in which a block is one sample, is the payload. A row of blocks holds 64
 bytes and is a restart interval. Longer payloads than one image can hold become several images in a row.
 
-Reading works on any baseline JPEG (sequential, 8 bits, Huffman): headers are parsed one image at a time, then
+Reading works on any baseline JPEG (sequential, 8 bits, Huffman; one scan or one a component): headers are parsed one image at a time, then
 the entropy-coded intervals of all images of a batch are decoded side by side, a symbol of each per step.
 Only luminance DC terms are kept; chroma and AC terms are decoded to be skipped.
 
@@ -157,7 +157,8 @@ class _Tables:
 
 
 def parse(data: bytes, at: int, tables: _Tables) -> tuple[Image, int]:
-    """The image that starts at `at` and where it ends. Raises ValueError on anything but baseline."""
+    """The image that starts at `at` and where it ends, with the scan that holds its first component, luminance. Raises
+    ValueError on anything but baseline, and on frames larger than their scan can fill."""
     if data[at : at + 2] != b"\xff\xd8":
         raise ValueError("no start of image")
     image, huffman = Image(), {}
@@ -165,6 +166,10 @@ def parse(data: bytes, at: int, tables: _Tables) -> tuple[Image, int]:
     while True:
         while data[at + 1 : at + 2] == b"\xff":
             at += 1
+        if data[at : at + 2] == b"\xff\xd9":
+            if not image.order:
+                raise ValueError("no scan of luminance")
+            return image, at + 2
         if at + 4 > len(data) or data[at] != 0xFF:
             raise ValueError("no marker")
         marker, length = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
@@ -175,7 +180,8 @@ def parse(data: bytes, at: int, tables: _Tables) -> tuple[Image, int]:
         if marker == 0xDB:
             while body:
                 wide, number = body[0] >> 4, body[0] & 15
-                image.dc_quant[number] = int.from_bytes(body[1 : 2 + wide], "big")
+                if not image.order:
+                    image.dc_quant[number] = int.from_bytes(body[1 : 2 + wide], "big")
                 body = body[1 + 64 * (1 + wide) :]
         elif marker == 0xC4:
             while body:
@@ -183,26 +189,41 @@ def parse(data: bytes, at: int, tables: _Tables) -> tuple[Image, int]:
                 huffman[body[0]] = tables.add(body[1:n])
                 body = body[n:]
         elif marker in (0xC0, 0xC1):
-            if body[0] != 8:
-                raise ValueError("not 8 bits")
+            if body[0] != 8 or image.components or not 1 <= body[5] <= 4:
+                raise ValueError("not one frame of 8 bits and at most four components")
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             for k in range(body[5]):
                 c, hv, q = body[6 + 3 * k : 9 + 3 * k]
+                if not (1 <= hv >> 4 <= 4 and 1 <= hv & 15 <= 4) or c in image.components:
+                    raise ValueError("no such sampling")
                 image.components[c] = Component(hv >> 4, hv & 15, q)
+            if not image.width or not image.height:
+                raise ValueError("no size")
         elif 0xC2 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
             raise ValueError("not baseline")
         elif marker == 0xDD:
-            image.restart = int.from_bytes(body, "big")
+            if not image.order:
+                image.restart = int.from_bytes(body, "big")
         elif marker == 0xDA:
-            for k in range(body[0]):
-                c, t = body[1 + 2 * k : 3 + 2 * k]
-                image.components[c].dc, image.components[c].ac = huffman[t >> 4], huffman[16 | t & 15]
-                image.order.append(c)
-            if len(image.order) != len(image.components) or not image.width or not image.height:
-                raise ValueError("not all components in one scan")
-            break
-    image.start = at
-    while True:  # to the next marker that is no restart
+            order = [body[1 + 2 * k] for k in range(body[0])]
+            if not order or len(set(order)) != len(order) or not set(order) <= set(image.components):
+                raise ValueError("a scan of no known components")
+            begin, at = at, _scan_end(data, at)
+            if next(iter(image.components)) not in order or image.order:
+                continue
+            for k, c in enumerate(order):
+                image.components[c].dc, image.components[c].ac = huffman[body[2 + 2 * k] >> 4], huffman[16 | body[2 + 2 * k] & 15]
+            image.order, image.start, image.end = order, begin, at
+            if order[0] != next(iter(image.components)):
+                raise ValueError("luminance is not first")
+            blocks, units, *_ = _layout(image)
+            if 2 * len(blocks) * units > 8 * (at - begin):  # a block has two codes of a bit at least
+                raise ValueError("a scan too short for its frame")
+
+
+def _scan_end(data: bytes, at: int) -> int:
+    """The next marker that is no restart."""
+    while True:
         at = data.find(b"\xff", at)
         if at < 0 or at + 1 >= len(data):
             raise ValueError("no end of image")
@@ -211,20 +232,17 @@ def parse(data: bytes, at: int, tables: _Tables) -> tuple[Image, int]:
         elif data[at + 1] == 0xFF:
             at += 1
         else:
-            break
-    image.end = at
-    if data[at + 1] != 0xD9:
-        raise ValueError("more than one scan")
-    return image, at + 2
+            return at
 
 
 def _layout(image: Image) -> tuple[list[tuple[int, bool]], int, int, int, int]:
     """Blocks of a unit as (component, luminance?), units in all, units a row, luminance blocks across and down in a unit."""
     first = image.order[0]
-    if len(image.order) == 1:
-        across, down = -(-image.width // 8), -(-image.height // 8)
-        return [(first, True)], across * down, across, 1, 1
     h, v = max(c.h for c in image.components.values()), max(c.v for c in image.components.values())
+    if len(image.order) == 1:  # a scan of one component is not padded to whole units
+        own = image.components[first]
+        across, down = -(-(-(-image.width * own.h // h)) // 8), -(-(-(-image.height * own.v // v)) // 8)
+        return [(first, True)], across * down, across, 1, 1
     across, down = -(-image.width // (8 * h)), -(-image.height // (8 * v))
     blocks = [(c, c == first) for c in image.order for _ in range(image.components[c].h * image.components[c].v)]
     return blocks, across * down, across, image.components[first].h, image.components[first].v
@@ -360,7 +378,8 @@ def store_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def read_media(rows: DataFrame, *, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, media_bytes, media_sha256, images, width, height, thumbnail (of all images, one below the
-    other, as bytes) and its average hash, and the columns in `keep`; features are null where the media is null, broken or not baseline."""
+    other, as bytes) and its average hash (where images differ in width, one of each, joined by dashes), and the columns in
+    `keep`; features are null where the media is null, broken or not baseline."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _Tables()
@@ -399,8 +418,8 @@ def read_media(rows: DataFrame, *, id_col: str = "doc_id", media_col: str = "med
                     got = of.get(k, [])
                     if not broken[k] and got and all(x is not None for _, x in got):
                         same = len({x.shape[1] for _, x in got}) == 1
-                        x = np.concatenate([x for _, x in got]) if same else got[0][1]
-                        row |= {"images": len(got), "width": got[0][0].width, "height": sum(i.height for i, _ in got), "thumbnail": x.tobytes(), "hash": average_hash(x)}
+                        hashed = average_hash(np.concatenate([x for _, x in got])) if same else "-".join(average_hash(x) for _, x in got)
+                        row |= {"images": len(got), "width": max(i.width for i, _ in got), "height": sum(i.height for i, _ in got), "thumbnail": b"".join(x.tobytes() for _, x in got), "hash": hashed}
                     out.append(row)
                 own_columns = [whole.column(c).slice(lo, hi - lo) for c in ("doc_id", *keep)]
                 kinds = (("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("images", pa.int32()), ("width", pa.int32()), ("height", pa.int64()), ("thumbnail", pa.binary()), ("hash", pa.string()))

@@ -6,8 +6,9 @@ fetched. A pattern is a host (it covers its subdomains) or a host and a path (it
 Each capture is looked up under the keys that could cover it: its host and the host's parents, alone and with
 each leading part of its path. So the as-of join is an equality of keys with an interval as residual.
 
-Captures of the same address and time are judged once, and a key's captures are spread over SALTS parts with
-the list's rows of hot keys repeated, so that a host with a third of all captures is no single task.
+Captures of the same address and time are judged once. The intervals are counted: up to common.BROADCAST_ROWS they go
+to where the captures are, and no key is shuffled; a longer list is joined by shuffle, with a key's captures spread
+over SALTS parts and the list repeated for each, so that a host with a third of all captures is no single task.
 
 A null or hostless address is kept with verdict `invalid`; a null time matches only entries without a start.
 Times compare half open: an entry counts from its start and no more at its end. Adding what is active, or
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harbinger.llm import common
+
 SALTS = 16
 
 
@@ -55,30 +58,36 @@ def keys(host: Column, path: Column, most: Column) -> Column:
 
 def judge(captures: DataFrame, log: DataFrame, *, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
     """The captures with host, n_active (entries that cover them at their time), pattern (the longest, then the
-    first in order) and verdict (block, allow, invalid). Names clash with none of the captures' own columns."""
-    spans = intervals(log)
-    url, at = F.col("_url"), F.col("_at")
-    once = captures.select(F.col(url_col).alias("_url"), F.col(time_col).alias("_at")).distinct()
-    once = once.withColumn("_host", F.coalesce(host_of(url), F.lit("")))
-    deepest = log.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("_most"))  # parts of the longest path in the list
-    looked = once.where("_host <> ''").crossJoin(F.broadcast(deepest)).select("_url", "_at", F.explode(keys(F.col("_host"), path_of(url), F.col("_most"))).alias("_key"))
-    looked = looked.withColumn("_salt", F.pmod(F.xxhash64("_url", "_at"), F.lit(SALTS)).cast("int"))
-    entries = spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = (F.col("_key") == F.col("pattern")) & (looked["_salt"] == entries["_salt"]) & (F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_to").isNull() | (at < F.col("valid_to")))
-    found = looked.join(entries, hit).groupBy("_url", "_at").agg(F.count(F.lit(1)).alias("n_active"), F.min(F.struct((-F.length("pattern")).alias("n"), F.col("pattern"))).alias("best"))
-    found = found.select(F.col("_url").alias("_u"), F.col("_at").alias("_t"), "n_active", F.col("best.pattern").alias("pattern"))
-    mine = captures.withColumn("_host", F.coalesce(host_of(F.col(url_col)), F.lit("")))
-    joined = mine.join(found, (F.col(url_col) == F.col("_u")) & F.col(time_col).eqNullSafe(F.col("_t")), "left")
-    verdict = F.when(F.col("_host") == "", "invalid").when(F.col("n_active") > 0, "block").otherwise("allow")
+    first in order) and verdict (block, allow, invalid). Columns of the captures may have any names: where they have one
+    of these, the new one is called list_ and the name."""
+    spans = common.table(intervals(log), "url-intervals")
+    rows = spans.count()
+    once = captures.select(F.col(url_col).alias("u"), F.col(time_col).alias("t")).distinct().withColumn("h", F.coalesce(host_of(F.col("u")), F.lit("")))
+    deepest = log.agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("most"))  # parts of the longest path in the list
+    looked = once.where("h <> ''").crossJoin(F.broadcast(deepest)).select("u", "t", F.explode(keys(F.col("h"), path_of(F.col("u")), F.col("most"))).alias("key"))
+    hit = (F.col("key") == F.col("pattern")) & (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("t"))) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to")))
+    if rows <= common.BROADCAST_ROWS:
+        matched = looked.join(F.broadcast(spans), hit)
+    else:
+        salt = F.pmod(F.xxhash64("u", "t"), F.lit(SALTS)).cast("int")
+        entries = spans.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        matched = looked.withColumn("salt", salt).join(entries, hit & (F.col("salt") == F.col("part")))
+    found = matched.groupBy("u", "t").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.length("pattern")).alias("n"), F.col("pattern"))).alias("best"))
     own = {c.lower() for c in captures.columns}
-    out = {"host": F.col("_host"), "n_active": F.coalesce(found["n_active"], F.lit(0)), "pattern": found["pattern"], "verdict": verdict}
-    return joined.select(*[captures[c] for c in captures.columns], *[v.alias(k if k not in own else f"list_{k}") for k, v in out.items()])
+    u, t, n, best, host = (common.unused(c, captures.columns) for c in ("u", "t", "n", "best", "host_"))
+    found = found.select(F.col("u").alias(u), F.col("t").alias(t), F.col("n").alias(n), F.col("best.pattern").alias(best))
+    mine = captures.withColumn(host, F.coalesce(host_of(F.col(url_col)), F.lit("")))
+    joined = mine.join(found, (F.col(url_col) == F.col(u)) & F.col(time_col).eqNullSafe(F.col(t)), "left")
+    verdict = F.when(F.col(host) == "", "invalid").when(F.col(n) > 0, "block").otherwise("allow")
+    out = {"host": F.col(host), "n_active": F.coalesce(F.col(n), F.lit(0)), "pattern": F.col(best), "verdict": verdict}
+    return joined.select(*[F.col(f"`{c}`") for c in captures.columns], *[v.alias(k if k not in own else common.unused(f"list_{k}", captures.columns)) for k, v in out.items()])
 
 
 def derived_log(pages: DataFrame) -> DataFrame:
     """A dated list for the pages table, which has none: by rule from each host's smallest page_id (days since the
     first of January 2024). A third of the hosts are listed and later removed, some are listed again; others have
-    their first folder listed; one entry names a whole domain."""
+    their first folder listed; one entry names a whole domain, and every eleventh page of two folders or more is listed with
+    its whole path, however deep."""
     hosts = pages.select("page_id", host_of(F.col("url")).alias("host"), F.get(F.filter(F.split(path_of(F.col("url")), "/"), lambda x: x != ""), F.lit(0)).alias("folder")).where("host <> ''")
     firsts = hosts.groupBy("host").agg(F.min("page_id").alias("m"))
     m, day = F.col("m"), (F.col("m") * 31 % 365).cast("int")
@@ -90,7 +99,10 @@ def derived_log(pages: DataFrame) -> DataFrame:
     below = folders.select(F.concat("host", F.lit("/"), F.lower("folder")).alias("pattern"), F.lit("add").alias("action"), (F.col("m") * 17 % 365).cast("int").alias("at"))
     named = firsts.select(F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select("x.*")
     domain = pages.sparkSession.createDataFrame([("example.org", "add", 300), ("example.org", "remove", 320)], "pattern string, action string, at int")
-    return named.unionByName(below).unionByName(domain)
+    steps = F.filter(F.split(path_of(F.col("url")), "/"), lambda x: x != "")
+    deep = pages.where("page_id % 11 = 3").select("page_id", host_of(F.col("url")).alias("host"), steps.alias("steps")).where("host <> '' and size(steps) > 1")
+    deep = deep.select(F.concat("host", F.lit("/"), F.lower(F.array_join("steps", "/"))).alias("pattern"), F.lit("add").alias("action"), (F.col("page_id") * 13 % 365).cast("int").alias("at"))
+    return named.unionByName(below).unionByName(deep).unionByName(domain)
 
 
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -113,13 +125,14 @@ log AS (
   UNION ALL SELECT host, 0, m * 31 % 365 + 60 + m % 90 FROM f WHERE m % 3 = 0
   UNION ALL SELECT host, 1, m * 31 % 365 + 200 FROM f WHERE m % 7 = 0
   UNION ALL SELECT host || '/' || lower(folder), 1, m * 17 % 365 FROM d
+  UNION ALL SELECT host || '/' || lower(array_to_string(steps, '/')), 1, page_id * 13 % 365 FROM p WHERE host <> '' AND page_id % 11 = 3 AND len(steps) > 1
   UNION ALL SELECT 'example.org', 1, 300 UNION ALL SELECT 'example.org', 0, 320),
 c AS (SELECT * FROM (SELECT *, coalesce(lag(adds) OVER w, 0) AS was FROM log WINDOW w AS (PARTITION BY pattern ORDER BY since, adds DESC)) WHERE adds <> was),
 s AS (SELECT * FROM (SELECT pattern, adds, since AS valid_from, lead(since) OVER (PARTITION BY pattern ORDER BY since, adds DESC) AS valid_to FROM c) WHERE adds = 1 AND (valid_to IS NULL OR valid_from < valid_to)),
 h AS (SELECT *, string_split(host, '.') AS parts FROM p WHERE host <> ''),
 k AS (
   SELECT DISTINCT page_id, fetched, array_to_string(parts[i:], '.') || lower(CASE WHEN j = 0 THEN '' ELSE '/' || array_to_string(steps[1:j], '/') END) AS key
-  FROM h, unnest(range(1, len(parts) + 1)) AS a(i), unnest(range(0, least(len(steps), 8) + 1)) AS b(j)),
+  FROM h, unnest(range(1, len(parts) + 1)) AS a(i), unnest(range(0, len(steps) + 1)) AS b(j)),
 hit AS (SELECT page_id, count(*) AS n_active, arg_min(pattern, {'n': -length(pattern), 'p': pattern}) AS pattern FROM k JOIN s ON key = pattern AND valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to) GROUP BY page_id)
 SELECT p.page_id, p.fetched, p.host, coalesce(n_active, 0) AS n_active, pattern, CASE WHEN p.host = '' THEN 'invalid' WHEN n_active > 0 THEN 'block' ELSE 'allow' END AS verdict
 FROM p LEFT JOIN hit USING (page_id)

@@ -233,6 +233,49 @@ def test_media_of_several_images_and_broken_ones(spark):
     assert all(got[k]["hash"] is None for k in (2, 3, 4, 5))
 
 
+def test_media_with_senseless_headers_give_null_features(spark):
+    whole = media.store(np.arange(64, dtype=np.uint8), np.array([1]))[0]
+    at = whole.index(b"\xff\xc0") + 4
+    frame = lambda sizes, parts: whole[: at - 2] + (8 + 3 * len(parts)).to_bytes(2, "big") + bytes([8, *sizes, len(parts), *(x for p in parts for x in p)]) + whole[at + 9 :]
+    one = [(1, 0x11, 0)]
+    bad = [frame((0, 8, 2, 0), [(1, 0, 0)]), frame((0, 8, 2, 0), [(1, 0x01, 0)]), frame((0, 8, 2, 0), [(1, 0x10, 0), (2, 0x11, 0)]), frame((0, 8, 2, 0), [(k, 0x11, 0) for k in range(1, 6)]), frame((0xFF, 0xFF, 0xFF, 0xFF), one), frame((0, 0, 2, 0), one), frame((0, 8, 0, 0), one), frame((0, 8, 2, 0), []), frame((0, 8, 2, 0), [(9, 0x11, 0)]), frame((0, 8, 2, 0), [(1, 0x51, 0)])]
+    cut = [whole[:k] + whole[k + 1 :] for k in range(2, len(whole), 7)] + [whole[:k] for k in range(0, len(whole), 5)]
+    rows = spark.createDataFrame([(k, bytes(x)) for k, x in enumerate([whole, frame((0, 8, 2, 0), one), *bad, *cut])], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in media.read_media(rows).collect()}
+    assert bytes(got[0]["thumbnail"]) == bytes(got[1]["thumbnail"]) == bytes(range(64)) and len(got) == rows.count()
+    assert all(got[k]["hash"] is None and got[k]["media_sha256"] for k in range(2, 2 + len(bad)))
+
+
+def test_media_of_different_widths_keep_every_thumbnail(spark):
+    wide, tall = media.store(np.arange(64, dtype=np.uint8), np.array([1]))[0], media.store(np.arange(128, dtype=np.uint8), np.array([2]))[0]
+    at = wide.index(b"\xff\xc0") + 7
+    narrow = wide[:at] + (8).to_bytes(2, "big") + wide[at + 2 :]  # of the 64 blocks one is read
+    rows = spark.createDataFrame([(1, narrow + tall), (2, wide + tall)], "doc_id long, media binary")
+    got = {r["doc_id"]: r for r in media.read_media(rows).collect()}
+    assert bytes(got[1]["thumbnail"]) == bytes([0, *range(128)]) and len(got[1]["hash"]) == 33 and bytes(got[2]["thumbnail"]) == bytes([*range(64), *range(128)]) and len(got[2]["hash"]) == 16
+    x = np.array([*range(64), *range(128)]).reshape(3, 64)  # the hash again, cell by cell
+    cells = [x[r : r + 1, c : c + 8].mean() for r in (0, 0, 0, 1, 1, 1, 2, 2) for c in range(0, 64, 8)]
+    assert got[2]["hash"] == np.packbits(np.array(cells) > np.mean(cells)).tobytes().hex()
+
+
+def test_media_of_one_scan_a_component():
+    """Luminance at 2x2 sampling in a scan of its own, chroma in later ones."""
+    ac, seg = bytes([0x10, 1, *[0] * 15, 0x00]), media._segment
+    light, bits, pred = [5, -3, 40, 7, -9, 2], "", 0
+    for v in light:
+        d, pred = v - pred, v
+        n = abs(d).bit_length()
+        code, length = media._DC[n]
+        bits += f"{code:0{length}b}" + (f"{d if d > 0 else d + (1 << n) - 1:0{n}b}" if n else "") + "0"
+    bits += "1" * (-len(bits) % 8)
+    body = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    data = b"\xff\xd8" + seg(0xDB, bytes([0] + [8] * 64)) + seg(0xC0, bytes([8, 0, 16, 0, 20, 3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])) + seg(0xC4, bytes([0, *media.DC_COUNTS, *media.DC_VALUES])) + seg(0xC4, ac)
+    data += b"".join(seg(0xDA, bytes([1, c, 0, 0, 63, 0])) + (body if c == 1 else b"\x00\x00") for c in (2, 1, 3)) + b"\xff\xd9"
+    tables = media._Tables()
+    image, end = media.parse(data, 0, tables)
+    assert end == len(data) and media.thumbnails(data, [image], tables)[0].tolist() == [[133, 125, 168], [135, 119, 130]]
+
+
 def test_media_skips_colour_and_ac_terms():
     """An image of three components at 2x2 sampling with AC terms, without restarts, written here bit by bit."""
     ac = bytes([0, 2, 0, *[0] * 13, 0x00, 0x01])  # codes 00: end of block, 01: run 0, size 1
@@ -488,6 +531,19 @@ def test_url_list_is_judged_at_fetch_time(spark):
     assert url_filter.judge(spark.createDataFrame([], "url string, fetched int"), log).count() == 0
 
 
+def test_url_list_takes_captures_with_columns_of_any_name(spark, monkeypatch):
+    log = spark.createDataFrame([("bad.com", "add", 10)], "pattern string, action string, at int")
+    names = ["n_active", "_host", "host", "_u", "u", "t", "n", "best", "host_", "pattern", "list_pattern", "_key", "key", "most", "valid_from", "part", "salt"]
+    rows = spark.createDataFrame([("http://bad.com/a", 12), ("http://ok.com", 12), ("http://bad.com/a", 12)], "url string, fetched int").withColumns({c: F.lit(7) for c in names})
+    for most in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        got = url_filter.judge(rows, log)
+        assert got.columns[: len(rows.columns)] == rows.columns and got.columns[len(rows.columns) :] == ["list_host", "list_n_active", "_list_pattern", "verdict"]
+        assert sorted((r["verdict"], r["list_n_active"], r["n_active"]) for r in got.collect()) == [("allow", 0, 7), ("block", 1, 7), ("block", 1, 7)]
+        none = url_filter.judge(rows, log.where("false")).collect()
+        assert len(none) == 3 and {r["verdict"] for r in none} == {"allow"}
+
+
 def test_url_list_names_paths_of_any_depth(spark):
     path = "/".join("abcdefghijkl")
     captures = spark.createDataFrame([(1, f"http://x.deep.com/{path}/m?q", 5), (2, f"http://deep.com/{path[:-2]}", 5), (3, "http://deep.com/", 5), (4, f"http://deep.com/{path}", 5), (5, f"http://other.com/{path}", 5)], "id long, url string, fetched int")
