@@ -7,6 +7,8 @@ pages by fixed integer arithmetic (never presented as real). The same rules stan
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from harbinger.operators import corroborate as co
 from harbinger.operators import scoring, store
 from harbinger.operators import venues as ve
 from harbinger.plans import digest
-from harbinger.sources import report
+from harbinger.sources import feeds, report
 
 AS_OF, DAYS, MIN_SCORE = "2001-08-01", 365, 2
 CUTOFF = "2000-08-01"
@@ -48,6 +50,18 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.try_parse_json(body).alias("r"))
 
 
+def feed_signals(spark, sf_dir):
+    """Every feed's signals from the same raw rows; that of inspections as in its first, quiet run."""
+    rows = spark.sql(catalog_sql.FEED_ROWS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    strings = [F.col(c).alias("id" if c == "vid" else c) for c in rows.columns if c not in ("id", "tables", "display")]
+    flags = lambda c: F.when(F.col(c) == 1, F.lit("true")).when(F.col(c) == 2, F.lit('"true"')).otherwise(F.lit("false"))
+    body = F.concat(F.regexp_replace(F.to_json(F.struct(*strings)), r"\}$", ""), F.lit(',"tablesandchairs":'), flags("tables"), F.lit(',"displaymerchandise":'), flags("display"), F.lit("}"))
+    raw = rows.select(F.col("id").cast("long").alias("seq"), body.alias("raw"))
+    out = [feeds.signals(raw, f, "2024-12-31", None, f.quiet_backfill) for f in feeds.FEEDS.values()]
+    every = functools.reduce(DataFrame.unionByName, [x.select("source", "external_id", "name", "address", "date", "neighborhood", "score", F.array_join("reasons", "; ").alias("reasons"), "seen", "raw") for x in out])
+    return every.withColumn("raw_record", F.get_json_object("raw", "$.record_id")).drop("raw")
+
+
 def scored(rule) -> callable:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return raw_rows(spark, sf_dir).select("id", rule(F.col("r")).alias("s")).select("id", F.col("s.score").alias("score"), F.array_join("s.reasons", "; ").alias("reasons"))
@@ -225,7 +239,7 @@ QUERIES = {
     "score_business": scored(scoring.business), "score_permit": scored(scoring.permit), "score_planning": scored(scoring.planning), "score_electrical": scored(scoring.electrical), "score_plumbing": scored(scoring.plumbing),
     "score_fire": scored(scoring.fire), "score_vending": scored(scoring.vending), "score_mobile_food": scored(scoring.mobile_food), "score_entertainment": scored(scoring.entertainment), "score_tables_chairs": scored(scoring.tables_chairs),
 } | {f.__name__: f for f in (
-    score_license, first_event_per_key, watermark, report_days, upsert_merge, snapshot_diff, mark_seen, archive_stale, legacy_migrate, digest_candidates, corroborate_address, corroborate_name, inherit_neighborhood,
+    score_license, feed_signals, first_event_per_key, watermark, report_days, upsert_merge, snapshot_diff, mark_seen, archive_stale, legacy_migrate, digest_candidates, corroborate_address, corroborate_name, inherit_neighborhood,
     corroborated_scores, neighborhood_filter, venue_assign, venue_summary, venue_history, digest_order, bucket_counts, strip_tags, parse_report, snippet,
 )}
 SQL = catalog_sql.SQL

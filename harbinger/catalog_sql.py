@@ -45,6 +45,25 @@ FROM part
 
 
 
+def _day(n: int) -> str:
+    return f"concat('2024-0', CAST(id % {n} % 9 + 1 AS STRING), '-1', CAST(id % 10 AS STRING), 'T00:00:00.000')"
+
+
+#: The same rows with the fields of all feeds; vid stands for the field id.
+FEED_ROWS = f"""
+SELECT r.*, CASE WHEN id % 13 = 0 THEN '' ELSE concat('u', CAST(id AS STRING)) END AS uniqueid, CASE WHEN id % 17 = 0 THEN '' ELSE concat('P', CAST(id % 700 AS STRING)) END AS permit_number,
+  CASE WHEN id % 19 = 0 THEN '' ELSE concat('v', CAST(id AS STRING)) END AS vid, concat(CAST(id % 90 AS STRING), ' Oak St') AS full_business_address,
+  {_pick('id', ('12', '', '7'))} AS street_number, {_pick('id', ('Mission', 'Oak'))} AS street_name, {_pick('id', ('St', '', 'Ave', 'Ave'))} AS street_suffix, {_pick('id', ('', '4', '', 'B', ''))} AS unit,
+  {_pick('id', ('Mission', 'Marina', ''))} AS neighborhoods_analysis_boundaries, {_pick('id', ('Sunset', ''))} AS analysis_neighborhood, concat('Dba ', CAST(id AS STRING)) AS dba, concat(CAST(id % 40 AS STRING), ' Elm St') AS street_address,
+  concat('o', CAST(id AS STRING)) AS objectid, concat('App ', CAST(id % 30 AS STRING)) AS applicant, concat(CAST(id % 20 AS STRING), ' Fir St') AS address, concat('r', CAST(id AS STRING)) AS record_id,
+  {_pick('id', ('', 'Tower', 'Cafe'))} AS project_name, {_pick('id', ('1 Pine  St 94110', '2 Pine St', '', '94110'))} AS project_address, {_pick('id', ('', 'Fire Co'))} AS dba_name_associated_with_this_permit_holder,
+  concat('Holder ', CAST(id % 10 AS STRING)) AS permit_holder, concat(CAST(id % 60 AS STRING), ' Ash St') AS permit_address, {_pick('id', ('', 'Cart'))} AS dbaname, concat('Biz ', CAST(id % 25 AS STRING)) AS businessname,
+  {_pick('id', ('', 'Market', 'Polk'))} AS vendinglocationstreet, {_pick('id', ('5th', '', '6th', '7th'))} AS vendinglocationcrossstreet, concat(CAST(id % 70 AS STRING), ' Bay St') AS streetaddress,
+  {_day(30)} AS dba_start_date, {_day(31)} AS filed_date, {_day(32)} AS inspection_date, concat('20240', CAST(id % 9 + 1 AS STRING), '1', CAST(id % 10 AS STRING)) AS received, {_day(33)} AS open_date, {_day(34)} AS permit_application_date, {_day(35)} AS submission_created
+FROM ({RAW_FIELDS}) r
+"""
+
+
 def _address_key(x: str) -> str:
     """Tokens, cut at a unit word, ordinal, house number and suffix, for the words that FILINGS can hold."""
     t = f"list_filter(string_split_regex(translate(upper({x}), ',.', ''), '\\s+'), lambda t: t <> '')"
@@ -201,3 +220,30 @@ CAST(p AS INTEGER) AS position, m.source, m.id, m.name, m.date, m.score FROM ran
     "snippet": r"""WITH c AS (SELECT conv_id, turn, conv_id % 4 AS k, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)
 SELECT conv_id, turn, CASE WHEN k = 2 OR t = '' OR t IS NULL THEN NULL WHEN length(t) <= 120 THEN t ELSE rtrim(t[:117]) || '...' END AS snippet FROM c""",
 }
+
+_STREET = "array_to_string(list_filter([street_number, street_name, street_suffix], lambda x: x <> ''), ' ')"
+#: By feed: id, name, address, day, neighborhood, least score.
+_FEEDS = {
+    "business": ("uniqueid", "coalesce(nullif(dba_name, ''), ownership_name)", "full_business_address", "dba_start_date[:10]", "neighborhoods_analysis_boundaries", 0),
+    "permit": ("permit_number", "'Permit ' || permit_number", f"{_STREET} || CASE WHEN unit = '' THEN '' ELSE ', unit ' || unit END", "filed_date[:10]", "neighborhoods_analysis_boundaries", 0),
+    "entertainment": ("permit_number", "dba_name", "street_address", "'2024-12-31'", "analysis_neighborhood", 0),
+    "health": ("permit_number || '-' || inspection_date", "dba", "street_address", "inspection_date[:10]", "analysis_neighborhood", 1),
+    "mobile_food": ("objectid", "applicant", "address", "received[:4] || '-' || received[5:6] || '-' || received[7:8]", "''", 0),
+    "planning": ("record_id", "coalesce(nullif(project_name, ''), record_id)", "CASE project_address WHEN '1 Pine  St 94110' THEN '1 Pine St' WHEN '94110' THEN '' ELSE project_address END", "open_date[:10]", "''", 2),
+    "fire": ("permit_number", "coalesce(nullif(dba_name_associated_with_this_permit_holder, ''), permit_holder)", "permit_address", "permit_application_date[:10]", "''", 2),
+    "vending": ("vid", "dbaname", "vendinglocationstreet || CASE WHEN vendinglocationstreet = '' OR vendinglocationcrossstreet = '' THEN '' ELSE ' & ' || vendinglocationcrossstreet END", "'2024-12-31'", "analysis_neighborhood", 0),
+    "tables_chairs": ("vid", "coalesce(nullif(dbaname, ''), businessname)", "streetaddress", "submission_created[:10]", "analysis_neighborhood", 0),
+    "electrical": ("permit_number", "'Permit ' || permit_number", _STREET, "filed_date[:10]", "neighborhoods_analysis_boundaries", 2),
+    "plumbing": ("permit_number", "'Permit ' || permit_number", _STREET, "filed_date[:10]", "neighborhoods_analysis_boundaries", 2),
+}
+_FIRST = """SELECT id, CAST(CASE WHEN n = 1 THEN 3 ELSE 0 END AS INTEGER) AS score, CASE WHEN n = 1 THEN 'first health inspection since 2024' ELSE '' END AS reasons FROM (SELECT id, row_number() OVER (PARTITION BY permit_number ORDER BY inspection_date, id) AS n FROM w)"""
+
+
+def _feed(key: str) -> str:
+    own, name, address, day, hood, least = _FEEDS[key]
+    score = _FIRST if key == "health" else SQL[f"score_{key}"]
+    return f"""SELECT '{key}' AS source, {own} AS external_id, {name} AS name, {address} AS address, {day} AS date, {hood} AS neighborhood, score, reasons, {'true' if key == 'health' else 'false'} AS seen, record_id AS raw_record
+FROM w JOIN ({score}) AS s USING (id) WHERE trim({own}, '-') <> '' AND score >= {least}"""
+
+
+SQL["feed_signals"] = f"WITH w AS ({FEED_ROWS}) " + " UNION ALL ".join(map(_feed, _FEEDS))

@@ -80,7 +80,8 @@ FEEDS = {f.key: f for f in (
 
 def signals(rows: DataFrame, feed: Feed, today: str, stored: DataFrame | None = None, quiet: bool = False) -> DataFrame:
     """Raw rows (seq long, raw string) to signals with seq. Rows without an id and those below the feed's least score go."""
-    r = parsed(F.col("raw"))
+    rows = rows.select("seq", F.explode(F.array(parsed(F.col("raw")))).alias("_r"))  # read once, where a projection would be read by every field
+    r = F.col("_r")
     date = normal_date(field(r, feed.date_field)) if feed.date_field else F.lit(today)
     out = rows.select(
         F.col("seq"), F.lit(feed.key).alias("source"), feed.external_id(r).alias("external_id"), feed.name(r).alias("name"), feed.address(r).alias("address"), date.alias("date"),
