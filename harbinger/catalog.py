@@ -176,8 +176,8 @@ def corroborated_scores(spark, sf_dir):
 def neighborhood_filter(spark, sf_dir):
     """Both filters by neighborhood: of stored rows by pattern, and of entries after inheritance."""
     rows, entries, _ = _entries(spark, sf_dir)
-    stored_rows = digest.candidates(rows, CUTOFF, AS_OF, digest.selection_floor(MIN_SCORE), "uNi_ed")
-    inherited = digest.in_neighborhood(co.inherit(entries, co.neighborhoods(rows)), "InD")
+    stored_rows = digest.candidates(rows, CUTOFF, AS_OF, digest.selection_floor(MIN_SCORE), "T_on_1")
+    inherited = digest.in_neighborhood(co.inherit(entries, co.neighborhoods(rows)), "TiOn_2")
     one = lambda x, kind: x.select(F.lit(kind).alias("filter"), "source", "id", "neighborhood")
     return one(stored_rows, "stored").unionByName(one(inherited, "entries"))
 

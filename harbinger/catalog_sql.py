@@ -203,8 +203,8 @@ SELECT source, external_id, CASE WHEN have OR source = 'permit' THEN name WHEN k
     "corroborate_name": f"WITH {_BASE} SELECT source, id, hits FROM {_hits('nk', 2)}",
     "inherit_neighborhood": f"WITH {_BASE}, {_INHERIT} SELECT source, id, coalesce(nullif(neighborhood, ''), inherited, '') AS neighborhood FROM cand LEFT JOIN hood USING (ak)",
     "corroborated_scores": f"WITH {_BASE}, {_ENTRIES} SELECT source, id, score, n_reasons, reasons FROM ent",
-    "neighborhood_filter": f"""WITH {_BASE}, {_INHERIT} SELECT 'stored' AS filter, source, external_id AS id, neighborhood FROM st WHERE NOT seen AND score >= 1 AND date >= '2000-08-01' AND date <= '2001-08-01' AND neighborhood ILIKE '%uni_ed%'
-UNION ALL SELECT 'entries', source, id, coalesce(nullif(neighborhood, ''), inherited, '') FROM cand LEFT JOIN hood USING (ak) WHERE contains(lower(coalesce(nullif(neighborhood, ''), inherited, '')), 'ind')""",
+    "neighborhood_filter": f"""WITH {_BASE}, {_INHERIT} SELECT 'stored' AS filter, source, external_id AS id, neighborhood FROM st WHERE NOT seen AND score >= 1 AND date >= '2000-08-01' AND date <= '2001-08-01' AND neighborhood ILIKE '%t_on_1%'
+UNION ALL SELECT 'entries', source, id, coalesce(nullif(neighborhood, ''), inherited, '') FROM cand LEFT JOIN hood USING (ak) WHERE contains(lower(coalesce(nullif(neighborhood, ''), inherited, '')), 'tion_2')""",
     "venue_assign": f"WITH {_BASE}, {_venues('cand')} SELECT source, id, venue_key FROM asg",
     "venue_summary": f"WITH {_BASE}, {_venues('cand')} SELECT venue_key, name, address, neighborhood, score, date, CAST(n_entries AS INTEGER) AS n_entries, first_id FROM ven",
     "venue_history": f"""{_DISPLAY}, vk AS (SELECT venue_key, CASE WHEN strlen({_address_key('address')}) >= 5 THEN {_address_key('address')} ELSE '' END AS ak FROM shown),
