@@ -319,6 +319,94 @@ def test_vectors(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def brute_links(x):
+    """How many others each row links with, and the least row that each can reach, at 0.95."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    label = np.arange(len(x))
+    while True:
+        least = np.minimum(label, np.where(links, label[None, :], len(x)).min(axis=1))
+        if (least == label).all():
+            return links.sum(axis=1), label
+        label = least
+
+
+def clustered(n, width, groups, noise):
+    centres = rng.normal(size=(groups, width))
+    return centres[rng.integers(0, groups, n)] + noise * rng.normal(size=(n, width))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_over_many_bands(spark, monkeypatch, kind):
+    """Groups over several bands and tiles, ties on the leading axis, repeated ids, unequal lengths, clashing names."""
+    monkeypatch.setattr(embed_dedup, "LEAST_BAND_ROWS", 40)
+    x = clustered(700, 24, 60, 0.12)
+    x[600:640, :] = x[600] * rng.uniform(0.5, 2, (40, 1))  # one direction: ties
+    x[650:660, 20:] = 0
+    x = x.astype(np.float32).astype(float)
+    count, label = brute_links(x)
+    rows = [(k, v[:20].tolist() if 650 <= k < 660 else v.tolist(), "b", 1, 2) for k, v in enumerate(x)]
+    schema = f"vec_id long, embedding array<{kind}>, band string, pair int, tile int"
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, schema).repartition(5), tile_rows=16).collect()}
+    assert count.sum() > 1000 and len(set(label)) > 20
+    assert [got[k]["n_links"] for k in range(700)] == count.tolist() and [got[k]["component_id"] for k in range(700)] == label.tolist()
+    twice = embed_dedup.near_duplicates(spark.createDataFrame(rows[:50] * 2 + [(999, None, "", 0, 0)], schema)).collect()
+    assert len(twice) == 101 and all(r["n_links"] % 2 == 1 for r in twice if r["vec_id"] != 999)
+
+
+def test_only_unsound_vectors(spark):
+    got = embed_dedup.near_duplicates(spark.createDataFrame([(1, None), (2, [0.0]), (3, [float("nan")]), (None, [1.0])], "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"]) == [(k, 0, k, True) for k in (1, 2, 3)]
+
+
+def sent(spark, x, cores=8, tile_rows=16):
+    """Tiles, bands, and rows of (tile, pair) that travel."""
+    classes = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(x)], "rep long, copies long, embedding array<double>")
+    rows = embed_dedup.band_rows(len(x), x.shape[1], 8, cores)
+    basis = embed_dedup.axes(x / np.linalg.norm(x, axis=1, keepdims=True))
+    blocks = common.table(embed_dedup.tiles(classes, x.shape[1], basis, tile_rows, -(-4 * len(x) // rows)), "tiles")
+    boxes = embed_dedup.with_bands(blocks.select("tile", "n", "lo", "hi"), rows)
+    needs = embed_dedup.band_pairs(boxes, x.shape[1], 0.95)
+    return blocks.count(), boxes.select("band").distinct().count(), needs.count()
+
+
+def test_what_travels_grows_with_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "LEAST_BAND_ROWS", 40)
+    tiles, bands, rows = sent(spark, rng.normal(size=(400, 24)))  # even in all directions: no box can prune
+    more, same, wide = sent(spark, rng.normal(size=(1600, 24)))
+    assert rows <= tiles * (bands + 1) and wide <= more * (same + 1) and max(bands, same) <= 7
+    assert wide / more <= 1.3 * rows / tiles  # as often a tile at four times the vectors
+
+
+def test_far_tiles_do_not_travel(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "LEAST_BAND_ROWS", 40)
+    x = np.zeros((800, 6))  # a curve in the plane: boxes are small and far apart
+    turn = np.linspace(0, np.pi, 800)
+    x[:, 0], x[:, 1], x[:, 2:] = np.cos(turn), np.sin(turn), 1e-3 * rng.normal(size=(800, 4))
+    tiles, bands, rows = sent(spark, x)
+    assert bands >= 4 and rows < 0.75 * tiles * bands
+
+
+def test_dead_rows_and_columns_are_dropped_exactly():
+    x = clustered(900, 40, 12, 0.08)
+    basis = embed_dedup.axes(x / np.linalg.norm(x, axis=1, keepdims=True))
+    tile = lambda y: embed_dedup.prepared(y, basis, np.arange(len(y)), np.ones(len(y), np.int64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for a, b, want in ((x[:500], x[500:], u[:500] @ u[500:].T >= 0.95), (x, x, np.triu(u @ u.T >= 0.95, 1))):
+        left = tile(a)
+        right = left if a is b else tile(b)
+        got = np.zeros_like(want)
+        for i, j in embed_dedup.links(left, right, 0.95):
+            got[i, j] = True
+        assert want.sum() > 1000 and (got == want).all()
+
+
+def test_band_rows():
+    assert embed_dedup.band_rows(10_256, 64, 4, 6) == 2052 and embed_dedup.band_rows(51_282, 64, 4, 6) == 10_257  # five bands, 15 pairs
+    assert embed_dedup.band_rows(10**9, 64, 4, 4000) * 64 * 8 <= embed_dedup.BAND_BYTES and embed_dedup.band_rows(0, 64, 4, 1) >= 1
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(5, 5), (7, 3), (3, 7), (3, 1)] + [(1000, 1000 + k) for k in range(1, 200)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
