@@ -11,7 +11,7 @@ segments that are empty are empty in both sets, so a set with at most e of them
 linked to it. Sets with more than e empty segments also give the keys of a further sketch with another hash, and so
 on; those that have too many in all LEVELS sketches (next to none, see `spares`) give the empty segments of the
 last one too. Documents that share a key are candidates; a second, short sketch of one bit a shingle drops those
-whose Hamming distance is above d; the rest are verified on their texts.
+whose Hamming distance is above d; the rest are verified on the words of their texts, not on hashes.
 
 No group is ever expanded into all its pairs:
 1. documents of equal sets are one class, represented by the smallest id;
@@ -59,7 +59,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     """Distinct shingle hashes of each text, sorted by text, then hash: hashes and text numbers."""
     with np.errstate(over="ignore"):
         start, end, doc = bytescan.words(data, offsets)
-        word = bytescan.hashes(bytescan.lowered(data), start, end)
+        word = bytescan.block_hashes(bytescan.blocks(bytescan.lowered(data), start, end))
         if not word.size:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         count = np.bincount(doc, minlength=offsets.size - 1)
@@ -86,6 +86,27 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
         return h[new], own[new]
 
 
+def exact_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text as numbers, equal exactly where the words are, and text numbers, sorted by both."""
+    start, end, doc = bytescan.words(data, offsets)
+    if not start.size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    word = bytescan.numbered(bytescan.lowered(data), start, end) + 1
+    count = np.bincount(doc, minlength=offsets.size - 1)
+    first = np.cumsum(count) - count
+    # a shorter text is one shingle of all its words, filled with zeros
+    at = np.concatenate([np.flatnonzero(doc[: word.size - k + 1] == doc[k - 1 :]) if word.size >= k else np.empty(0, np.int64), first[(count > 0) & (count < k)]])
+    own = doc[at]
+    ends = first[own] + count[own]
+    step = int(word.max()) + 1
+    x = word[at]
+    for j in range(1, k):
+        x = x * step + np.where(at + j < ends, word[np.minimum(at + j, word.size - 1)], 0)
+        x = np.unique(x, return_inverse=True)[1]
+    once = np.unique(own * (int(x.max()) + 1) + x)
+    return once % (int(x.max()) + 1), once // (int(x.max()) + 1)
+
+
 def bands(most: int = 1 << 40) -> np.ndarray:
     """First sizes of the bands."""
     out = [1]
@@ -346,9 +367,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
             _, o2 = bytescan.raw(whole.column("tb"))
             for lo, hi in bytescan.passes(o1 + o2):
                 b = whole.slice(lo, hi - lo)
-                h1, own1 = shingles(*bytescan.raw(b.column("ta")), k)
-                h2, own2 = shingles(*bytescan.raw(b.column("tb")), k)
-                h, own = np.concatenate([h1, h2]), np.concatenate([own1, own2])
+                d1, x1 = bytescan.raw(b.column("ta"))
+                d2, x2 = bytescan.raw(b.column("tb"))
+                h, own = exact_shingles(np.concatenate([d1, d2]), np.concatenate([x1, x2[1:] + x1[-1]]), k)
+                own %= b.num_rows
                 order = np.lexsort((h, own))
                 h, own = h[order], own[order]
                 same = np.flatnonzero((h[1:] == h[:-1]) & (own[1:] == own[:-1]))

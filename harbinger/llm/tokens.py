@@ -2,7 +2,8 @@
 
 Both tokenizers never merge across a single space or line break between two characters that are not
 white space, so a text can be cut there and each distinct piece needs to be encoded only once a worker.
-Texts with other white space, or two such characters in a row, go to the library whole.
+Texts with other white space, or two such characters in a row, go to the library whole. Pieces are found by a hash and
+then compared byte by byte; a text with a piece whose hash is another's goes to the library whole as well.
 """
 
 from __future__ import annotations
@@ -48,9 +49,12 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.size, self.flat = np.empty(0, np.int64), np.empty(0, "<u2")
+        none = np.empty(0, np.int64)
+        #: The bytes of each piece, in the order of `keys` but for `value`, and what stood before it.
+        self.bytes, self.kind = bytescan.Blocks(np.empty(0, np.uint64), none, none, none, none), none
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes], kinds: list[int]) -> None:
-        """Encodes new pieces, many in one call, with a mark between them that is a token of its own."""
+    def _learn(self, keys: np.ndarray, pieces: list[bytes], kinds: list[int], body: bytescan.Blocks, spans: np.ndarray) -> None:
+        """Encodes new pieces, which are spans of body, many in one call, with a mark between them that is a token of its own."""
         found: list[np.ndarray] = []
         for lo in range(0, len(pieces), JOIN_PIECES):
             some = pieces[lo : lo + JOIN_PIECES]
@@ -75,6 +79,12 @@ class PieceEncoder:
         self.keys = all_keys[order]
         self.at, self.size = np.concatenate([self.at, first])[order], np.concatenate([self.size, size])[order]
         self.flat = np.concatenate([self.flat, flat])
+        count, old = body.count[spans], self.bytes
+        ends = np.cumsum(count)
+        value = body.value[np.repeat(body.first[spans] - ends + count, count) + np.arange(int(count.sum()))]
+        both = lambda x, y: np.concatenate([x, y])[order]
+        self.bytes = bytescan.Blocks(np.concatenate([old.value, value]), old.span, both(old.first, ends - count + old.value.size), both(old.count, count), both(old.size, body.size[spans]))
+        self.kind = both(self.kind, kind)
 
     def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Whether each text has white space other than single spaces and line breaks inside it."""
@@ -106,11 +116,11 @@ class PieceEncoder:
             parts.append(ids)
         return (np.concatenate(parts) if parts else np.empty(0, "<u2")), counts
 
-    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, data: np.ndarray, offsets: np.ndarray, odd: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         n = offsets.size - 1
         if not data.size:
             return np.empty(0, "<u2"), np.zeros(n, np.int64)
-        odd = self._odd(data, offsets)
+        odd = self._odd(data, offsets) if odd is None else odd
         start, end, doc = bytescan.words(data, offsets)
         keep = ~odd[doc]
         keep_start, keep_end, keep_doc = start[keep], end[keep], doc[keep]
@@ -118,8 +128,9 @@ class PieceEncoder:
         if self.spaced and keep_start.size:
             kind[data[np.maximum(keep_start - 1, 0)] == 10] = 1
             kind[keep_start == offsets[keep_doc]] = 2
-        key = bytescan.hashes(data, keep_start, keep_end) ^ np.array(_KIND, np.uint64)[kind]
-        once, back = np.unique(key, return_inverse=True)
+        body = bytescan.blocks(data, keep_start, keep_end)
+        key = bytescan.block_hashes(body) ^ np.array(_KIND, np.uint64)[kind]
+        once, where, back = np.unique(key, return_index=True, return_inverse=True)
         length = np.zeros(once.size, np.int64)
         if once.size:
             if self.keys.size > TABLE_PIECES:
@@ -128,14 +139,22 @@ class PieceEncoder:
             known = np.zeros(once.size, bool)
             inside = place < self.keys.size
             known[inside] = self.keys[place[inside]] == once[inside]
+            head = where[back]
+            sound = (kind == kind[head]) & bytescan.same_spans(body, np.arange(back.size), body, head)
+            had = np.flatnonzero(known)
+            other = (self.kind[place[had]] != kind[where[had]]) | ~bytescan.same_spans(body, where[had], self.bytes, place[had])
+            if other.any() or not sound.all():  # pieces that differ have one hash
+                met = np.zeros(once.size, bool)
+                met[had[other]] = True
+                odd = odd.copy()
+                odd[keep_doc[met[back] | ~sound]] = True
+                return self._encode(data, offsets, odd)
             if not known.all():
-                where = np.empty(once.size, np.int64)
-                where[back] = np.arange(back.size)
                 new = np.flatnonzero(~known)
                 at = where[new]
-                body = data.tobytes()
-                pieces = [body[i:j] for i, j in zip(keep_start[at].tolist(), keep_end[at].tolist(), strict=True)]
-                self._learn(once[new], pieces, kind[at].tolist())
+                text = data.tobytes()
+                pieces = [text[i:j] for i, j in zip(keep_start[at].tolist(), keep_end[at].tolist(), strict=True)]
+                self._learn(once[new], pieces, kind[at].tolist(), body, at)
                 place = np.searchsorted(self.keys, once)
             length, first = self.size[place], self.at[place]
             size_of, first_of = length[back], first[back]
