@@ -8,6 +8,7 @@ pages by fixed integer arithmetic (never presented as real). The same rules stan
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +116,46 @@ def upsert_merge(spark, sf_dir):
     return out.select("source", "external_id", "name", "date", "first_seen", "score", "seen")
 
 
+def _store(spark: SparkSession, **options) -> store.Store:
+    """A store of this call's own in the folder that driver and executors share."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return store.Store(spark, f"{top.rstrip('/')}/harbinger-stores/{uuid.uuid4().hex}", **options)
+
+
+def upsert_sink(spark, sf_dir):
+    """upsert_merge by the store: a first commit, then the batch as changes, read merged."""
+    full = filings(spark, sf_dir).withColumns({"raw": F.lit(""), "reasons": F.array(F.lit("filed")), "first_seen": F.col("date")})
+    s = _store(spark)
+    s.commit(full.where("k % 4 <> 1").drop("k"), {})
+    s.upsert(_batch(full).drop("k"))
+    return s.signals().select("source", "external_id", "name", "date", "first_seen", "score", "seen")
+
+
+def _two_commits(spark, sf_dir) -> store.Store:
+    """A store that got the filings in two parts: the second part's rows, and a part of the first with another name,
+    address, neighborhood and score before that is put right by the second."""
+    rows = stored(spark, sf_dir)
+    k = F.col("external_id").cast("long")
+    wrong = rows.where(k % 5 == 2).withColumns({"name": F.concat(F.lit("Wrong "), "name"), "address": F.lit("1 Wrong Street"), "neighborhood": F.lit("Nowhere"), "score": F.lit(5)})
+    s = _store(spark)
+    s.commit(rows.where(k % 5 < 2).unionByName(wrong), {})
+    s.upsert(rows.where(k % 5 >= 2).withColumn("seq", F.lit(0)))
+    return s
+
+
+def digest_from_store(spark, sf_dir):
+    """digest_order from a store's window and lists, after a commit that changes rows and adds others."""
+    return ve.filings(digest.from_store(_two_commits(spark, sf_dir), AS_OF, DAYS, MIN_SCORE).shown)
+
+
+def corroborate_from_store(spark, sf_dir):
+    """corroborate_address from the store's lists."""
+    s = _two_commits(spark, sf_dir)
+    entries = digest.rescued(digest.candidates(s.window(CUTOFF, AS_OF), CUTOFF, AS_OF, digest.selection_floor(MIN_SCORE)), MIN_SCORE).withColumn("key", tn.matchable_address(F.col("address")))
+    rows = entries.join(co.listed_index(s.listed("address"), digest.keys_of(entries, F.col("key"))), "key", "left")
+    return rows.select("source", "id", co.listed(co.others(F.col("filings"), F.col("source"), co.ADDRESS_HITS)).alias("hits"))
+
+
 def snapshot_diff(spark, sf_dir):
     rows = filings(spark, sf_dir)
     return store.new_only(rows.where("k % 4 <> 1"), rows).select("source", "external_id", "name")
@@ -239,7 +280,7 @@ QUERIES = {
     "score_business": scored(scoring.business), "score_permit": scored(scoring.permit), "score_planning": scored(scoring.planning), "score_electrical": scored(scoring.electrical), "score_plumbing": scored(scoring.plumbing),
     "score_fire": scored(scoring.fire), "score_vending": scored(scoring.vending), "score_mobile_food": scored(scoring.mobile_food), "score_entertainment": scored(scoring.entertainment), "score_tables_chairs": scored(scoring.tables_chairs),
 } | {f.__name__: f for f in (
-    score_license, feed_signals, first_event_per_key, watermark, report_days, upsert_merge, snapshot_diff, mark_seen, archive_stale, legacy_migrate, digest_candidates, corroborate_address, corroborate_name, inherit_neighborhood,
+    score_license, feed_signals, first_event_per_key, watermark, report_days, upsert_merge, upsert_sink, digest_from_store, corroborate_from_store, snapshot_diff, mark_seen, archive_stale, legacy_migrate, digest_candidates, corroborate_address, corroborate_name, inherit_neighborhood,
     corroborated_scores, neighborhood_filter, venue_assign, venue_summary, venue_history, digest_order, bucket_counts, strip_tags, parse_report, snippet,
 )}
-SQL = catalog_sql.SQL
+SQL = catalog_sql.SQL | {"upsert_sink": catalog_sql.SQL["upsert_merge"], "digest_from_store": catalog_sql.SQL["digest_order"], "corroborate_from_store": catalog_sql.SQL["corroborate_address"]}

@@ -47,11 +47,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, today
         print("\n".join(f"{k}: {n} stored" for k, n in stored.items()))
         return 1 if failed else 0
     if args.command == "digest":
-        made = digest.build(store.signals(), today, args.days, args.min_score, args.neighborhood)
+        made = digest.from_store(store, today, args.days, args.min_score, args.neighborhood)
         shown = made.shown.persist()
         try:
             delivered, archived = filings(shown).select("source", "id"), 0
-            cutoff = (datetime.date.fromisoformat(today) - datetime.timedelta(days=args.days)).isoformat()
+            cutoff = digest.cutoff_of(today, args.days)
             shown.count()
             if not args.dry_run:
                 archived = store.deliver(delivered, cutoff, args.min_score)

@@ -32,7 +32,9 @@ def newest_first(x: Column) -> Column:
 def index(rows: DataFrame, key: Column, most: int) -> DataFrame:
     """(key, filings): the newest distinct filings of every key, at most `most` of each source."""
     order = Window.partitionBy("key", "source").orderBy(F.col("date").desc(), "name")
-    rows = rows.select(key.alias("key"), "source", "name", "date").where("key <> ''").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    # exploded, so that the filter is not moved below the key, which would then be made twice
+    rows = rows.select(F.explode(F.array(key)).alias("key"), "source", "name", "date").where("key <> ''")
+    rows = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     return rows.groupBy("key").agg(newest_first(F.collect_list(F.struct("date", "source", "name"))).alias("filings"))
 
 
@@ -44,6 +46,18 @@ def name_index(history: DataFrame) -> DataFrame:
     return index(history, matchable_name(F.col("name")), NAME_HITS)
 
 
+def listed_index(lists: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, filings) of the keys (key, distinct) from a store's lists (key, source, items): what `index` gives, without the history."""
+    rows = lists.join(keys, "key", "left_semi").select("key", F.explode(F.transform("items", lambda i: F.struct(i["date"].alias("date"), F.col("source").alias("source"), i["name"].alias("name")))).alias("f"))
+    return rows.groupBy("key").agg(newest_first(F.collect_list("f")).alias("filings"))
+
+
+def listed_neighborhoods(lists: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, inherited) of the keys from a store's lists of neighborhoods."""
+    first = F.col("items")[0]
+    return lists.join(keys, "key", "left_semi").groupBy("key").agg(F.min_by(first["name"], F.struct(first["date"], F.col("source"), first["id"])).alias("inherited"))
+
+
 def others(filings: Column, source: Column, most: int) -> Column:
     return F.slice(F.filter(F.coalesce(filings, F.array().cast(f"array<{ENTRY}>")), lambda x: x["source"] != source), 1, most)
 

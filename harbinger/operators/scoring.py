@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harbinger.functions.fields import field, flag, number
-from harbinger.functions.textnorm import ascii_lower
+from harbinger.functions.textnorm import ascii_lower, bound
 
 # Fixed values; their order is that of the reasons.
 PERMIT_WORDS = (
@@ -41,9 +43,19 @@ def hits(text: Column, words: tuple[str, ...]) -> Column:
 
 
 def has_bar(text: Column) -> Column:
-    words = F.filter(F.split(text, r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")
-    alone = F.transform(words, lambda w, i: (w == "bar") & ~F.coalesce(F.when(i > 0, F.get(words, i - 1).isin(*BAR_COMPOUNDS)), F.lit(False)))
-    return F.exists(alone, lambda x: x)
+    split = F.filter(F.split(text, r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: w != "")
+
+    def alone(words: Column) -> Column:
+        return F.exists(F.transform(words, lambda w, i: (w == "bar") & ~F.coalesce(F.when(i > 0, F.get(words, i - 1).isin(*BAR_COMPOUNDS)), F.lit(False))), lambda x: x)
+
+    return bound(split, alone)
+
+
+def with_hits(given: dict[str, Column], words: tuple[str, ...], score: Callable[[Column], Column]) -> Column:
+    """score of a struct of the given columns and the words `found` in `desc`: each is computed once a row, however often
+    conditions and reasons name it."""
+    found = lambda x: F.struct(*[x[k].alias(k) for k in given], hits(x["desc"], words).alias("found"))
+    return bound(F.struct(*[c.alias(k) for k, c in given.items()]), lambda x: bound(found(x), score))
 
 
 def money(x: Column) -> Column:
@@ -64,14 +76,16 @@ def business(row: Column) -> Column:
 
 
 def permit(row: Column) -> Column:
-    desc, use, cost = F.lower(field(row, "description")), field(row, "proposed_use"), number(row, "estimated_cost")
-    found = hits(desc, PERMIT_WORDS)
-    opens = (F.get(F.split(desc, r"(?U)\s+"), F.lit(0)) == "new") | F.contains(desc, F.lit("new business"))
-    return rule(
-        (F.size(found) > 0, 2, F.concat(F.lit("keyword: "), F.array_join(found, ", "))), (F.contains(desc, F.lit("change of use")), 1, F.lit("change of use")),
-        (F.contains(desc, F.lit("tenant improvement")), 1, F.lit("tenant improvement")), (opens, 1, F.lit("new business")),
-        (any_of(F.lower(use), ("restaurant", "retail", "store")), 1, F.concat(F.lit("proposed use: "), use)), (cost > 100000, 1, F.concat(F.lit("estimated cost $"), money(cost))),
-    )
+    def score(x: Column) -> Column:
+        desc, use, cost, found = x["desc"], x["use"], x["cost"], x["found"]
+        opens = (F.get(F.split(desc, r"(?U)\s+"), F.lit(0)) == "new") | F.contains(desc, F.lit("new business"))
+        return rule(
+            (F.size(found) > 0, 2, F.concat(F.lit("keyword: "), F.array_join(found, ", "))), (F.contains(desc, F.lit("change of use")), 1, F.lit("change of use")),
+            (F.contains(desc, F.lit("tenant improvement")), 1, F.lit("tenant improvement")), (opens, 1, F.lit("new business")),
+            (any_of(F.lower(use), ("restaurant", "retail", "store")), 1, F.concat(F.lit("proposed use: "), use)), (cost > 100000, 1, F.concat(F.lit("estimated cost $"), money(cost))),
+        )
+
+    return with_hits({"desc": F.lower(field(row, "description")), "use": field(row, "proposed_use"), "cost": number(row, "estimated_cost")}, PERMIT_WORDS, score)
 
 
 def entertainment(row: Column) -> Column:
@@ -80,9 +94,11 @@ def entertainment(row: Column) -> Column:
 
 
 def planning(row: Column) -> Column:
-    desc = F.lower(field(row, "description"))
-    found = hits(desc, PERMIT_WORDS + PLANNING_WORDS)
-    return rule((F.size(found) > 0, 2, F.concat(F.lit("planning application keyword: "), F.array_join(found, ", "))), (F.contains(desc, F.lit("change of use")), 1, F.lit("change of use")))
+    def score(x: Column) -> Column:
+        desc, found = x["desc"], x["found"]
+        return rule((F.size(found) > 0, 2, F.concat(F.lit("planning application keyword: "), F.array_join(found, ", "))), (F.contains(desc, F.lit("change of use")), 1, F.lit("change of use")))
+
+    return with_hits({"desc": F.lower(field(row, "description"))}, PERMIT_WORDS + PLANNING_WORDS, score)
 
 
 def fire(row: Column) -> Column:
@@ -111,15 +127,14 @@ def mobile_food(row: Column) -> Column:
 def trade(words: tuple[str, ...], cost_field: str):
     """The rule of a trade's permits: strong words, else a kitchen; a high valuation."""
 
-    def score(row: Column) -> Column:
-        desc, cost = F.lower(field(row, "description")), number(row, cost_field)
-        found = hits(desc, words)
+    def score(x: Column) -> Column:
+        desc, cost, found = x["desc"], x["cost"], x["found"]
         return rule(
             (F.size(found) > 0, 2, F.concat(F.lit("keyword: "), F.array_join(found, ", "))), ((F.size(found) == 0) & F.contains(desc, F.lit("kitchen")), 1, F.lit("keyword: kitchen")),
             (cost > 50000, 1, F.concat(F.lit("valuation $"), money(cost))),
         )
 
-    return score
+    return lambda row: with_hits({"desc": F.lower(field(row, "description")), "cost": number(row, cost_field)}, words, score)
 
 
 electrical = trade(TRADE_WORDS, "permit_valuation")

@@ -1,15 +1,29 @@
-"""The keyed table of signals on plain Parquet: versions with manifests and pointers, so that readers never see half a write.
+"""The keyed table of signals on plain Parquet, as a log: a commit adds files of the rows that it changes, reads merge them.
 
-All file work goes through Hadoop's file systems, so any shared store serves.
+Base files hold a row a key, clustered by date; changes hold whole rows, with the dates and delivery that they keep
+resolved when they are written, so the newest row of a key says all. A read takes the newest row of each changed key
+and the base rows of all other keys: only changes are grouped, the base is filtered where it is read. When the changes
+of a source outgrow a share of its base, or are too many files, they are merged into a new base. Every file's least and
+largest date and its number of undelivered rows stand in the log, so a window reads only files that can have rows of it.
+
+Beside the rows the store keeps, by (key, source), the newest filings at an address and under a name and the first
+with a neighborhood. A commit merges its rows into these lists; only where a stored filing changed or lost its key
+are the lists of that key made anew from the rows.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterable
+import urllib.parse
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from harbinger.functions.textnorm import matchable_address, matchable_name, trim
+from harbinger.operators.corroborate import HISTORY_HITS, MIN_SCORE, NAME_HITS
+from harbinger.operators.log import Change, Log, State
 
 KEY = ["source", "external_id"]
 SCHEMA = "source string, external_id string, name string, address string, date string, neighborhood string, raw string, score int, reasons array<string>, first_seen string, seen boolean"
@@ -19,9 +33,11 @@ KEPT = ["date", "first_seen", "seen"]
 
 def deduplicated(batch: DataFrame, seq: str = "seq") -> DataFrame:
     """One row per key of a batch, as if its rows came one after the other: dates and delivery of the first, the rest of the last."""
-    first = [F.min_by(c, seq).alias(c) for c in KEPT]
-    last = [F.max_by(c, seq).alias(c) for c in PAYLOAD]
-    return batch.groupBy(*KEY).agg(*first, *last)
+    return batch.groupBy(*KEY).agg(*_folded(seq))
+
+
+def _folded(seq: str) -> list[Column]:
+    return [F.min_by(c, seq).alias(c) for c in KEPT] + [F.max_by(c, seq).alias(c) for c in PAYLOAD]
 
 
 def merged(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -33,6 +49,14 @@ def merged(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return rows.select(*KEY, *kept, *taken).select(*[f.split()[0] for f in SCHEMA.split(", ")])
 
 
+def refreshed(stored: DataFrame, batch: DataFrame) -> DataFrame:
+    """The batch's rows only, as `merged` would leave them, with what each was before (null for a new key)."""
+    old = stored.select(*KEY, F.struct(*[c for c in stored.columns if c not in KEY]).alias("was"))
+    kept = [F.when(F.col("was").isNotNull(), F.col(f"was.{c}")).otherwise(F.col(c)).alias(c) for c in KEPT]
+    others = [c for c in batch.columns if c not in (*KEY, *KEPT)]
+    return batch.join(old, KEY, "left").select(*KEY, *others, *kept, "was")
+
+
 def new_only(stored: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Rows of a full snapshot whose key is not stored."""
     return snapshot.join(stored.select(*KEY), KEY, "left_anti")
@@ -53,9 +77,8 @@ def archived(stored: DataFrame, cutoff: str, min_score: int) -> DataFrame:
     return stored.withColumn("seen", F.col("seen") | stale(cutoff, min_score))
 
 
-def migrated(stored: DataFrame, businesses: DataFrame | None, permits: DataFrame | None) -> DataFrame:
-    """The rows of the two old tables whose keys are not stored yet, added."""
-    out = stored
+def legacy_rows(businesses: DataFrame | None, permits: DataFrame | None) -> DataFrame | None:
+    """The rows of the two old tables as signals, one a key."""
     split = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.col(c), "; "))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     old = []
@@ -64,12 +87,19 @@ def migrated(stored: DataFrame, businesses: DataFrame | None, permits: DataFrame
         old.append(businesses.select(F.lit("business").alias("source"), F.col("uniqueid").alias("external_id"), name.alias("name"), text("address").alias("address"), text("dba_start_date").alias("date"), text("neighborhood").alias("neighborhood"), "score", split("reasons").alias("reasons"), "seen"))
     if permits is not None:
         old.append(permits.select(F.lit("permit").alias("source"), F.col("permit_number").alias("external_id"), F.concat(F.lit("Permit "), "permit_number").alias("name"), text("address").alias("address"), text("filed_date").alias("date"), text("neighborhood").alias("neighborhood"), "score", split("reasons").alias("reasons"), "seen"))
+    out = None
     for rows in old:
         rows = rows.withColumns({"raw": F.lit(""), "first_seen": F.col("date"), "seen": F.coalesce(F.col("seen"), F.lit(0)).cast("boolean"), "score": F.coalesce(F.col("score"), F.lit(0)).cast("int")}).dropDuplicates(KEY)
-        out = out.unionByName(rows.join(out.select(*KEY), KEY, "left_anti").select(*out.columns))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def migrated(stored: DataFrame, businesses: DataFrame | None, permits: DataFrame | None) -> DataFrame:
+    """The rows of the two old tables whose keys are not stored yet, added."""
+    rows = legacy_rows(businesses, permits)
+    return stored if rows is None else stored.unionByName(new_only(stored, rows).select(*stored.columns))
+
+
 def watermark(dates: Column, since: str, today: str) -> Column:
     """An aggregate: the newest of the dates fetched, at least since, at most today."""
     return F.least(F.greatest(F.coalesce(F.max(dates), F.lit("")), F.lit(since)), F.lit(today))
@@ -97,111 +127,245 @@ def first_events(batch: DataFrame, stored_ids: DataFrame, key: str = "permit", d
     return rows.withColumn("first", F.coalesce(first, F.lit(True))).drop("_p", "_stored", "_least")
 
 
-#: Newest versions that stay readable.
-KEEP_VERSIONS = 3
+NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+#: What a data file holds beside a signal: its keys, and the version that wrote the row.
+KEYS = "address_key string, name_key string"
+ROWS = f"{SCHEMA}, {KEYS}, commit long"
+#: kind (address, name or hood), the key there, and a source's filings; date is first_seen and name the neighborhood of a hood.
+#: What a row was before a commit changed it, in the files of changes.
+WAS = "name string, address string, date string, neighborhood string, score int, first_seen string, seen boolean, address_key string, name_key string"
+ITEMS = "array<struct<date:string,name:string,id:string>>"
+LISTS = "kind string, key string, source string, items array<struct<date:string,name:string,id:string>>, commit long"
+MOST = {"address": HISTORY_HITS, "name": NAME_HITS, "hood": 1}
+#: Changed keys up to which they are broadcast to the base rows that they hide.
+BROADCAST_ROWS = 500_000
 
 
-class Store:
-    """Signals and meta values under a folder.
+def with_keys(rows: DataFrame) -> DataFrame:
+    """Keys are made once, when a row is written."""
+    return rows.withColumns({"address_key": matchable_address(F.col("address")), "name_key": matchable_name(F.col("name"))})
 
-    A version is a folder v=N with the signals of the sources that it changed and a manifest: for every source the
-    version that holds it, and the meta values. It is current once the empty file CURRENT.N exists, which is made
-    last and never replaced, so a crash at any step leaves the version before. Versions that none of the newest
-    KEEP_VERSIONS refers to are deleted after a commit."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._jvm = spark._jvm
-        self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+def new_rows(rows: DataFrame) -> DataFrame:
+    past = f"struct<{', '.join(f.replace(' ', ':', 1) for f in WAS.split(', '))}>"
+    return rows.select(*NAMES).withColumns({"was": F.lit(None).cast(past), "times": F.lit(1).cast("long")})
 
-    def _names(self, folder: str) -> list[str]:
-        at = self._path(folder)
-        return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
 
-    def _versions(self) -> list[int]:
-        return sorted(int(n[8:]) for n in self._names(self.root) if n.startswith("CURRENT.") and n[8:].isdigit())
+def facts(rows: DataFrame, at: str = "") -> DataFrame:
+    """(kind, key, source, date, name, id): what a row says for each list that it belongs to. at: a struct column with
+    the row, as `was`."""
+    c = lambda n: F.col(f"{at}.{n}" if at else n)
+    counts, placed = (c("score") >= MIN_SCORE) & (c("address") != ""), c("address") != ""
+    one = lambda kind, holds, key, date, name, id: F.when(holds & (key != ""), F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.col("source"), date.alias("date"), name.alias("name"), id.alias("id")))
+    every = F.array(
+        one("address", counts, c("address_key"), c("date"), c("name"), F.lit("")), one("name", counts, c("name_key"), c("date"), c("name"), F.lit("")),
+        one("hood", placed & (trim(c("neighborhood")) != ""), c("address_key"), c("first_seen"), c("neighborhood"), F.col("external_id")),
+    )
+    return rows.select(F.explode(F.filter(every, lambda f: f.isNotNull())).alias("f")).select("f.*")
 
-    def version(self) -> int:
-        return max(self._versions(), default=0)
 
-    def _manifest(self, v: int) -> dict:
-        if not v:
-            return {"sources": {}, "meta": {}}
-        stream = self._fs.open(self._path(f"{self.root}/v={v}/manifest.json"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+def lists(of: DataFrame) -> DataFrame:
+    """(kind, key, source, items): the newest distinct filings of (key, source), of a hood the first; cut by a window, so
+    that no more than these are gathered."""
+    own = Window.partitionBy("kind", "key", "source")
+    newest, first = own.orderBy(F.col("date").desc(), "name"), own.orderBy("date", "id")
+    rows = of.distinct().withColumn("n", F.when(F.col("kind") == "hood", F.row_number().over(first)).otherwise(F.row_number().over(newest)))
+    most = F.when(F.col("kind") == "address", MOST["address"]).when(F.col("kind") == "name", MOST["name"]).otherwise(MOST["hood"])
+    return rows.where(F.col("n") <= most).groupBy("kind", "key", "source").agg(F.sort_array(F.collect_list(F.struct("n", "date", "name", "id"))).alias("x")).select(
+        "kind", "key", "source", F.transform("x", lambda x: F.struct(x["date"].alias("date"), x["name"].alias("name"), x["id"].alias("id"))).alias("items")
+    )
 
-    def _write(self, name: str, text: str) -> None:
-        out = self._fs.create(self._path(f"{self.root}/{name}"), not name.startswith("CURRENT."))
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
 
-    def _folder(self, source: str | None) -> str:
-        return "source=" + ("__HIVE_DEFAULT_PARTITION__" if not source else self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source))
+class Store:
+    """Signals, their lists by key, and meta values under a folder. See the module's text and `log`.
 
-    def signals(self) -> DataFrame:
-        by: dict[int, list[str]] = {}
-        for folder, v in self._manifest(self.version())["sources"].items():
-            by.setdefault(v, []).append(f"{self.root}/v={v}/signals/{folder}")
-        out = self.spark.createDataFrame([], SCHEMA)
-        names = out.columns
-        for k, (v, paths) in enumerate(sorted(by.items())):
-            rows = self.spark.read.schema(SCHEMA).option("basePath", f"{self.root}/v={v}/signals").parquet(*sorted(paths)).select(*names)
-            out = rows if k == 0 else out.unionByName(rows)
-        return out
+    A source's changes are merged into its base when their bytes pass `share` of the base and `least_bytes`, or when
+    they are `most_files`."""
+
+    def __init__(self, spark: SparkSession, root: str, share: float = 0.25, least_bytes: int = 32 << 20, most_files: int = 64, keep_s: float = 7 * 86400):
+        self.spark, self.share, self.least_bytes, self.most_files = spark, share, least_bytes, most_files
+        self.log = Log(spark, root, keep_s)
+        self.root = self.log.root
+
+    def version(self) -> int:
+        return self.log.version()
 
     def meta(self) -> dict[str, str]:
         """Watermarks by source: a handful of values."""
-        return self._manifest(self.version())["meta"]
+        return self.log.state().meta
+
+    def _write(self, rows: DataFrame, table: str, base: bool) -> list[dict]:
+        """Writes rows and describes the files: one more pass, over narrow columns of what was written, which also counts what the caller wants to know."""
+        name = f"write={uuid.uuid4().hex}"
+        rows.write.partitionBy(*(["source"] if table == "signals" else [])).parquet(f"{self.root}/data/{name}")
+        back = self.spark.read.schema(rows.schema).option("basePath", f"{self.root}/data/{name}").parquet(f"{self.root}/data/{name}")
+        date, unseen = (F.col("date"), ~F.col("seen")) if table == "signals" else (F.lit(""), F.lit(False))
+        new, times = (F.col("was").isNull(), F.col("times")) if "was" in rows.columns else (F.lit(False), F.lit(0))
+        got = back.groupBy(F.col("_metadata.file_path").alias("path"), "source" if table == "signals" else F.lit("").alias("source")).agg(
+            F.first("_metadata.file_size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min(date).alias("lo"), F.max(date).alias("hi"), F.count(F.when(unseen, 1)).alias("unseen"), F.count(F.when(new, 1)).alias("new"), F.sum(times).alias("times"),
+        )
+        short = lambda p: "data/" + urllib.parse.unquote(p).rsplit("/data/", 1)[1]
+        return [r.asDict() | {"path": short(r["path"]), "table": table, "base": base} for r in got.collect()]
+
+    def _read(self, files: list[dict], schema: str) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        names = StructType.fromDDL(schema).names
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*sorted(f"{self.root}/{f['path']}" for f in files)).select(*names)
+
+    def _newest(self, files: list[dict], key: list[str], schema: str, keep: Callable[[dict], bool] = lambda f: True) -> DataFrame:
+        """The newest row of every key; `keep` may leave out base files."""
+        change = [f for f in files if not f["base"]]
+        base = self._read([f for f in files if f["base"] and keep(f)], schema)
+        if not change:
+            return base
+        rows = self._read(change, schema)
+        newest = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in key]), "commit").alias("x")).select(*key, "x.*").select(*rows.columns)
+        # nulls among keys are equal to each other, as they are when grouped
+        hidden = rows.select(*[F.col(c).alias(f"_{c}") for c in key]).distinct()
+        hidden = F.broadcast(hidden) if sum(f["rows"] for f in change) <= BROADCAST_ROWS else hidden
+        same = [base[c].eqNullSafe(hidden[f"_{c}"]) for c in key]
+        return base.join(hidden, same, "left_anti").unionByName(newest)
+
+    def _signals(self, state: State, sources: Iterable[str | None] | None = None, lo: str | None = None, hi: str | None = None, unseen: bool = False) -> DataFrame:
+        """Rows with their keys. lo, hi: dates a file must reach; unseen: base files without undelivered rows are left out."""
+        files = [f for f in state.files.values() if f["table"] == "signals" and (sources is None or f["source"] in set(sources))]
+        files = [f for f in files if (lo is None or f["hi"] >= lo) and (hi is None or f["lo"] <= hi)]
+        return self._newest(files, KEY, ROWS, lambda f: not unseen or f["unseen"] > 0)
+
+    def signals(self) -> DataFrame:
+        return self._signals(self.log.state()).select(*NAMES)
+
+    def window(self, lo: str, hi: str) -> DataFrame:
+        """Undelivered rows dated from lo to hi, read from the files that can have some. A row and the row that it hides
+        have one date, so files of other dates change nothing."""
+        return self._signals(self.log.state(), None, lo, hi, True).select(*NAMES).where(~F.col("seen") & F.col("date").between(lo, hi))
+
+    def listed(self, kind: str) -> DataFrame:
+        """(key, source, items) of address, name or hood."""
+        files = [f for f in self.log.state().files.values() if f["table"] == "lists"]
+        return self._newest(files, ["kind", "key", "source"], LISTS).where((F.col("kind") == kind) & (F.size("items") > 0)).select("key", "source", "items")
+
+    def _lists(self, state: State, change: list[dict], version: int, sources: list, replace: bool) -> list[dict]:
+        """The lists that a commit's rows change, written; replace: those of the sources hold nothing but these rows."""
+        rows = self._read(change, f"{ROWS}, was struct<{', '.join(f.replace(' ', ':', 1) for f in WAS.split(', '))}>")
+        key, had = ["kind", "key", "source"], [f for f in state.files.values() if f["table"] == "lists"]
+        now, old = facts(rows), self._newest(had, ["kind", "key", "source"], LISTS).drop("commit")
+        empty = lambda keys: keys.withColumn("items", F.array().cast(ITEMS))
+        write = lambda made: self._write(made.withColumn("commit", F.lit(version).cast("long")), "lists", not had)
+        if replace:
+            made = lists(now)
+            gone = old.where(F.col("source").isin(*sources)).select(*key).join(made, key, "left_anti")
+            return write(made.unionByName(empty(gone)) if had else made)
+        before = facts(rows.where("was is not null"), "was")
+        lost, came = before.exceptAll(now).distinct().persist(), now.exceptAll(before).distinct().persist()
+        try:
+            kept = old.join(came.select(*key).distinct(), key, "left_semi").select(*key, F.explode("items").alias("i")).select(*key, "i.*")
+            made = lists(kept.unionByName(came))
+            if not lost.isEmpty():
+                again = lost.select(*key).distinct()
+                whole = self._signals(state, sources).join(rows.select(*KEY), KEY, "left_anti").unionByName(rows.drop("was"))
+                anew = lists(facts(whole).join(again, key, "left_semi"))
+                made = made.join(again, key, "left_anti").unionByName(anew).unionByName(empty(again.join(anew, key, "left_anti")))
+            return write(made)
+        finally:
+            lost.unpersist()
+            came.unpersist()
+
+    def _put(self, state: State, version: int, rows: DataFrame, sources: list, replace: bool = False) -> list[dict]:
+        """rows: signals with `was` and `times`. A source without files gets a base, clustered by date."""
+        first = replace or not any(f["table"] == "signals" and f["source"] in sources for f in state.files.values())
+        rows = with_keys(rows).withColumn("commit", F.lit(version).cast("long")).select(*NAMES, "address_key", "name_key", "commit", "was", "times")
+        if first:
+            rows = rows.repartitionByRange("source", "date", "external_id").sortWithinPartitions("source", "date")
+        add = self._write(rows, "signals", first)
+        return add + (self._lists(state, add, version, sources, replace) if add or replace else [])
 
     def commit(self, signals: DataFrame, meta: dict[str, str], only: Iterable[str] | None = None) -> int:
-        """Writes the next version and makes it current. only: the sources that signals holds; all others stay as they are."""
-        v = self.version() + 1
-        at = f"{self.root}/v={v}"
-        kept = {}
-        if only is not None:
-            gone = {self._folder(s) for s in only}
-            kept = {k: n for k, n in self._manifest(v - 1)["sources"].items() if k not in gone}
-            signals = signals.where(F.col("source").isin(*only)) if only else None
-        self._fs.delete(self._path(at), True)  # what an earlier attempt left
-        if signals is not None:
-            signals.select(*[f.split()[0] for f in SCHEMA.split(", ")]).write.mode("overwrite").partitionBy("source").parquet(f"{at}/signals")
-        own = {n: v for n in self._names(f"{at}/signals") if n.startswith("source=")}
-        self._write(f"v={v}/manifest.json", json.dumps({"sources": kept | own, "meta": dict(sorted(meta.items()))}))
-        self._write(f"CURRENT.{v}", "")
-        self._expire()
-        return v
-
-    def _expire(self) -> None:
-        """Old pointers first, then the versions that no kept one refers to."""
-        versions = self._versions()
-        keep = versions[-KEEP_VERSIONS:]
-        used = {n for v in keep for n in self._manifest(v)["sources"].values()} | set(keep)
-        for v in versions[:-KEEP_VERSIONS]:
-            self._fs.delete(self._path(f"{self.root}/CURRENT.{v}"), False)
-        for name in self._names(self.root):
-            if name.startswith("v=") and int(name[2:]) <= keep[-1] and int(name[2:]) not in used:
-                self._fs.delete(self._path(f"{self.root}/{name}"), True)
-
-    def upsert(self, batch: DataFrame, meta: dict[str, str] | None = None) -> int:
-        only = sorted(r[0] for r in batch.select("source").distinct().collect())
-        return self.commit(merged(self.signals().where(F.col("source").isin(*only)), deduplicated(batch)), self.meta() | (meta or {}), only)
+        """Replaces the sources in `only` (None: all) by these signals, and their lists with them."""
+        every = only is None
+        rows = new_rows(signals if every else signals.where(F.col("source").isin(*only)))
+
+        def make(state: State, version: int) -> Change:
+            gone = [k for k, f in state.files.items() if every or f["table"] == "signals" and f["source"] in set(only)]
+            left = State(state.version, {k: f for k, f in state.files.items() if k not in set(gone)}, state.meta)
+            return Change(self._put(left, version, rows, list(only or []), True), gone, {**({k: None for k in state.meta} if every else {}), **meta})
+
+        return self.log.commit(make, ["*"] if every else only)[0]
+
+    def upsert(self, batch: DataFrame, meta: dict[str, str] | None = None, counts: dict | None = None) -> int:
+        """Inserts or refreshes; what is written follows the batch. counts gets `rows` (of the batch) and `new` (keys)."""
+        only = sorted((r[0] for r in batch.select("source").distinct().collect()), key=lambda s: (s is not None, s))
+
+        def make(state: State, version: int) -> Change | None:
+            if not only:
+                return Change(meta=meta, result=[]) if meta else None
+            one = batch.groupBy(*KEY).agg(*_folded("seq"), F.count(F.lit(1)).alias("times"))
+            stored = self._signals(state, only).select(*KEY, *[f.split()[0] for f in WAS.split(", ")])
+            add = self._put(state, version, refreshed(stored, one), only)
+            return Change(add, [], meta or {}, [f for f in add if f["table"] == "signals"])
+
+        version, written = self.log.commit(make, [str(s) for s in only] or list(meta or {}))
+        if counts is not None:
+            counts.update(rows=sum(f["times"] for f in written or []), new=sum(f["new"] for f in written or []))
+        self.compact(only)
+        return version
 
     def deliver(self, delivered: DataFrame, cutoff: str, min_score: int) -> int:
-        """Marks what was shown and archives what is stale; returns how many were archived."""
-        rows = marked_seen(self.signals(), delivered)
-        stale_by = {r["source"]: r["count"] for r in rows.where(stale(cutoff, min_score)).groupBy("source").count().collect()}
-        only = sorted({*stale_by, *(r[0] for r in delivered.select("source").distinct().collect())})
-        if only:
-            self.commit(archived(rows, cutoff, min_score), self.meta(), only)
-        return sum(stale_by.values())
+        """Marks what was shown and archives what is stale; writes only rows that this changes. Returns how many were archived."""
+        keys = delivered.select("source", F.col("id").alias("external_id")).distinct().withColumn("_hit", F.lit(True))
+        past = [f.split()[0] for f in WAS.split(", ")]
+
+        def make(state: State, version: int) -> Change | None:
+            rows = self._signals(state, unseen=True).where(~F.col("seen")).join(keys, KEY, "left").where(F.col("_hit") | stale(cutoff, min_score))
+            # an archived row has no past here, so that those are counted
+            rows = rows.withColumns({"was": F.when(F.col("_hit"), F.struct(*past)), "times": F.lit(1).cast("long"), "seen": F.lit(True), "commit": F.lit(version).cast("long")})
+            add = self._write(rows.select(*NAMES, "address_key", "name_key", "commit", "was", "times"), "signals", False)
+            return Change(add, [], {}, add) if add else None
+
+        written = self.log.commit(make, ["*"])[1] or []
+        self.compact({f["source"] for f in written})
+        return sum(f["new"] for f in written)
 
     def migrate(self, businesses: DataFrame | None, permits: DataFrame | None) -> int:
         """Takes over the old tables; their watermarks' names change with them."""
         names = {"watermark:businesses": "watermark:business", "watermark:permits": "watermark:permit"}
-        return self.commit(migrated(self.signals(), businesses, permits), {names.get(k, k): v for k, v in self.meta().items()}, ["business", "permit"])
+        only = ["business", "permit"]
+        rows = legacy_rows(businesses, permits)
+
+        def make(state: State, version: int) -> Change:
+            new = {names[k]: v for k, v in state.meta.items() if k in names}
+            add = self._put(state, version, new_rows(new_only(self._signals(state, only), rows)), only) if rows is not None else []
+            return Change(add, [], {**{k: None for k in names if k in state.meta}, **new})
+
+        return self.log.commit(make, only)[0]
+
+    def compact(self, sources: Iterable[str | None], force: bool = False) -> None:
+        """Merges the changes of sources that have too many into their base, and those of the lists. A row keeps the version
+        that wrote it, so writers who come in between lose nothing."""
+
+        def due(files: list[dict]) -> bool:
+            change, base = [f for f in files if not f["base"]], sum(f["bytes"] for f in files if f["base"])
+            size = sum(f["bytes"] for f in change)
+            return bool(change) and (force or len(change) > self.most_files or size > max(self.share * base, self.least_bytes))
+
+        def merge(table: str, source: str | None) -> None:
+            mine = lambda state: [f for f in state.files.values() if f["table"] == table and (table == "lists" or f["source"] == source)]
+
+            def make(state: State, version: int) -> Change | None:
+                files = mine(state)
+                if not due(files):
+                    return None
+                if table == "lists":
+                    rows = self._newest(files, ["kind", "key", "source"], LISTS).where(F.size("items") > 0).repartitionByRange("kind", "key")
+                else:
+                    rows = self._newest(files, KEY, ROWS)
+                    rows = rows.repartitionByRange("date", "external_id").sortWithinPartitions("date")
+                return Change(self._write(rows, table, True), [f["path"] for f in files])
+
+            if due(mine(self.log.state())):
+                self.log.commit(make, [])
+
+        for source in sources:
+            merge("signals", source)
+        merge("lists", None)

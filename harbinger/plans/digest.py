@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harbinger.functions.fields import field, kind, parsed
-from harbinger.functions.textnorm import collapse, truncated
+from harbinger.functions.textnorm import collapse, matchable_address, matchable_name, truncated
 from harbinger.operators import corroborate as co
 from harbinger.operators import venues as ve
+from harbinger.operators.store import Store
 
 #: Sources whose weak rows corroboration never lifts.
 NOT_RESCUED = ("business",)
@@ -67,16 +69,34 @@ class Digest:
     shown: DataFrame
 
 
-def build(signals: DataFrame, as_of: str, days: int = 7, min_score: int = 2, neighborhood: str | None = None) -> Digest:
+def cutoff_of(as_of: str, days: int) -> str:
+    return (datetime.date.fromisoformat(as_of) - datetime.timedelta(days=days)).isoformat()
+
+
+def keys_of(entries: DataFrame, key: Column) -> DataFrame:
+    return entries.select(F.explode(F.array(key)).alias("key")).where("key <> ''").distinct()
+
+
+def assembled(entries: DataFrame, addresses: DataFrame, names: DataFrame, hoods: DataFrame, min_score: int, neighborhood: str | None) -> Digest:
     """Operator order matters: history is unfiltered, inheritance comes before the neighborhood filter, that before
     clustering, and min_score is asked of venues, whose weaker filings ride along."""
-    import datetime
-
-    cutoff = (datetime.date.fromisoformat(as_of) - datetime.timedelta(days=days)).isoformat()
-    entries = rescued(candidates(signals, cutoff, as_of, selection_floor(min_score)), min_score)
-    history = co.corroborators(signals)
-    addresses = co.address_index(history)
-    entries = co.inherit(co.corroborate(entries, addresses, co.name_index(history)), co.neighborhoods(signals))
+    entries = co.inherit(co.corroborate(entries, addresses, names), hoods)
     if neighborhood:
         entries = in_neighborhood(entries, neighborhood)
     return Digest(entries, ve.display_order(ve.summarize(ve.assign(entries), addresses), min_score))
+
+
+def build(signals: DataFrame, as_of: str, days: int = 7, min_score: int = 2, neighborhood: str | None = None) -> Digest:
+    """Of any signals: their whole history is keyed and ranked."""
+    entries = rescued(candidates(signals, cutoff_of(as_of, days), as_of, selection_floor(min_score)), min_score)
+    history = co.corroborators(signals)
+    return assembled(entries, co.address_index(history), co.name_index(history), co.neighborhoods(signals), min_score, neighborhood)
+
+
+def from_store(store: Store, as_of: str, days: int = 7, min_score: int = 2, neighborhood: str | None = None) -> Digest:
+    """The same of a store: only files that can have rows of the window are read, and of its lists only the entries' keys."""
+    cutoff = cutoff_of(as_of, days)
+    entries = rescued(candidates(store.window(cutoff, as_of), cutoff, as_of, selection_floor(min_score)), min_score)
+    at, named = keys_of(entries, matchable_address(F.col("address"))), keys_of(entries, matchable_name(F.col("name")))
+    addresses, names = co.listed_index(store.listed("address"), at), co.listed_index(store.listed("name"), named)
+    return assembled(entries, addresses, names, co.listed_neighborhoods(store.listed("hood"), at), min_score, neighborhood)

@@ -35,8 +35,9 @@ def ingest(store: Store, feed: feeds.Feed, rows: DataFrame, today: str, since: s
         if feed.date_field:
             first = rows.sparkSession.range(1).select(normal_date(F.lit(since or "")).alias("d")).first()["d"]
             meta[f"watermark:{feed.key}"] = rows.agg(watermark(normal_date(field(parsed(F.col("raw")), feed.date_field)), first, today)).first()[0]
-        store.upsert(new, meta)
-        return new.count()
+        counts: dict[str, int] = {}
+        store.upsert(new, meta, counts)
+        return counts["rows"]
     finally:
         new.unpersist()
 
@@ -66,8 +67,9 @@ def fetch(spark: SparkSession, store: Store, today: str, since: str | None = Non
         order = F.struct("day", F.when(F.col("kind") == "NewApplications", 0).otherwise(1), F.col("license_number"))
         new = report.signals(report.parsed(pages).withColumn("seq", order), today).persist()
         try:
-            store.upsert(new, {"watermark:abc": days[-1].isoformat()})
-            return new.count()
+            counts: dict[str, int] = {}
+            store.upsert(new, {"watermark:abc": days[-1].isoformat()}, counts)
+            return counts["rows"]
         finally:
             new.unpersist()
 

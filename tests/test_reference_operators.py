@@ -195,34 +195,6 @@ def test_config(tmp_path):
     assert config.load(str(tmp_path / "db")) == config.Config() and config.app_token(" ", config.Config("f")) == "f" and config.app_token("e", config.Config("f")) == "e"
 
 
-def test_a_crash_leaves_the_version_before(spark, tmp_path, monkeypatch):
-    db = f"file://{tmp_path}/db"
-    s = store.Store(spark, db)
-    s.commit(frame(spark, signal("permit", "1"), signal("abc", "a")), {"m": "1"})
-    for step in ("manifest", "CURRENT"):
-        with monkeypatch.context() as m:
-            whole = store.Store._write
-            m.setattr(store.Store, "_write", lambda self, name, text: whole(self, name, text) if step not in name else (_ for _ in ()).throw(OSError("lost")))
-            with pytest.raises(OSError):
-                store.Store(spark, db).commit(frame(spark, signal("permit", "2")), {"m": "2"})
-        again = store.Store(spark, db)
-        assert (again.version(), again.meta(), {r["external_id"] for r in again.signals().collect()}) == (1, {"m": "1"}, {"1", "a"})
-    assert again.upsert(frame(spark, signal("permit", "2")).withColumn("seq", F.lit(0))) == 2
-    assert {r["external_id"] for r in store.Store(spark, db).signals().collect()} == {"1", "2", "a"}
-
-
-def test_only_changed_sources_are_rewritten_and_old_versions_go(spark, tmp_path):
-    s = store.Store(spark, f"file://{tmp_path}/db")
-    s.commit(frame(spark, signal("permit", "1"), signal("a:b/c", "a")), {})
-    for k in range(6):
-        s.upsert(frame(spark, signal("permit", str(k))).withColumn("seq", F.lit(0)))
-    held = sorted(x.name for x in (tmp_path / "db").iterdir() if not x.name.startswith("."))
-    assert held == ["CURRENT.5", "CURRENT.6", "CURRENT.7", "v=1", "v=5", "v=6", "v=7"]  # the first still holds the other source
-    assert sorted((r["source"], r["external_id"]) for r in s.signals().collect()) == [("a:b/c", "a"), *(("permit", str(k)) for k in range(6))]
-    assert s.deliver(spark.createDataFrame([("a:b/c", "a")], "source string, id string"), "2026-08-01", 2) == 6
-    assert s.signals().where("seen").count() == 7 and s.version() == 8
-
-
 class City:
     """Pages of all feeds and of the report; what a test sets as status fails."""
 
