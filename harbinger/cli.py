@@ -43,7 +43,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, today
     if store.version() == 0:
         store.commit(store.signals(), {})
     if args.command == "fetch":
-        stored, failed = fetch(spark, store, today, args.since, args.full, config.app_token(os.environ.get("HARBINGER_APP_TOKEN"), config.load(args.db)))
+        stored, failed = fetch(spark, store, today, args.since, args.full, config.app_token(os.environ.get("HARBINGER_APP_TOKEN"), config.load(args.db, spark)))
         print("\n".join(f"{k}: {n} stored" for k, n in stored.items()))
         return 1 if failed else 0
     if args.command == "digest":
@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, today
             shown.count()
             if not args.dry_run:
                 archived = store.deliver(delivered, cutoff, args.min_score)
-            print(render.as_json(shown, args.days, args.min_score, archived) if args.json else render.text(shown, args.days, args.md))
+            print(render.as_json(shown, args.days, args.min_score, archived) if args.json else render.text(shown, args.days, args.md, archived))
         finally:
             shown.unpersist()
     return 0

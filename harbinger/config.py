@@ -5,7 +5,10 @@ from __future__ import annotations
 import sys
 import tomllib
 from dataclasses import dataclass
-from pathlib import Path
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
 
 
 @dataclass(frozen=True)
@@ -13,8 +16,9 @@ class Config:
     app_token: str | None = None
 
 
-def path_for(store: str) -> Path:
-    return Path(store).parent / "config.toml"
+def path_for(store: str) -> str:
+    """config.toml in the folder that the store's folder is in."""
+    return f"{store.rstrip('/').rpartition('/')[0] or '.'}/config.toml"
 
 
 def parse(text: str) -> Config:
@@ -24,14 +28,26 @@ def parse(text: str) -> Config:
     return Config(value)
 
 
-def load(store: str) -> Config:
+def read(path: str, spark: SparkSession) -> str | None:
+    """By the store's own file system, whatever its scheme; None where there is no such file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def load(store: str, spark: SparkSession) -> Config:
     """Missing is fine; unreadable or invalid warns and counts as missing."""
     path = path_for(store)
-    if not path.exists():
-        return Config()
     try:
-        return parse(path.read_text())
-    except (OSError, ValueError) as e:
+        text = read(path, spark)
+        return parse(text) if text is not None else Config()
+    except (OSError, ValueError, PySparkException, Py4JError) as e:
         print(f"warning: {path}: {e}", file=sys.stderr)
         return Config()
 

@@ -194,6 +194,10 @@ class Store:
         """Watermarks by source: a handful of values."""
         return self.log.state().meta
 
+    def set_meta(self, values: dict[str, str | None]) -> int:
+        """Sets values, None deletes."""
+        return self.log.commit(lambda state, version: Change(meta=values) if {k: state.meta.get(k) for k in values} != values else None, list(values))[0]
+
     def _write(self, rows: DataFrame, table: str, base: bool) -> list[dict]:
         """Writes rows and describes the files: one more pass, over narrow columns of what was written, which also counts what the caller wants to know."""
         name = f"write={uuid.uuid4().hex}"

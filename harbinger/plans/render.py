@@ -37,7 +37,7 @@ def venue_block(v, markdown: bool) -> str:
     return "\n".join([head, *(filing(e, v, markdown) for e in v["entries"]), *tail])
 
 
-def text(shown, days: int, markdown: bool = False) -> str:
+def text(shown, days: int, markdown: bool = False, archived: int = 0) -> str:
     rows = in_order(shown).collect()
     out = [("# " if markdown else "") + HEADER.format(days=days) + "\n"]
     bucket = hood = None
@@ -51,6 +51,8 @@ def text(shown, days: int, markdown: bool = False) -> str:
         out.append(venue_block(v, markdown) + "\n")
     signals = sum(len(v["entries"]) for v in rows)
     out.append(f"\n{signals} new signal(s) at {len(rows)} venue(s).\n" if signals else "\nNo new signals.\n")
+    if archived:
+        out.append(f"(archived {archived} signals older than the window)\n")
     return "".join(out)
 
 

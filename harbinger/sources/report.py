@@ -84,30 +84,42 @@ def signals(licenses: DataFrame, today: str) -> DataFrame:
     ).where(F.col("score") >= MIN_SCORE)
 
 
+class Scan(InputPartition):
+    """All reports of a run, one after the other, with the form's nonce."""
+
+    def __init__(self, days: list[str], nonce: str):
+        self.days, self.nonce = days, nonce
+
+
 class ReportReader(DataSourceReader):
-    """A partition per day; the two reports of a day follow each other with a pause."""
+    """One task asks for all reports in order, with a pause after each, as the site is not to be asked by many at once; the
+    form page is read once a run, where the scan is planned."""
 
     def __init__(self, options: dict):
         self.options = options  # keys match in any case
 
     def partitions(self):
-        return [InputPartition(d) for d in self.options["days"].split(",") if d]
-
-    def read(self, partition):
-        page, post = self.options.get("page", PAGE), self.options.get("post", POST)
-        nonce = extract_nonce(urllib.request.urlopen(page, timeout=TIMEOUT_S).read().decode())
+        days = [d for d in self.options["days"].split(",") if d]
+        if not days:
+            return []
+        nonce = extract_nonce(urllib.request.urlopen(self.options.get("page", PAGE), timeout=TIMEOUT_S).read().decode())
         if nonce is None:
             raise RuntimeError("the report page has no form nonce; its layout may have changed")
-        day = datetime.date.fromisoformat(partition.value)
-        for kind, (number, referer) in KINDS.items():
-            form = {"action": FORM, "url": referer, "rpttype": number, FORM: nonce, "_wp_http_referer": referer, "abclqs-date": day.strftime("%m/%d/%Y")}
-            html = urllib.request.urlopen(post, urllib.parse.urlencode(form).encode(), timeout=TIMEOUT_S).read().decode(errors="replace")
-            yield kind, day, html
-            time.sleep(PAUSE_S)
+        return [Scan(days, nonce)]
+
+    def read(self, partition):
+        post, pause = self.options.get("post", POST), float(self.options.get("pause", PAUSE_S))
+        for text in partition.days:
+            day = datetime.date.fromisoformat(text)
+            for kind, (number, referer) in KINDS.items():
+                form = {"action": FORM, "url": referer, "rpttype": number, FORM: partition.nonce, "_wp_http_referer": referer, "abclqs-date": day.strftime("%m/%d/%Y")}
+                html = urllib.request.urlopen(post, urllib.parse.urlencode(form).encode(), timeout=TIMEOUT_S).read().decode(errors="replace")
+                yield kind, day, html
+                time.sleep(pause)
 
 
 class ReportSource(DataSource):
-    """`format("harbinger_report")`; options: days (comma separated), page, post."""
+    """`format("harbinger_report")`; options: days (comma separated), page, post, pause (seconds after each request)."""
 
     @classmethod
     def name(cls):

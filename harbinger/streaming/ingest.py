@@ -27,11 +27,11 @@ def start_of(feed: feeds.Feed, stored: str | None, since: str | None, full: bool
     return since or (backfill if full else stored or backfill)
 
 
-def ingest(store: Store, feed: feeds.Feed, rows: DataFrame, today: str, since: str | None, quiet: bool) -> int:
-    """Raw rows (seq, raw) into the store; the watermark moves with the same commit. Returns the rows stored."""
+def ingest(store: Store, feed: feeds.Feed, rows: DataFrame, today: str, since: str | None, quiet: bool, marks: Mapping[str, str] | None = None) -> int:
+    """Raw rows (seq, raw) into the store; the watermark and marks move with the same commit. Returns the rows stored."""
     new = feeds.signals(rows, feed, today, store.signals(), quiet).persist()
     try:
-        meta = {}
+        meta = dict(marks or {})
         if feed.date_field:
             first = rows.sparkSession.range(1).select(normal_date(F.lit(since or "")).alias("d")).first()["d"]
             meta[f"watermark:{feed.key}"] = rows.agg(watermark(normal_date(field(parsed(F.col("raw")), feed.date_field)), first, today)).first()[0]
@@ -85,11 +85,28 @@ def fetch(spark: SparkSession, store: Store, today: str, since: str | None = Non
 
 
 def stream(rows: DataFrame, feed: feeds.Feed, store: Store, today: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Streaming raw rows (seq, raw) into the store; a batch that comes again after a failure changes nothing."""
+    """Streaming raw rows (seq, raw) into the store; a batch that comes again after a failure changes nothing.
+
+    The first run of a quiet feed may take many batches, and another start after a failure: its first commit leaves a mark in
+    the store, and all batches are quiet until `ended` takes it away. `run` does both."""
+    mark = f"backfill:{feed.key}"
 
     def batch(df: DataFrame, number: int) -> None:
         if not df.isEmpty():
-            mark = store.meta().get(f"watermark:{feed.key}")
-            ingest(store, feed, df, today, mark or "", feed.quiet_backfill and mark is None)
+            meta = store.meta()
+            since = meta.get(f"watermark:{feed.key}")
+            quiet = feed.quiet_backfill and (since is None or mark in meta)
+            ingest(store, feed, df, today, since or "", quiet, {mark: "open"} if quiet else {})
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def ended(store: Store, feed: feeds.Feed) -> None:
+    """The first run of a feed is over: what comes from now on is news."""
+    store.set_meta({f"backfill:{feed.key}": None})
+
+
+def run(rows: DataFrame, feed: feeds.Feed, store: Store, today: str, checkpoint: str) -> None:
+    """Takes all that there is now, in as many batches as it needs."""
+    stream(rows, feed, store, today, checkpoint).awaitTermination()
+    ended(store, feed)

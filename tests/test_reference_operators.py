@@ -112,8 +112,12 @@ def test_digest_end_to_end(spark, tmp_path, capsys):
     s = store.Store(spark, db)
     s.commit(frame(spark, *rows), {})
     assert cli.main(["--db", db, "digest", "--json", "--dry-run"], spark, "2026-07-02") == 0 and s.version() == 1
+    other = f"file://{tmp_path}/other"
+    store.Store(spark, other).commit(frame(spark, *rows), {})
+    assert cli.main(["--db", other, "digest", "--md"], spark, "2026-07-02") == 0
+    assert capsys.readouterr().out.endswith("\n3 new signal(s) at 1 venue(s).\n(archived 1 signals older than the window)\n\n")
     assert cli.main(["--db", db, "digest", "--json"], spark, "2026-07-02") == 0
-    assert json.loads(capsys.readouterr().out.rsplit("\n{", 1)[-1].join(["{", ""]))["archived"] == 1
+    assert json.loads(capsys.readouterr().out)["archived"] == 1
     assert {r["external_id"] for r in s.signals().where("seen").collect()} == {"p", "a", "m", "old", "stale"}
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["digest", "--md", "--json"])
@@ -152,6 +156,11 @@ def service():
                 self.send_response(503)
                 self.end_headers()
                 return
+            if "count" in q.get("$select", ""):
+                self.send_response(200)
+                self.end_headers()
+                self.wfile.write(b'[{"count":"7"}]')
+                return
             lo = int(q["$offset"])
             body = json.dumps([{"permit_number": str(k), "description": "new cafe", "filed_date": f"2026-07-0{k + 1}T00:00:00"} for k in range(7)][lo : lo + int(q["$limit"])]).encode()
             self.send_response(200)
@@ -170,8 +179,10 @@ def service():
 def test_rest_source_pages_retries_and_ingests(spark, service, tmp_path):
     base, calls = service
     spark.dataSource.register(rest.RestSource)
-    rows = spark.read.format("harbinger_rest").options(base=base, dataset="x", dateField="filed_date", since="2026-07-01", pageSize="3").load().persist()
-    assert rows.count() == 7 and calls[-1]["$where"] == "filed_date >= '2026-07-01'" and len(calls) == 4
+    rows = spark.read.format("harbinger_rest").options(base=base, dataset="x", dateField="filed_date", since="2026-07-01", pageSize="3", pagesPerTask="1").load().persist()
+    assert rows.rdd.getNumPartitions() == 3 and sorted(r["seq"] for r in rows.collect()) == list(range(7))
+    asked = [c for c in calls if "$select" not in c]
+    assert {c["$where"] for c in calls} == {"filed_date >= '2026-07-01'"} and sorted(c["$offset"] for c in asked) == ["0", "3", "6"] and len(calls) == 6
     s = store.Store(spark, f"file://{tmp_path}/db")
     assert ingest.ingest(s, feeds.FEEDS["permit"], rows, "2026-07-05", "2026-07-01", False) == 7
     assert s.meta() == {"watermark:permit": "2026-07-05"} and s.signals().where("score = 3").count() == 7
@@ -189,10 +200,14 @@ def test_streamed_batches_meet_the_upsert(spark, tmp_path):
     assert s.signals().count() == 1 and s.meta() == {"watermark:permit": "2026-07-01"} and s.version() == 1
 
 
-def test_config(tmp_path):
-    assert config.parse('app_token = "x"').app_token == "x" and config.load(str(tmp_path / "db")) == config.Config()
-    (tmp_path / "config.toml").write_text("app_token = [")
-    assert config.load(str(tmp_path / "db")) == config.Config() and config.app_token(" ", config.Config("f")) == "f" and config.app_token("e", config.Config("f")) == "e"
+def test_config(spark, tmp_path, capsys):
+    assert config.parse('app_token = "x"').app_token == "x" and config.load(f"file://{tmp_path}/db", spark) == config.Config()
+    for db in (f"file://{tmp_path}/db", f"file://{tmp_path}/db/", str(tmp_path / "db"), f"file:{tmp_path}/db"):
+        (tmp_path / "config.toml").write_text('app_token = "from file"')
+        assert config.load(db, spark).app_token == "from file"
+        (tmp_path / "config.toml").write_text("app_token = [")
+        assert config.load(db, spark) == config.Config() and "config.toml" in capsys.readouterr().err
+    assert config.path_for("db") == "./config.toml" and config.app_token(" ", config.Config("f")) == "f" and config.app_token("e", config.Config("f")) == "e"
 
 
 class City:
@@ -219,6 +234,8 @@ class City:
                 status = city.status.get(name, [])
                 if status:
                     return self.reply(status.pop(0), b"no")
+                if q.get("$select") == "count(*)" and isinstance(city.rows.get(name, []), list):
+                    return self.reply(200, json.dumps([{"count": str(len(city.rows.get(name, [])))}]).encode())
                 lo = int(q.get("$offset", 0))
                 self.reply(200, json.dumps(city.rows.get(name, [])[lo : lo + int(q.get("$limit", 9))] if isinstance(city.rows.get(name, []), list) else city.rows[name]).encode())
 
@@ -266,28 +283,6 @@ def test_pages_of_another_shape_and_lost_servers(city):
     assert waits == [1, 2]
 
 
-def test_snapshots_are_read_whole_and_ordered(city):
-    city.rows["d"] = [{"id": k} for k in range(5)]
-    assert [r["id"] for page in rest.pages(city.base, "d", None, "2026-01-01", None, 2) for r in page] == list(range(5))
-    assert [c[1] for c in city.calls] == [{"$order": ":id", "$limit": "2", "$offset": str(k)} for k in (0, 2, 4)]
-
-
-def test_stream_batches_are_bounded_and_meet(city):
-    city.rows["d"] = [{"id": k, "day": f"2026-07-{1 + k // 3:02d}"} for k in range(10)]
-    for field in ({"dateField": "day"}, {}):
-        reader = rest.RestStreamReader({"base": city.base, "dataset": "d", "pageSize": "2", "pagesPerBatch": "2", **field})
-        at, seen = reader.initialOffset(), []
-        for _ in range(6):
-            start = at
-            city.rows["d"], whole = [r for r in city.rows["d"] if not field or r["day"] >= at["since"]], city.rows["d"]
-            rows, at = reader.read(start)
-            rows = list(rows)
-            assert len(rows) <= 4 and list(reader.readBetweenOffsets(start, at)) == rows
-            city.rows["d"] = whole
-            seen += [json.loads(raw)["id"] for _, raw in rows]
-        assert seen == list(range(10))
-
-
 def test_fetch_reads_every_feed_and_goes_on_after_failures(spark, city, tmp_path):
     ids = {f.dataset: f.key for f in feeds.FEEDS.values()}
     health, permit, fire = (feeds.FEEDS[k].dataset for k in ("health", "permit", "fire"))
@@ -295,7 +290,7 @@ def test_fetch_reads_every_feed_and_goes_on_after_failures(spark, city, tmp_path
     city.rows[permit] = [{"permit_number": "7", "filed_date": "2027-01-01T00:00:00", "description": "new cafe", "street_number": "1", "street_name": "Oak", "street_suffix": "St", "unit": "4"}]
     city.status[fire] = [404]
     s = store.Store(spark, f"file://{tmp_path}/db")
-    form = {"page": f"{city.base}/form", "post": f"{city.base}/report"}
+    form = {"page": f"{city.base}/form", "post": f"{city.base}/report", "pause": "0"}
     run = lambda **o: ingest.fetch(spark, s, "2026-07-02", token="key", base=city.base, report_options=form, **o)
     stored, failed = run(only=["health", "permit", "fire", "vending", "abc"], since=None)
     assert set(failed) == {"fire"} and "404" in failed["fire"] and stored == {"health": 1, "permit": 1, "vending": 0, "abc": 30}
@@ -305,6 +300,7 @@ def test_fetch_reads_every_feed_and_goes_on_after_failures(spark, city, tmp_path
     assert s.meta() == {"watermark:health": "2026-06-01", "watermark:permit": "2026-07-02", "watermark:abc": "2026-07-01"}
     asked = lambda name: [c[1].get("$where") for c in city.calls if c[0] == name][-1]
     assert asked(health) == "inspection_date >= '2024-01-01'" and asked(permit) == "filed_date >= '2026-04-03'" and asked(feeds.FEEDS["vending"].dataset) is None
+    assert [c[0] for c in city.calls].count("form") == 1
     assert {c[2] for c in city.calls if c[0] in ids} == {"key"} and len({c[1]["abclqs-date"] for c in city.calls if c[0] == "report"}) == 15
     city.rows[health].append({"permit_number": "10", "inspection_date": "2026-06-02T00:00:00", "dba": "New Cafe"})
     assert run(only=["health"])[0] == {"health": 1} and asked(health) == "inspection_date >= '2026-06-01'"
