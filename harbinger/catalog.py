@@ -19,6 +19,7 @@ from harbinger.functions import textnorm as tn
 from harbinger.operators import corroborate as co
 from harbinger.operators import scoring, store
 from harbinger.operators import venues as ve
+from harbinger.operators.tables import scratch
 from harbinger.plans import digest
 from harbinger.sources import feeds, report
 
@@ -118,8 +119,7 @@ def upsert_merge(spark, sf_dir):
 
 def _store(spark: SparkSession, **options) -> store.Store:
     """A store of this call's own in the folder that driver and executors share."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return store.Store(spark, f"{top.rstrip('/')}/harbinger-stores/{uuid.uuid4().hex}", **options)
+    return store.Store(spark, f"{scratch(spark)}/harbinger-stores/{uuid.uuid4().hex}", **options)
 
 
 def upsert_sink(spark, sf_dir):
@@ -145,7 +145,7 @@ def _two_commits(spark, sf_dir) -> store.Store:
 
 def digest_from_store(spark, sf_dir):
     """digest_order from a store's window and lists, after a commit that changes rows and adds others."""
-    return ve.filings(digest.from_store(_two_commits(spark, sf_dir), AS_OF, DAYS, MIN_SCORE).shown)
+    return digest.from_store(_two_commits(spark, sf_dir), AS_OF, DAYS, MIN_SCORE).filings()
 
 
 def corroborate_from_store(spark, sf_dir):
@@ -229,7 +229,7 @@ def venue_assign(spark, sf_dir):
 
 def venue_summary(spark, sf_dir):
     rows = ve.summarize(ve.assign(_entries(spark, sf_dir)[1]))
-    return rows.select("venue_key", "name", "address", "neighborhood", "score", "date", F.size("entries").alias("n_entries"), F.element_at("entries", 1)["id"].alias("first_id"))
+    return rows.select("venue_key", "name", "address", "neighborhood", "score", "date", F.col("n_entries").cast("int").alias("n_entries"), "first_id")
 
 
 def venue_history(spark, sf_dir):
@@ -239,7 +239,7 @@ def venue_history(spark, sf_dir):
 
 def digest_order(spark, sf_dir):
     """The flagship: every filing of the digest with its venue, in display order."""
-    return ve.filings(_digest(spark, sf_dir).shown)
+    return _digest(spark, sf_dir).filings()
 
 
 def bucket_counts(spark, sf_dir):

@@ -11,7 +11,6 @@ from pyspark.sql import SparkSession
 
 from harbinger import config
 from harbinger.operators.store import Store
-from harbinger.operators.venues import filings
 from harbinger.plans import digest, render
 from harbinger.streaming.ingest import fetch
 
@@ -48,16 +47,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, today
         return 1 if failed else 0
     if args.command == "digest":
         made = digest.from_store(store, today, args.days, args.min_score, args.neighborhood)
-        shown = made.shown.persist()
-        try:
-            delivered, archived = filings(shown).select("source", "id"), 0
-            cutoff = digest.cutoff_of(today, args.days)
-            shown.count()
+        with made.kept():  # what is shown is what is delivered
+            archived = 0
             if not args.dry_run:
-                archived = store.deliver(delivered, cutoff, args.min_score)
-            print(render.as_json(shown, args.days, args.min_score, archived) if args.json else render.text(shown, args.days, args.md, archived))
-        finally:
-            shown.unpersist()
+                delivered = made.entries.join(made.shown, "venue_key", "left_semi").select("source", "id")
+                archived = store.deliver(delivered, digest.cutoff_of(today, args.days), args.min_score)
+            rows = render.json_rows(made, args.days, args.min_score, archived) if args.json else render.lines(made, args.days, args.md, archived)
+            for line in render.printed(rows):
+                print(line, end="")
     return 0
 
 

@@ -68,16 +68,18 @@ def listed(found: Column) -> Column:
 
 
 def corroborate(entries: DataFrame, addresses: DataFrame, names: DataFrame) -> DataFrame:
-    """The entries with score and reasons raised by other sources at the same address (+2), then under the same name (+1)."""
+    """The entries with score and reasons raised by other sources at the same address (+2), then under the same name (+1),
+    and with `filings`, the newest at their address."""
     keyed = entries.withColumns({"_a": spread(matchable_address(F.col("address")), "source", "id"), "_n": spread(matchable_name(F.col("name")), "source", "id")})
     a, n = addresses.select(F.col("key").alias("_a"), F.col("filings").alias("_at")), names.select(F.col("key").alias("_n"), F.col("filings").alias("_as"))
     rows = keyed.join(a, "_a", "left").join(n, "_n", "left")
+    rows = rows.withColumn("filings", F.slice(F.coalesce("_at", F.array().cast(f"array<{ENTRY}>")), 1, HISTORY_HITS))
     rows = rows.withColumns({"_at": others(F.col("_at"), F.col("source"), ADDRESS_HITS), "_as": others(F.col("_as"), F.col("source"), NAME_HITS)})
     by = lambda c, points: F.when(F.size(c) > 0, points).otherwise(0)
     because = lambda c, words: F.when(F.size(c) > 0, F.array(F.concat(F.lit(words), listed(F.col(c))))).otherwise(F.array().cast("array<string>"))
     return rows.withColumns({
         "score": F.col("score") + by("_at", ADDRESS_BONUS) + by("_as", NAME_BONUS), "reasons": F.concat("reasons", because("_at", "corroborated by "), because("_as", "name also in ")),
-    }).select(*entries.columns)
+    }).select(*entries.columns, "filings")
 
 
 def neighborhoods(signals: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harbinger.functions.textnorm import matchable_address, matchable_name, spread
-from harbinger.operators.corroborate import ENTRY, HISTORY_HITS
+from harbinger.operators.corroborate import ENTRY
 
 #: Fixed order: whose name a venue shows.
 NAME_PRIORITY = ("abc", "health", "business", "tables_chairs", "entertainment", "mobile_food", "vending", "planning", "fire", "permit", "electrical", "plumbing")
@@ -42,27 +42,40 @@ def assign(entries: DataFrame) -> DataFrame:
     return rows.withColumns({"venue_key": F.coalesce(key, F.concat(F.lit("I:"), "source", F.lit(":"), "id")), "addressed": F.col("_a") != ""}).drop("_a", "_n", "_anchor")
 
 
-def summarize(assigned: DataFrame, addresses: DataFrame | None = None) -> DataFrame:
-    """A row per venue: name, address, neighborhood, score, date, root, entries (newest first) and history."""
-    member = F.struct(newest(F.col("date")).alias("d"), (-F.col("score")).alias("n"), F.col("source").alias("s"), F.col("id").alias("i"))
-    rows = assigned.withColumns({"_m": member, "_p": place()})
+def _member() -> Column:
+    """The order of a venue's entries: newest first, then the strongest, then source and id."""
+    return F.struct(newest(F.col("date")).alias("d"), (-F.col("score")).alias("n"), F.col("source").alias("s"), F.col("id").alias("i"))
+
+
+def summarize(assigned: DataFrame) -> DataFrame:
+    """A row per venue: name, address, neighborhood, score, date, root, n_entries, first_id and history (at most
+    HISTORY_SHOWN, of the `filings` that entries have with their address, if they have them). Its entries stay rows of
+    their own (see `members`), so a venue with very many is a short row too."""
+    none = F.array().cast(f"array<{ENTRY}>")
+    rows = assigned.withColumns({"_m": _member(), "_p": place(), "_f": F.col("filings") if "filings" in assigned.columns else none})
     namer = F.struct(source_rank(F.col("source")).alias("r"), (-F.col("score")).alias("n"), F.col("_m").alias("m"))
-    fields = [c for c in assigned.columns if c not in ("venue_key", "addressed")]
     out = rows.groupBy("venue_key").agg(
         F.max("score").alias("score"), F.max("date").alias("date"),
-        F.coalesce(F.min_by(F.struct("name", "address"), F.when(F.col("name") != "", namer)), F.min_by(F.struct("name", "address"), F.col("_m"))).alias("_best"),
-        F.min_by("address", F.when(F.col("address") != "", F.col("_m"))).alias("_address"), F.min_by("neighborhood", F.when(F.col("neighborhood") != "", F.col("_m"))).alias("_hood"),
-        F.coalesce(F.min(F.when(F.col("addressed"), F.col("_p"))), F.min("_p")).alias("root"), F.sort_array(F.collect_list(F.struct("_m", F.struct(*fields).alias("e")))).alias("_entries"),
+        F.coalesce(F.min_by(F.struct("name", "address", "_f"), F.when(F.col("name") != "", namer)), F.min_by(F.struct("name", "address", "_f"), F.col("_m"))).alias("_best"),
+        F.min_by(F.struct("address", "_f"), F.when(F.col("address") != "", F.col("_m"))).alias("_address"), F.min_by("neighborhood", F.when(F.col("neighborhood") != "", F.col("_m"))).alias("_hood"),
+        F.coalesce(F.min(F.when(F.col("addressed"), F.col("_p"))), F.min("_p")).alias("root"), F.count(F.lit(1)).alias("n_entries"), F.min_by("id", "_m").alias("first_id"),
     )
-    address = F.coalesce(F.nullif(F.col("_best.address"), F.lit("")), F.col("_address"), F.lit(""))
+    own = F.col("_best.address") != ""
+    address, filed = F.when(own, F.col("_best.address")).otherwise(F.coalesce("_address.address", F.lit(""))), F.when(own, F.col("_best._f")).otherwise(F.coalesce("_address._f", none))
     name = F.coalesce(F.nullif(F.col("_best.name"), F.lit("")), F.nullif(address, F.lit("")), F.lit("(unnamed)"))
-    out = out.select("venue_key", name.alias("name"), address.alias("address"), F.coalesce("_hood", F.lit("")).alias("neighborhood"), "score", "date", "root", F.transform("_entries", lambda x: x["e"]).alias("entries"))
-    if addresses is None:
-        return out.withColumn("history", F.array().cast(f"array<{ENTRY}>"))
-    rows = out.withColumn("_k", spread(matchable_address(F.col("address")), "venue_key")).join(addresses.select(F.col("key").alias("_k"), "filings"), "_k", "left")
-    shown = F.slice(F.coalesce("filings", F.array().cast(f"array<{ENTRY}>")), 1, HISTORY_HITS)
-    earlier = F.filter(shown, lambda h: ~F.exists("entries", lambda m: (m["source"] == h["source"]) & (m["name"] == h["name"]) & (m["date"] == h["date"])))
-    return rows.withColumn("history", F.slice(earlier, 1, HISTORY_SHOWN)).drop("_k", "filings")
+    out = out.select("venue_key", name.alias("name"), address.alias("address"), F.coalesce("_hood", F.lit("")).alias("neighborhood"), "score", "date", "root", "n_entries", "first_id", filed.alias("_f"))
+    if "filings" not in assigned.columns:
+        return out.withColumnRenamed("_f", "history")
+    # of the newest filings at the venue's address those that are no entries of it: a few rows a venue are joined
+    had = out.select("venue_key", F.posexplode("_f").alias("place", "h")).select("venue_key", "place", "h.*")
+    left = had.join(assigned.select("venue_key", "source", "name", "date").distinct(), ["venue_key", "source", "name", "date"], "left_anti")
+    earlier = left.groupBy("venue_key").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", F.struct("date", "source", "name").alias("h")))), 1, HISTORY_SHOWN).alias("x"))
+    return out.drop("_f").join(earlier, "venue_key", "left").withColumn("history", F.coalesce(F.transform("x", lambda x: x["h"]), none)).drop("x")
+
+
+def members(assigned: DataFrame) -> DataFrame:
+    """The entries with venue_key and their position in the venue, from 1: a sort within the venue's key, which spills."""
+    return assigned.withColumn("position", F.row_number().over(Window.partitionBy("venue_key").orderBy(_member()))).drop("addressed", "filings")
 
 
 def bucket(score: Column) -> Column:
@@ -80,15 +93,12 @@ def display_order(venues: DataFrame, min_score: int) -> DataFrame:
     return rows.withColumns({"bucket_rank": rank, "hood_score": top["score"], "hood_date": top["date"], "venue_rank": place})
 
 
-def in_order(shown: DataFrame) -> DataFrame:
-    return shown.orderBy("bucket_rank", F.col("hood_score").desc(), F.col("hood_date").desc(), "hood", "venue_rank")
-
-
-def filings(shown: DataFrame) -> DataFrame:
-    """One row per filing of the shown venues, in display order: by bucket_rank, hood_score and hood_date descending,
-    neighborhood_shown, venue_rank, position."""
-    rows = shown.select("*", F.posexplode("entries").alias("position", "e"))
-    return in_order(rows.withColumnRenamed("position", "_position")).select(
-        "bucket", F.col("hood").alias("neighborhood_shown"), F.col("name").alias("venue_name"), F.col("address").alias("venue_address"), F.col("score").alias("venue_score"), F.col("date").alias("venue_date"),
-        "bucket_rank", "hood_score", "hood_date", "venue_rank", (F.col("_position") + 1).alias("position"), F.col("e.source").alias("source"), F.col("e.id").alias("id"), F.col("e.name").alias("name"), F.col("e.date").alias("date"), F.col("e.score").alias("score"),
+def filings(shown: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row per filing of the shown venues, in display order: by bucket_rank, hood_score and hood_date descending, neighborhood_shown,
+    venue_rank, position. entries: as `members` gives them."""
+    venue = shown.select(
+        "venue_key", "bucket", F.col("hood").alias("neighborhood_shown"), F.col("name").alias("venue_name"), F.col("address").alias("venue_address"), F.col("score").alias("venue_score"), F.col("date").alias("venue_date"),
+        "bucket_rank", "hood_score", "hood_date", "venue_rank",
     )
+    rows = venue.join(entries.select("venue_key", "position", "source", "id", "name", "date", "score"), "venue_key").drop("venue_key")
+    return rows.orderBy("bucket_rank", F.col("hood_score").desc(), F.col("hood_date").desc(), "neighborhood_shown", "venue_rank", "position")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,7 @@ from harbinger.functions.textnorm import collapse, matchable_address, matchable_
 from harbinger.operators import corroborate as co
 from harbinger.operators import venues as ve
 from harbinger.operators.store import Store
+from harbinger.operators.tables import written
 
 #: Sources whose weak rows corroboration never lifts.
 NOT_RESCUED = ("business",)
@@ -63,11 +66,27 @@ def in_neighborhood(entries: DataFrame, name: str) -> DataFrame:
 
 @dataclass
 class Digest:
-    """The entries after corroboration and the venues shown, with the keys of their order."""
+    """The entries after corroboration, with their venue and their position in it, and the venues shown, with the keys of
+    their order."""
 
     entries: DataFrame
     shown: DataFrame
 
+    def filings(self) -> DataFrame:
+        return ve.filings(self.shown, self.entries)
+
+    @contextlib.contextmanager
+    def kept(self) -> Iterator[Digest]:
+        """The digest computed once, for all that is made of it within the block; stays as it is whatever is committed."""
+        entries, shown = self.entries.persist(), self.shown.persist()
+        try:
+            entries.count()
+            shown.count()
+            yield self
+        finally:
+            entries.unpersist()
+            shown.unpersist()
+
 
 def cutoff_of(as_of: str, days: int) -> str:
     return (datetime.date.fromisoformat(as_of) - datetime.timedelta(days=days)).isoformat()
@@ -79,11 +98,13 @@ def keys_of(entries: DataFrame, key: Column) -> DataFrame:
 
 def assembled(entries: DataFrame, addresses: DataFrame, names: DataFrame, hoods: DataFrame, min_score: int, neighborhood: str | None) -> Digest:
     """Operator order matters: history is unfiltered, inheritance comes before the neighborhood filter, that before
-    clustering, and min_score is asked of venues, whose weaker filings ride along."""
-    entries = co.inherit(co.corroborate(entries, addresses, names), hoods)
+    clustering, and min_score is asked of venues, whose weaker filings ride along. The entries are written here, as all
+    that follows reads them again and again and nothing else."""
+    entries = written(co.inherit(co.corroborate(entries, addresses, names), hoods), "entries")
     if neighborhood:
         entries = in_neighborhood(entries, neighborhood)
-    return Digest(entries, ve.display_order(ve.summarize(ve.assign(entries), addresses), min_score))
+    assigned = ve.assign(entries)
+    return Digest(ve.members(assigned), ve.display_order(ve.summarize(assigned), min_score))
 
 
 def build(signals: DataFrame, as_of: str, days: int = 7, min_score: int = 2, neighborhood: str | None = None) -> Digest:

@@ -102,11 +102,11 @@ def test_digest_end_to_end(spark, tmp_path, capsys):
     ]
     made = digest.build(frame(spark, *rows), "2026-07-02", 7, 2)
     shown = {r["name"]: r for r in made.shown.collect()}
-    assert set(shown) == {"Bean"} and {e["id"] for e in shown["Bean"]["entries"]} == {"p", "a", "m"}
+    assert set(shown) == {"Bean"} and {e["id"] for e in made.filings().collect()} == {"p", "a", "m"}
     assert shown["Bean"]["neighborhood"] == "Mission" and [h["name"] for h in shown["Bean"]["history"]] == ["Prior"]
-    text = render.text(made.shown, 7)
+    text = render.text(made, 7)
     assert "Bean — 1 OAK ST" in text and "3 new signal(s) at 1 venue(s)." in text and "corroborated by" not in text
-    out = json.loads(render.as_json(made.shown, 7, 2, 0, "now"))
+    out = json.loads(render.as_json(made, 7, 2, 0, "now"))
     assert list(out) == ["tool", "generated_at", "window_days", "min_score", "archived", "entries", "venues"] and len(out["entries"]) == 3 and any("corroborated by" in r for e in out["entries"] for r in e["reasons"])
     db = f"file://{tmp_path}/db"
     s = store.Store(spark, db)
@@ -115,7 +115,7 @@ def test_digest_end_to_end(spark, tmp_path, capsys):
     other = f"file://{tmp_path}/other"
     store.Store(spark, other).commit(frame(spark, *rows), {})
     assert cli.main(["--db", other, "digest", "--md"], spark, "2026-07-02") == 0
-    assert capsys.readouterr().out.endswith("\n3 new signal(s) at 1 venue(s).\n(archived 1 signals older than the window)\n\n")
+    assert capsys.readouterr().out.endswith("\n3 new signal(s) at 1 venue(s).\n(archived 1 signals older than the window)\n")
     assert cli.main(["--db", db, "digest", "--json"], spark, "2026-07-02") == 0
     assert json.loads(capsys.readouterr().out)["archived"] == 1
     assert {r["external_id"] for r in s.signals().where("seen").collect()} == {"p", "a", "m", "old", "stale"}
@@ -315,17 +315,15 @@ def test_fetch_reads_every_feed_and_goes_on_after_failures(spark, city, tmp_path
 def test_digest_shows_buckets_hoods_and_venues_in_order(spark):
     e = lambda i, hood, score, date: signal(f"s{i}", str(i), f"{i}00 Oak St", date, score, f"Bar Number {i} X", hood)
     rows = [e(1, "B", 3, "2026-07-01"), e(2, "A", 5, "2026-06-30"), e(3, "C", 5, "2026-07-01"), e(4, "A", 4, "2026-07-01"), e(5, "", 3, "2026-07-01"), e(6, "B", 2, "2026-07-02"), e(7, "A", 5, "2026-06-30")]
-    shown = digest.build(frame(spark, *rows), "2026-07-02", 7, 2).shown
-    assert [r["name"].split()[2] for r in venues.in_order(shown).collect()] == ["3", "2", "7", "4", "1", "6", "5"]
-    flat = venues.filings(shown).collect()
+    flat = digest.build(frame(spark, *rows), "2026-07-02", 7, 2).filings().collect()
     keys = [(r["bucket_rank"], -r["hood_score"], r["hood_date"], r["venue_rank"]) for r in flat]
     assert [r["id"] for r in flat] == ["3", "2", "7", "4", "1", "6", "5"] and [k[3] for k in keys] == [1, 1, 2, 3, 1, 2, 1]
 
 
 def test_markdown_and_json_word_by_word(spark):
     rows = [signal("permit", "p", "1 Oak Street", score=3, hood="Mission"), signal("abc", "a", "1 OAK ST", "2026-06-30", name="Bean"), signal("health", "old", "1 Oak St", "2025-01-01", name="Prior", seen=True)]
-    shown = digest.build(frame(spark, *rows), "2026-07-02", 7, 2).shown
-    assert render.text(shown, 7, True) == """# Early signals — last 7 days
+    made = digest.build(frame(spark, *rows), "2026-07-02", 7, 2)
+    assert render.text(made, 7, True) == """# Early signals — last 7 days
 
 ## 🔥 Strong signals
 
@@ -338,11 +336,38 @@ def test_markdown_and_json_word_by_word(spark):
 
 2 new signal(s) at 1 venue(s).
 """
-    out = json.loads(render.as_json(shown, 7, 2, 0, "now"))
+    out = json.loads(render.as_json(made, 7, 2, 0, "now"))
     venue = out["venues"][0]
     assert list(venue) == ["name", "address", "neighborhood", "date", "score", "bucket", "filings", "history"] and list(venue["filings"][0]) == ["source", "id", "name", "address", "neighborhood", "date", "score", "bucket", "reasons", "url", "description"]
     assert venue["history"] == [{"source": "health", "name": "Prior", "date": "2025-01-01"}] and out["entries"] == venue["filings"] and venue["filings"][1]["reasons"] == ["r", "corroborated by permit: Name p (2026-07-01), health: Prior (2025-01-01)"]
-    assert render.text(shown.where("false"), 7, True).endswith("\nNo new signals.\n")
+    none = digest.Digest(made.entries, made.shown.where("false"))
+    assert render.text(none, 7, True, 3).endswith("\n\nNo new signals.\n(archived 3 signals older than the window)\n")
+    assert json.loads(render.as_json(none, 7, 2, 0, "now"))["venues"] == []
+
+
+def test_documents_are_written_by_many_tasks(spark, tmp_path):
+    """Byte for byte what is printed and what json.dumps gives, over several files, with every bucket."""
+    e = lambda i, hood, score, date: signal(("permit", "abc")[i % 2], str(i), f"{i // 2}00 Oak St", date, score, f"Bär {i} \"X\"", hood)
+    made = digest.build(frame(spark, *[e(i, "ABC"[i % 3], 1 + i % 4, f"2026-07-0{1 + i % 2}") for i in range(24)]), "2026-07-02", 7, 1)
+    with made.kept():
+        for name, rows in (("md", render.lines(made, 7, True)), ("json", render.json_rows(made, 7, 1, 2, "now"))):
+            want = "".join(render.printed(rows))
+            render.write(rows, f"file://{tmp_path}/{name}", 5)
+            files = sorted((tmp_path / name).glob("part-*"))
+            assert len(files) > 2 and "".join(f.read_text() for f in files) == want
+    out = json.loads(want)
+    assert json.dumps(out, indent=2, ensure_ascii=False) + "\n" == want and len(out["entries"]) == 24 and out["entries"] == [f for v in out["venues"] for f in v["filings"]]
+    assert {v["bucket"] for v in out["venues"]} == {"strong", "watch"} and len(out["venues"]) == 12
+
+
+def test_a_venue_of_very_many_entries_is_short_rows(spark):
+    rows = spark.range(20_000).select(F.lit("permit").alias("source"), F.col("id").cast("string").alias("id"), F.concat(F.lit("Name "), "id").alias("name"), F.lit("1 Oak St").alias("address"), F.lit("2026-07-01").alias("date"), F.lit("").alias("neighborhood"), (F.col("id") % 5).cast("int").alias("score"))
+    filed = spark.createDataFrame([("1 Oak St", [("2026-07-01", "permit", "Name 3"), ("2026-06-30", "abc", "Other")])], f"address string, filings array<{corroborate.ENTRY}>")
+    assigned = venues.assign(rows.join(F.broadcast(filed), "address"))
+    v = venues.summarize(assigned).collect()
+    assert len(v) == 1 and v[0]["n_entries"] == 20_000 and [h["name"] for h in v[0]["history"]] == ["Other"] and len(str(v[0])) < 1000
+    got = venues.members(assigned).where("position <= 2 or position = 20000").orderBy("position").collect()
+    assert [(r["id"], r["position"]) for r in got] == [("10004", 1), ("10009", 2), ("9995", 20_000)]
 
 
 def test_entries_of_a_neighborhood(spark):
