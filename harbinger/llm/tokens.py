@@ -47,15 +47,15 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2")
 
     def _forget(self) -> None:
-        self.keys, self.at = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.keys, self.slot, self.at = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.size, self.flat = np.empty(0, np.int64), np.empty(0, "<u2")
         none = np.empty(0, np.int64)
-        #: The bytes of each piece, in the order of `keys` but for `value`, and what stood before it.
+        #: The bytes of each piece, and what stood before it.
         self.bytes, self.kind = bytescan.Blocks(np.empty(0, np.uint64), none, none, none, none), none
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes], kinds: list[int], body: bytescan.Blocks, spans: np.ndarray) -> None:
         """Encodes new pieces, which are spans of body, many in one call, with a mark between them that is a token of its own."""
-        found: list[np.ndarray] = []
+        sizes, flats = [np.empty(0, np.int64)], [np.empty(0, "<u2")]
         for lo in range(0, len(pieces), JOIN_PIECES):
             some = pieces[lo : lo + JOIN_PIECES]
             if self.spaced:
@@ -64,26 +64,26 @@ class PieceEncoder:
                 text = self.mark + b" " + (b" " + self.mark + b" ").join(some)
             ids = self.plain(text.decode())
             cuts = np.flatnonzero(ids == self.mark_id)
-            if cuts.size == len(some):
-                found += np.split(ids, cuts)[1:]
-            else:  # a piece holds the mark's token in another guise
-                found += [np.concatenate([[self.mark_id], self.plain((b" " + p if k == 0 and self.spaced else p).decode())]).astype("<u2") for p, k in zip(some, kinds[lo : lo + JOIN_PIECES], strict=True)]
+            if cuts.size != len(some):  # a piece holds the mark's token in another guise
+                found = [np.concatenate([[self.mark_id], self.plain((b" " + p if k == 0 and self.spaced else p).decode())]).astype("<u2") for p, k in zip(some, kinds[lo : lo + JOIN_PIECES], strict=True)]
+                ids, cuts = np.concatenate(found), np.cumsum([0, *(f.size for f in found[:-1])])
+            sizes.append(np.diff(cuts, append=ids.size))
+            flats.append(ids[cuts[0] :])
         kind = np.array(kinds)
         keep_mark = self.spaced & (kind == 1)
-        size = np.array([f.size for f in found], np.int64)
-        flat = np.concatenate(found) if found else np.empty(0, "<u2")
+        size, flat = np.concatenate(sizes), np.concatenate(flats)
         first = np.cumsum(size) - size + self.flat.size + ~keep_mark
         size = size - ~keep_mark
-        all_keys = np.concatenate([self.keys, keys])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys = all_keys[order]
-        self.at, self.size = np.concatenate([self.at, first])[order], np.concatenate([self.size, size])[order]
-        self.flat = np.concatenate([self.flat, flat])
+        # only keys and the pieces' numbers are kept in order; what is known of a piece is appended
+        at = np.searchsorted(self.keys, keys)
+        self.slot = np.insert(self.slot, at, np.arange(self.at.size, self.at.size + keys.size))
+        self.keys = np.insert(self.keys, at, keys)
+        both = lambda x, y: np.concatenate([x, y])
+        self.at, self.size, self.flat = both(self.at, first), both(self.size, size), both(self.flat, flat)
         count, old = body.count[spans], self.bytes
         ends = np.cumsum(count)
         value = body.value[np.repeat(body.first[spans] - ends + count, count) + np.arange(int(count.sum()))]
-        both = lambda x, y: np.concatenate([x, y])[order]
-        self.bytes = bytescan.Blocks(np.concatenate([old.value, value]), old.span, both(old.first, ends - count + old.value.size), both(old.count, count), both(old.size, body.size[spans]))
+        self.bytes = bytescan.Blocks(both(old.value, value), old.span, both(old.first, ends - count + old.value.size), both(old.count, count), both(old.size, body.size[spans]))
         self.kind = both(self.kind, kind)
 
     def _odd(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -142,7 +142,8 @@ class PieceEncoder:
             head = where[back]
             sound = (kind == kind[head]) & bytescan.same_spans(body, np.arange(back.size), body, head)
             had = np.flatnonzero(known)
-            other = (self.kind[place[had]] != kind[where[had]]) | ~bytescan.same_spans(body, where[had], self.bytes, place[had])
+            slot = self.slot[place[had]]
+            other = (self.kind[slot] != kind[where[had]]) | ~bytescan.same_spans(body, where[had], self.bytes, slot)
             if other.any() or not sound.all():  # pieces that differ have one hash
                 met = np.zeros(once.size, bool)
                 met[had[other]] = True
@@ -156,7 +157,8 @@ class PieceEncoder:
                 pieces = [text[i:j] for i, j in zip(keep_start[at].tolist(), keep_end[at].tolist(), strict=True)]
                 self._learn(once[new], pieces, kind[at].tolist(), body, at)
                 place = np.searchsorted(self.keys, once)
-            length, first = self.size[place], self.at[place]
+            slot = self.slot[place]
+            length, first = self.size[slot], self.at[slot]
             size_of, first_of = length[back], first[back]
             ends = np.cumsum(size_of)
             ids = self.flat[np.arange(ends[-1]) + np.repeat(first_of - ends + size_of, size_of)]
