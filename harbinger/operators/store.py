@@ -9,10 +9,14 @@ largest date and its number of undelivered rows stand in the log, so a window re
 Beside the rows the store keeps, by (key, source), the newest filings at an address and under a name and the first
 with a neighborhood. A commit merges its rows into these lists; only where a stored filing changed or lost its key
 are the lists of that key made anew from the rows.
+
+For sources whose rules ask for a first event it keeps the beginnings of their ids too, in files by ranges of hashed
+buckets: a batch reads those that its own keys fall in.
 """
 
 from __future__ import annotations
 
+import bisect
 import urllib.parse
 import uuid
 from collections.abc import Callable, Iterable
@@ -112,14 +116,24 @@ def prefixes(external_id: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.when(F.size(parts) > 1, F.concat(F.array_join(F.slice(parts, F.lit(1), i), "-"), F.lit("-"))))
 
 
+def beginning(key: Column) -> Column:
+    """What the ids of a key begin with."""
+    return F.concat(F.translate(key, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("-"))
+
+
 def first_events(batch: DataFrame, stored_ids: DataFrame, key: str = "permit", date: str = "date", seq: str = "seq") -> DataFrame:
+    """first_of for stored_ids: (external_id), each a key, a dash and more."""
+    return first_of(batch, stored_ids.select(F.explode(prefixes(F.col("external_id"))).alias("prefix")), key, date, seq)
+
+
+def first_of(batch: DataFrame, seen: DataFrame, key: str = "permit", date: str = "date", seq: str = "seq") -> DataFrame:
     """The batch with `first`: whether a key's event is the first ever, in (date, seq) order.
 
-    stored_ids: (external_id), each a key, a dash and more. A key was seen if any id, stored or earlier in the
-    batch, begins with the key and a dash; this is an equality of prefixes, no pattern match. One row per key."""
-    low = F.translate(F.col(key), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = batch.withColumn("_p", F.concat(low, F.lit("-")))
-    seen = stored_ids.select(F.explode(prefixes(F.col("external_id"))).alias("_p")).where("_p is not null").distinct().withColumn("_stored", F.lit(True))
+    seen: (prefix), beginnings of stored ids, at least those that the batch's keys ask for. A key was seen if any id,
+    stored or earlier in the batch, begins with the key and a dash; this is an equality of prefixes, no pattern match.
+    Rows of a null key are first, one by one. One row per row of the batch."""
+    rows = batch.withColumn("_p", beginning(F.col(key)))
+    seen = seen.select(F.col("prefix").alias("_p")).where("_p is not null").distinct().withColumn("_stored", F.lit(True))
     own = rows.select(F.explode(prefixes(F.concat(F.col(key), F.lit("-"), F.col(date)))).alias("_p"), F.struct(F.col(date).alias("d"), F.col(seq).alias("s")).alias("at"))
     earliest = own.where("_p is not null").groupBy("_p").agg(F.min("at").alias("_least"))
     rows = rows.join(seen, "_p", "left").join(earliest, "_p", "left")
@@ -137,6 +151,11 @@ WAS = "name string, address string, date string, neighborhood string, score int,
 ITEMS = "array<struct<date:string,name:string,id:string>>"
 LISTS = "kind string, key string, source string, items array<struct<date:string,name:string,id:string>>, commit long"
 MOST = {"address": HISTORY_HITS, "name": NAME_HITS, "hood": 1}
+#: Sources whose rules ask for a first event.
+FIRSTS = ("health",)
+#: Beginnings of ids, by buckets of their hash; a file of them holds a range of buckets.
+STARTS = "source string, bucket string, prefix string, commit long"
+BUCKETS, STARTS_A_FILE = 4096, 1 << 18
 #: Changed keys up to which they are broadcast to the base rows that they hide.
 BROADCAST_ROWS = 500_000
 
@@ -164,6 +183,17 @@ def facts(rows: DataFrame, at: str = "") -> DataFrame:
     return rows.select(F.explode(F.filter(every, lambda f: f.isNotNull())).alias("f")).select("f.*")
 
 
+def bucket(prefix: Column) -> Column:
+    """Three hexadecimal digits."""
+    return F.lpad(F.hex(F.pmod(F.xxhash64(prefix), F.lit(BUCKETS))), 3, "0")
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """(source, bucket, prefix) of the rows' ids, each once."""
+    out = rows.select("source", F.explode(prefixes(F.col("external_id"))).alias("prefix")).where("prefix is not null").distinct()
+    return out.select("source", bucket(F.col("prefix")).alias("bucket"), "prefix")
+
+
 def lists(of: DataFrame) -> DataFrame:
     """(kind, key, source, items): the newest distinct filings of (key, source), of a hood the first; cut by a window, so
     that no more than these are gathered."""
@@ -180,9 +210,10 @@ class Store:
     """Signals, their lists by key, and meta values under a folder. See the module's text and `log`.
 
     A source's changes are merged into its base when their bytes pass `share` of the base and `least_bytes`, or when
-    they are `most_files`."""
+    they are `most_files`. firsts: sources whose beginnings of ids are kept."""
 
-    def __init__(self, spark: SparkSession, root: str, share: float = 0.25, least_bytes: int = 32 << 20, most_files: int = 64, keep_s: float = 7 * 86400):
+    def __init__(self, spark: SparkSession, root: str, share: float = 0.25, least_bytes: int = 32 << 20, most_files: int = 64, keep_s: float = 7 * 86400, firsts: Iterable[str] = FIRSTS):
+        self.firsts = frozenset(firsts)
         self.spark, self.share, self.least_bytes, self.most_files = spark, share, least_bytes, most_files
         self.log = Log(spark, root, keep_s)
         self.root = self.log.root
@@ -200,12 +231,14 @@ class Store:
 
     def _write(self, rows: DataFrame, table: str, base: bool) -> list[dict]:
         """Writes rows and describes the files: one more pass, over narrow columns of what was written, which also counts what the caller wants to know."""
-        name = f"write={uuid.uuid4().hex}"
-        rows.write.partitionBy(*(["source"] if table == "signals" else [])).parquet(f"{self.root}/data/{name}")
+        name, by_source = f"write={uuid.uuid4().hex}", table != "lists"
+        most = STARTS_A_FILE if table == "starts" else 0
+        rows.write.partitionBy(*(["source"] if by_source else [])).option("maxRecordsPerFile", most).parquet(f"{self.root}/data/{name}")
         back = self.spark.read.schema(rows.schema).option("basePath", f"{self.root}/data/{name}").parquet(f"{self.root}/data/{name}")
-        date, unseen = (F.col("date"), ~F.col("seen")) if table == "signals" else (F.lit(""), F.lit(False))
+        date = F.col("date") if table == "signals" else F.col("bucket") if table == "starts" else F.lit("")
+        unseen = ~F.col("seen") if table == "signals" else F.lit(False)
         new, times = (F.col("was").isNull(), F.col("times")) if "was" in rows.columns else (F.lit(False), F.lit(0))
-        got = back.groupBy(F.col("_metadata.file_path").alias("path"), "source" if table == "signals" else F.lit("").alias("source")).agg(
+        got = back.groupBy(F.col("_metadata.file_path").alias("path"), "source" if by_source else F.lit("").alias("source")).agg(
             F.first("_metadata.file_size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min(date).alias("lo"), F.max(date).alias("hi"), F.count(F.when(unseen, 1)).alias("unseen"), F.count(F.when(new, 1)).alias("new"), F.sum(times).alias("times"),
         )
         short = lambda p: "data/" + urllib.parse.unquote(p).rsplit("/data/", 1)[1]
@@ -250,6 +283,36 @@ class Store:
         files = [f for f in self.log.state().files.values() if f["table"] == "lists"]
         return self._newest(files, ["kind", "key", "source"], LISTS).where((F.col("kind") == kind) & (F.size("items") > 0)).select("key", "source", "items")
 
+    def seen(self, source: str, asked: DataFrame) -> DataFrame:
+        """Those of asked (prefix) that a stored id of the source begins with. What is read follows asked: the files whose
+        buckets it falls in. A store without them, of a former layout, is read whole, and gets them with the next commit."""
+        state = self.log.state()
+        files = [f for f in state.files.values() if f["table"] == "starts" and f["source"] == source]
+        asked = asked.select("prefix", bucket(F.col("prefix")).alias("bucket")).where("prefix is not null").distinct()
+        if not files:
+            return starts(self._signals(state, [source])).join(asked, ["bucket", "prefix"]).select("prefix")
+        counts = {r["bucket"]: r["count"] for r in asked.groupBy("bucket").count().collect()}  # at most BUCKETS rows
+        hit = sorted(counts)
+        due = lambda f: bisect.bisect_left(hit, f["lo"]) < bisect.bisect_right(hit, f["hi"])
+        have = self._read([f for f in files if due(f)], STARTS).where(F.col("bucket").isin(hit))
+        asked = F.broadcast(asked) if sum(counts.values()) <= BROADCAST_ROWS else asked
+        return have.join(asked, ["bucket", "prefix"]).select("prefix").distinct()
+
+    def _starts(self, state: State, change: list[dict], version: int) -> list[dict]:
+        """The beginnings of new ids, written; of all ids where the source has no such file yet."""
+        out = []
+        for source in sorted({f["source"] for f in change if f["source"]} & self.firsts):
+            had = [f for f in state.files.values() if f["table"] == "starts" and f["source"] == source]
+            new = self._read([f for f in change if f["source"] == source], f"{ROWS}, was struct<score:int>").where("was is null").select(*KEY)
+            rows = new if had else new.unionByName(self._signals(state, [source]).select(*KEY))
+            made = starts(rows).withColumn("commit", F.lit(version).cast("long"))
+            out += self._write(made if had else self._by_bucket(made), "starts", not had)
+        return out
+
+    @staticmethod
+    def _by_bucket(rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange("bucket").sortWithinPartitions("source", "bucket", "prefix")
+
     def _lists(self, state: State, change: list[dict], version: int, sources: list, replace: bool) -> list[dict]:
         """The lists that a commit's rows change, written; replace: those of the sources hold nothing but these rows."""
         rows = self._read(change, f"{ROWS}, was struct<{', '.join(f.replace(' ', ':', 1) for f in WAS.split(', '))}>")
@@ -283,7 +346,7 @@ class Store:
         if first:
             rows = rows.repartitionByRange("source", "date", "external_id").sortWithinPartitions("source", "date")
         add = self._write(rows, "signals", first)
-        return add + (self._lists(state, add, version, sources, replace) if add or replace else [])
+        return add + self._starts(state, add, version) + (self._lists(state, add, version, sources, replace) if add or replace else [])
 
     def commit(self, signals: DataFrame, meta: dict[str, str], only: Iterable[str] | None = None) -> int:
         """Replaces the sources in `only` (None: all) by these signals, and their lists with them."""
@@ -291,7 +354,7 @@ class Store:
         rows = new_rows(signals if every else signals.where(F.col("source").isin(*only)))
 
         def make(state: State, version: int) -> Change:
-            gone = [k for k, f in state.files.items() if every or f["table"] == "signals" and f["source"] in set(only)]
+            gone = [k for k, f in state.files.items() if every or f["table"] != "lists" and f["source"] in set(only)]
             left = State(state.version, {k: f for k, f in state.files.items() if k not in set(gone)}, state.meta)
             return Change(self._put(left, version, rows, list(only or []), True), gone, {**({k: None for k in state.meta} if every else {}), **meta})
 
@@ -362,6 +425,8 @@ class Store:
                     return None
                 if table == "lists":
                     rows = self._newest(files, ["kind", "key", "source"], LISTS).where(F.size("items") > 0).repartitionByRange("kind", "key")
+                elif table == "starts":
+                    rows = self._by_bucket(self._read(files, STARTS).groupBy("source", "bucket", "prefix").agg(F.min("commit").alias("commit")))
                 else:
                     rows = self._newest(files, KEY, ROWS)
                     rows = rows.repartitionByRange("date", "external_id").sortWithinPartitions("date")
@@ -372,4 +437,5 @@ class Store:
 
         for source in sources:
             merge("signals", source)
+            merge("starts", source)
         merge("lists", None)

@@ -78,8 +78,10 @@ FEEDS = {f.key: f for f in (
 )}
 
 
-def signals(rows: DataFrame, feed: Feed, today: str, stored: DataFrame | None = None, quiet: bool = False) -> DataFrame:
-    """Raw rows (seq long, raw string) to signals with seq. Rows without an id and those below the feed's least score go."""
+def signals(rows: DataFrame, feed: Feed, today: str, seen: Callable[[DataFrame], DataFrame] | None = None, quiet: bool = False) -> DataFrame:
+    """Raw rows (seq long, raw string) to signals with seq. Rows without an id and those below the feed's least score go.
+
+    seen: which of some beginnings of ids, (prefix), are stored already (Store.seen); None is an empty store."""
     rows = rows.select("seq", F.explode(F.array(parsed(F.col("raw")))).alias("_r"))  # read once, where a projection would be read by every field
     r = F.col("_r")
     date = normal_date(field(r, feed.date_field)) if feed.date_field else F.lit(today)
@@ -89,7 +91,8 @@ def signals(rows: DataFrame, feed: Feed, today: str, stored: DataFrame | None =
         (field(r, feed.date_field) if feed.date_field else F.lit("")).alias("_stamp"),
     ).where(F.regexp_replace("external_id", "^-+|-+$", "") != "")
     if feed.score is None:
-        ids = stored.where(F.col("source") == feed.key).select("external_id") if stored is not None else rows.sparkSession.createDataFrame([], "external_id string")
-        out = store.first_events(out.withColumn("_d", F.col("_stamp")), ids, "_permit", "_d").withColumn("_score", scoring.first_inspection(F.col("first"))).drop("first", "_d")
+        asked = out.select(store.beginning(F.col("_permit")).alias("prefix")).distinct()
+        had = seen(asked) if seen else rows.sparkSession.createDataFrame([], "prefix string")
+        out = store.first_of(out.withColumn("_d", F.col("_stamp")), had, "_permit", "_d").withColumn("_score", scoring.first_inspection(F.col("first"))).drop("first", "_d")
     out = out.withColumns({"score": F.col("_score.score"), "reasons": F.col("_score.reasons"), "first_seen": F.lit(today), "seen": F.lit(quiet)}).drop("_score", "_permit", "_stamp")
     return out.where(F.col("score") >= feed.min_store_score)

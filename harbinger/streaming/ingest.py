@@ -29,7 +29,7 @@ def start_of(feed: feeds.Feed, stored: str | None, since: str | None, full: bool
 
 def ingest(store: Store, feed: feeds.Feed, rows: DataFrame, today: str, since: str | None, quiet: bool, marks: Mapping[str, str] | None = None) -> int:
     """Raw rows (seq, raw) into the store; the watermark and marks move with the same commit. Returns the rows stored."""
-    new = feeds.signals(rows, feed, today, store.signals(), quiet).persist()
+    new = feeds.signals(rows, feed, today, lambda asked: store.seen(feed.key, asked), quiet).persist()
     try:
         meta = dict(marks or {})
         if feed.date_field:
@@ -96,7 +96,11 @@ def stream(rows: DataFrame, feed: feeds.Feed, store: Store, today: str, checkpoi
             meta = store.meta()
             since = meta.get(f"watermark:{feed.key}")
             quiet = feed.quiet_backfill and (since is None or mark in meta)
-            ingest(store, feed, df, today, since or "", quiet, {mark: "open"} if quiet else {})
+            df.persist()  # read for the keys that it asks for, for its rows and for the watermark
+            try:
+                ingest(store, feed, df, today, since or "", quiet, {mark: "open"} if quiet else {})
+            finally:
+                df.unpersist()
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

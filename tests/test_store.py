@@ -1,5 +1,6 @@
 """The store as a log: what a commit writes, several writers, readers of old versions, windows, and lists by key."""
 
+import json
 import os
 import threading
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from harbinger.operators import corroborate, store
 from harbinger.operators.log import Log
+from harbinger.sources import feeds
+from harbinger.streaming import ingest
 from tests.test_reference_operators import frame, signal
 
 
@@ -205,3 +208,62 @@ def test_migration_takes_over_rows_and_watermarks(spark, tmp_path):
         s.migrate(old, None)
         assert {r["external_id"]: r["name"] for r in s.signals().collect()} == {"7": "Kept", "8": "Owner"} and s.meta() == {"watermark:business": "2026-01-01", "x": "y"}
     assert s.listed("address").where("key = '1 OAK ST'").count() == 1
+
+
+def inspections(spark, rows, start=0):
+    made = [(start + k, json.dumps({"permit_number": p, "inspection_date": f"{d}T00:00:00", "dba": "x"})) for k, (p, d) in enumerate(rows)]
+    return spark.createDataFrame(made, "seq long, raw string")
+
+
+def test_first_events_of_batches_are_those_of_all_rows(spark, tmp_path):
+    """Three batches through the kept beginnings, against what stored ids say; the store is compacted in between."""
+    s = store.Store(spark, f"file://{tmp_path}/db", share=0, least_bytes=0)
+    days = [[("A", "2026-06-01"), ("A", "2026-06-02"), ("b-7", "2026-06-01"), ("", "2026-06-01")], [("a", "2026-06-05"), ("B", "2026-06-03"), ("C", "2026-06-02"), ("C", "2026-06-01")], [("c", "2026-06-09"), ("b-7", "2026-06-08"), ("D", "2026-06-08"), ("B-7-1", "2026-06-01")]]
+    feed, have, want = feeds.FEEDS["health"], [], set()
+    for day in days:
+        rows = inspections(spark, day)
+        ids = spark.createDataFrame([(i,) for i in have], "external_id string")
+        batch = spark.createDataFrame([(p, f"{d}T00:00:00", k) for k, (p, d) in enumerate(day)], "permit string, date string, seq long")
+        want |= {f"{r['permit']}-{r['date']}" for r in store.first_events(batch, ids).collect() if r["first"]}
+        ingest.ingest(s, feed, rows, "2026-07-02", "", False)
+        have = [r["external_id"] for r in s.signals().collect()]
+        assert set(have) == want
+    assert want == {f"{p}-2026-06-{d}T00:00:00" for p, d in [("A", "01"), ("b-7", "01"), ("", "01"), ("C", "01"), ("D", "08"), ("B-7-1", "01")]}
+    assert len([f for f in s.log.state().files.values() if f["table"] == "starts"]) == 1
+
+
+def test_first_events_read_what_the_batch_asks_for(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "STARTS_A_FILE", 500)
+    ids = lambda n: many(spark, n, "health").withColumn("external_id", F.concat("external_id", F.lit("-2026-06-01")))
+    asked = spark.createDataFrame([("17-",), ("none-",), (None,), ("17-",)], "prefix string")
+    read = []
+    for n in (2000, 20_000):
+        s = store.Store(spark, f"file://{tmp_path}/{n}")
+        s.upsert(ids(n))
+        got = s.seen("health", asked)
+        assert [r["prefix"] for r in got.collect()] == ["17-"]
+        read.append((len(got.inputFiles()), sum(f["table"] == "starts" for f in s.log.state().files.values())))
+    assert read[0][0] <= 4 and read[1][0] <= 4 and read[1][1] > 5 * read[0][1]  # a bucket lies in one file, or on the edge of two
+    before = s.log.state().files
+    s.upsert(ids(20_050))  # 50 new ids, 2020 refreshed
+    added = [f for k, f in s.log.state().files.items() if k not in before and f["table"] == "starts"]
+    assert 50 <= sum(f["rows"] for f in added) <= 50 * 3
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    assert sorted(r["prefix"] for r in s.seen("health", asked.unionByName(spark.createDataFrame([("20049-",)], "prefix string"))).collect()) == ["17-", "20049-"]
+    assert s.seen("health", asked.where("false")).count() == 0 and s.seen("other", asked).count() == 0
+
+
+def test_beginnings_come_to_stores_without_them_and_go_with_their_source(spark, tmp_path):
+    row = lambda *ids: batch(spark, *[signal("health", i) for i in ids])
+    asked = spark.createDataFrame([("p-",), ("q-",), ("r-",)], "prefix string")
+    have = lambda s: sorted(r["prefix"] for r in s.seen("health", asked).collect())
+    at = f"file://{tmp_path}/db"
+    store.Store(spark, at, firsts=()).upsert(row("p-1"))
+    s = store.Store(spark, at)
+    assert have(s) == ["p-"]
+    s.upsert(row("Q-1"))
+    assert have(s) == ["p-", "q-"] and any(f["table"] == "starts" for f in s.log.state().files.values())
+    s.commit(frame(spark, signal("health", "r-1")), {}, ["health"])
+    assert have(s) == ["r-"]
+    s.commit(frame(spark), {})
+    assert have(s) == []
