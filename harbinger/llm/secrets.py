@@ -1,12 +1,15 @@
 """Secrets in source and configuration text, by assignment-aware lexing.
 
 A lexer reads name-literal pairs in the syntaxes of configuration and source files (name = "x", name: x,
-"name": "x", export NAME=x, name := x, name: type = x, values in parentheses, on the next line or in a YAML block,
-constants joined with + or side by side in parentheses, and names given another name's value). Constants are
-propagated through such names to where they are used, before or after they are defined; a name holds what it was
-given last. A pair's score comes from how sensitive
-its target's name is and how random its literal looks; scores of at least MIN_SCORE give spans of kind `pair`.
-Three plain patterns are always reported: assign, access and hex.
+"name": "x", export NAME=x, name := x, name: type = x, table["name"] = x, #define NAME "x", define("NAME", "x"), values in
+parentheses, triple quotes, on the next line or in a YAML block, constants joined with + over any lines or side by side
+in parentheses, what stands in for a missing value after or, ||, ??, else, a ternary's marks or as a later argument of a
+call, and names given another name's value). Constants are propagated through such names to where they are used, before
+or after they are defined (in a sum only before); a name holds what it was given last. Calls and dotted names of
+variables are no literals. A pair's score comes from how sensitive its target's name is and how random its literal
+looks; scores of at least MIN_SCORE give spans of kind `pair`: the literal's run in the expression and the constants
+that it is made of, parts under SHORTEST_PART characters left out. Three plain patterns are always reported: assign,
+access and hex. Not read: marked-up text (XML), back quotes, and names put together at run time.
 
 Spans are in code points, end exclusive, by start, then kind in this order: assign, access, hex, pair. A null
 or empty text has none. Every row gives one row.
@@ -39,13 +42,18 @@ AUTHOR, AUTHOR_WEIGHT = re.compile(r"author(?!i[sz])"), 0.6
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|changeme|example.*|your.*|todo|redacted|placeholder|<.*>|\$\{.*\}|%\(.*\)s)$")
 MIN_SCORE = 0.6
 SHORTEST = 8
+SHORTEST_PART = 4
+#: What is before a value that stands in for a missing one, and names of arguments that are such values.
+ELSE, DEFAULTS = ("or", "else"), ("default", "fallback")
+#: What may stand before a quote.
+_MARKS = ("@", "$", "@$", "$@")
 #: First characters of a literal that are kept to tell placeholders.
 HEAD = 16
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _STRING = {q: re.compile(rf"{q}(?:[^{q}\\\n]++|\\.)*+{q}") for q in "\"'"}
-#: What stands between the colon and the equals sign of a typed name, and the start of a YAML block.
-_TYPE = re.compile(r"[\w\s.\[\]<>,|&?*]{1,120}")
+#: What stands between the colon and the equals sign of a typed name (longer ones on one line), and the start of a YAML block.
+_TYPE = re.compile(r"[\w\s.\[\]<>,|&?*]{1,120}|[\w \t.\[\]<>,|&?*]++")
 _STRING_AHEAD = re.compile(r"""\s*\(?\s*[A-Za-z]{0,2}["']""")
 _YAML_BLOCK = re.compile(r"[|>][-+0-9]{0,2}[ \t]*(?=\n)")
 _BARE = re.compile(r"[^\s,;\"'(){}\[\]]*+")
@@ -69,12 +77,16 @@ def randomness(counts: Counter[str], n: int) -> float:
 
 class Literal:
     """Length, ends and counts of characters, all that a score needs: constants joined through names can double with
-    every line, so their text is never built."""
+    every line, so their text is never built. Its text is from i to j, or in the literals of `of` and, in its own
+    expression, the span `own`."""
 
-    __slots__ = ("n", "head", "tail", "counts", "random")
+    __slots__ = ("n", "head", "tail", "counts", "random", "i", "j", "own", "of")
 
     def __init__(self, text: str, i: int, j: int):
         self.n, self.head, self.tail = j - i, text[i : min(j, i + HEAD)], text[max(i, j - 2) : j]
+        self.i, self.j = i, j
+        self.own: tuple[int, int] | None = (i, j)
+        self.of: list[Literal] = []
         self.counts: Counter[str] | None = None
         self.random: float | None = None
 
@@ -91,17 +103,33 @@ class Literal:
 
 
 def tokens(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(kind, value, start, end); a string's are those of what its quotes enclose. A quote that its line does not close
-    is passed over; further ones of its kind in the line are then escaped and not closed either."""
-    at, unclosed = 0, {'"': 0, "'": 0}
+    """(kind, value, start, end); a string's are those of what its quotes enclose, doubled quotes and all. A quote that its
+    line does not close is passed over; further ones of its kind in the line are then escaped and not closed either. What
+    triple quotes enclose over several lines is a string and then, as it may be a file of its own, read by tokens too."""
+    at, unclosed, triple, closing = 0, {'"': 0, "'": 0}, {'"': True, "'": True}, set()
     while m := _TOKEN.search(text, at):
         kind, value = m.lastgroup, m[0]
         i, at = m.span()
         if kind != "quote":
             yield kind, value, i, at
+        elif i in closing:
+            at = i + 3
         elif i >= unclosed[value]:
+            if triple[value] and text.startswith(value * 3, i):
+                end = text.find(value * 3, i + 3)
+                if end >= 0:
+                    yield "string", text[i + 3 : end], i + 3, end
+                    at = end + 3
+                    if "\n" in text[i + 3 : end]:
+                        at = i + 3
+                        closing.add(end)
+                        yield "line", "\n", at, at
+                    continue
+                triple[value] = False  # none closes further on
             if whole := _STRING[value].match(text, i):
-                at = whole.end()
+                while whole:
+                    at = whole.end()
+                    whole = _STRING[value].match(text, at)
                 yield "string", text[i + 1 : at - 1], i + 1, at - 1
             else:
                 end = text.find("\n", i)
@@ -126,24 +154,39 @@ def yaml_block(text: str, key: int, at: int) -> tuple[int, int]:
     return i, max(i, begin + len(whole.rstrip()))
 
 
-def pairs(text: str) -> list[tuple[str, Literal, int, int]]:
-    """Name-literal pairs: target name, literal, and the literal's span; constants stand with the span of their text."""
-    out: list[tuple[str, Literal, int, int]] = []
-    known: dict[str, tuple[Literal, int, int]] = {}
+def variable(name: str) -> bool:
+    """A dotted name none of whose parts looks random."""
+    return "." in name and not any(any(map(str.isdigit, p)) and any(map(str.islower, p)) and any(map(str.isupper, p)) for p in name.split("."))
+
+
+def prose(value: str) -> bool:
+    """What triple quotes enclose is text to read if it has spaces and no long run without them that holds a digit."""
+    return " " in value and not any(len(w) >= 16 and any(map(str.isdigit, w)) for w in value.split())
+
+
+def pairs(text: str) -> list[tuple[str, Literal]]:
+    """Target names and the literals that they get."""
+    out: list[tuple[str, Literal]] = []
+    known: dict[str, Literal] = {}
     alias: dict[str, str] = {}  # names given a name that is not known yet
     later: list[tuple[int, str]] = []  # pairs whose value is such a name
-    previous: list[tuple[str, str, int, int]] = []  # the last two tokens
+    previous: list[tuple[str, str, int, int]] = []  # the last three tokens
     joined: Literal | None = None  # the last pair's literal, once it has parts
+    named = unknown = False  # whether the last pair's first part is a name, and one that is not known
+    chain = ""  # value: the last pair's expression may go on with a plus; plus: a part follows
     typed: tuple[str, int, int] | None = None  # name, end of its colon, and pairs before what follows it
     bare_end = block_end = 0
     wrapped = grouped = False  # whether the value may stand on this line, and whether parentheses hold it
+    target: str | None = None  # of the expression that goes on
+    commas: list[int] = []  # of the calls that are open in it
+    choice = False  # whether it has the mark of a ternary
 
-    def counted(x: Literal, i: int, j: int) -> Literal:
+    def counted(x: Literal) -> Literal:
         if x.counts is None:
-            x.counts = Counter(text[i:j])
+            x.counts = Counter(text[x.i : x.j])
         return x
 
-    def holds(target: str, value: tuple[Literal, int, int] | None, name: str | None = None) -> None:
+    def holds(target: str, value: Literal | None, name: str | None = None) -> None:
         known.pop(target, None)
         alias.pop(target, None)
         if value:
@@ -152,14 +195,21 @@ def pairs(text: str) -> list[tuple[str, Literal, int, int]]:
             alias[target] = name
 
     for kind, value, i, j in tokens(text):
-        if i < block_end or kind == "other" and value == "\\" and text[j : j + 1] == "\n" or kind == "name" and j - i <= 2 and text[j : j + 1] in ('"', "'"):
-            continue  # a line that goes on, or the letters before a string
-        awaited = len(previous) == 2 and previous[1][0] == "op" and previous[1][1] in ("=", ":", ":=", "=>") and previous[0][0] in ("name", "string")
+        quoted = text[j : j + 1] in ('"', "'")
+        if i < block_end or kind == "other" and value == "\\" and text[j : j + 1] == "\n" or quoted and (kind == "name" and j - i <= 2 and value not in ELSE or kind == "other" and value in _MARKS):
+            continue  # a line that goes on, or what stands before a string
+        last = previous[-1] if previous else ("", "", 0, 0)
+        awaited = len(previous) >= 2 and last[0] == "op" and last[1] in ("=", ":", ":=", "=>") and previous[-2][0] in ("name", "string")
         if kind == "line":
             wrapped = wrapped or awaited
-            if not (awaited or grouped):
+            if not commas and chain != "plus" or text[j : j + 1] == "\n":
+                target = None
+                commas.clear()
+            if not (awaited or grouped or chain):
                 previous = []
             continue
+        if chain == "value" and not grouped and "\n" in text[last[3] : i] and (kind, value) != ("op", "+"):
+            chain, previous, awaited = "", [], False
         if kind == "op" and value == "(" and awaited:
             grouped = wrapped = True
             continue
@@ -167,58 +217,108 @@ def pairs(text: str) -> list[tuple[str, Literal, int, int]]:
             if len(out) == typed[2] + 1:
                 out.pop()
             later = later[:-1] if later and later[-1][0] == len(out) else later
-            previous, wrapped = [("name", typed[0], i, i), (kind, value, i, j)], False
+            previous, wrapped, chain = [("name", typed[0], i, i), (kind, value, i, j)], False, ""
             continue
-        if wrapped and not grouped and kind != "string" and "\n" in text[previous[-1][3] if previous else i : i]:
-            awaited, previous = False, []
+        if wrapped and not grouped and kind != "string" and "\n" in text[last[3] if previous else i : i]:
+            awaited, previous, last = False, [], ("", "", 0, 0)
         wrapped = False
-        if awaited:
-            target = previous[0][1]
-            typed = (target, previous[1][3], len(out)) if previous[1][1] == ":" and previous[0][0] == "name" else None
-            pending: tuple[Literal, int, int] | None = None
+        # what stands in for a missing value belongs to the expression's target
+        instead = target is not None and kind == "string" and (
+            last[1] in ELSE if last[0] == "name" else last[1] == "||" or last[1].endswith("?") if last[0] == "other" else
+            last[1] == ":" and choice or last[1] == "," and bool(commas and commas[-1]) or bool(commas) and awaited and previous[-2][1] in DEFAULTS
+        )
+        if instead:
+            if not any(map(str.isspace, value)):
+                out.append((target, Literal(text, i, j)))
+                joined, named, unknown, chain = None, False, False, "value"
+        elif awaited:
+            inner, commas_were = previous[-2][1], bool(commas)
+            typed = (inner, last[3], len(out)) if last[1] == ":" and previous[-2][0] == "name" else None
+            pending: Literal | None = None
             name, whole = None, False
             if kind == "string":
-                pending = (Literal(text, i, j), i, j)
-            elif kind == "other" and previous[1][1] == ":" and _YAML_BLOCK.match(text, i):
-                start, block_end = yaml_block(text, previous[0][2], i)
-                pending = (Literal(text, start, block_end), start, block_end)
+                pending = None if text[max(0, i - 3) : i] in ('"' * 3, "'" * 3) and prose(value) else Literal(text, i, j)
+            elif kind == "other" and last[1] == ":" and _YAML_BLOCK.match(text, i):
+                start, block_end = yaml_block(text, previous[-2][2], i)
+                pending = Literal(text, start, block_end)
             elif kind in ("name", "other"):
                 if i >= bare_end:  # values within a bare value end where it ends
                     bare_end = _BARE.match(text, i).end()
                 whole = bare_end == i + len(value)
                 name = value if kind == "name" and whole else None
-                end = max(i, bare_end)
-                pending = known.get(name) or (Literal(text, i, end), i, end)
+                if name is None or text[j : j + 1] != "(":
+                    pending = known.get(name) or Literal(text, i, i if name and variable(name) else max(i, bare_end))
+                else:
+                    name = None
+            if not commas_were:
+                target, choice = inner, False
             if pending:
                 if name and name not in known:
                     later.append((len(out), name))
-                    holds(target, None, name)
+                    holds(inner, None, name)
                 else:
-                    holds(target, None if kind == "other" and whole else pending)
-                out.append((target, *pending))
-                joined = None
-        elif out and len(previous) == 2 and previous[1][1] == "+" and previous[1][0] == "op" and kind in ("string", "name") or out and grouped and kind == "string" and previous and previous[-1][0] == "string":
-            part = (Literal(text, i, j), i, j) if kind == "string" else known.get(value)
-            near = out[-1][3] + 4 >= (previous[1][2] if previous[-1][0] == "op" else i) or grouped and not text[out[-1][3] + 1 : i].strip(" \t\r\n+\"'")
-            if near and part and part[0].n:
-                target, have, start, end = out[-1]
-                counted(*part)
+                    holds(inner, None if kind == "other" and whole else pending)
+                out.append((inner, pending))
+                joined, named, unknown, chain = None, name is not None, name is not None and name not in known, "value"
+            else:
+                holds(inner, None)
+                chain = ""
+        elif out and kind in ("string", "name") and (chain == "plus" or grouped and kind == "string" and last[0] == "string"):
+            part = Literal(text, i, j) if kind == "string" else known.get(value)
+            chain = "value"
+            if part and part.n:
+                goal, have = out[-1]
+                counted(part)
                 if joined is None:  # a literal of its own, as other names may stand for the first
-                    joined = Literal(text, start, end)
-                    joined.counts = Counter(counted(have, start, end).counts)
-                joined.add(part[0])
-                out[-1] = (target, joined, start, j)
-                holds(target, out[-1][1:])
-        if kind == "op" and value == ")":
-            grouped = False
-        previous = [*previous[-1:], (kind, value, i, j)]
+                    joined = Literal(text, have.i, have.i if unknown else have.j)
+                    joined.counts = Counter() if unknown else Counter(counted(have).counts)
+                    joined.n, joined.head, joined.tail = (0, "", "") if unknown else (have.n, have.head, have.tail)
+                    joined.own, joined.of = (None, [] if unknown else [have]) if named else (have.own, [*have.of])
+                    if unknown and later and later[-1][0] == len(out) - 1:
+                        later.pop()
+                joined.add(part)
+                if kind == "string":
+                    joined.own = (joined.own[0] if joined.own else i, j)
+                else:
+                    joined.of.append(part)
+                out[-1] = (goal, joined)
+                holds(goal, joined)
+        elif (kind, value) == ("op", "+") and chain == "value" and i >= bare_end:
+            chain = "plus"
+        elif i >= bare_end:
+            chain = ""
+        if kind == "op":
+            if value == ")":
+                grouped = False
+                if commas:
+                    commas.pop()
+                else:
+                    target = None
+            elif value == "(" and target is not None:
+                commas.append(0)
+            elif value == "," and commas:
+                commas[-1] += 1
+            elif value in (",", ";", "{", "}"):
+                target = None
+                commas.clear()
+        elif kind == "other" and "?" in value:
+            choice = True
+        if kind == "op" and value == "]" and len(previous) >= 2 and last[0] == "string" and previous[-2][1] == "[":
+            previous = [last]  # table["name"] is a name
+        elif kind == "name" and last[:2] == ("name", "define"):
+            previous = [(kind, value, i, j), ("op", "=", j, j)]
+        elif kind == "op" and value == "," and len(previous) == 3 and last[0] == "string" and previous[1][1] == "(" and previous[0][:2] == ("name", "define"):
+            previous, target = [last, ("op", "=", i, j)], None
+            commas.clear()
+        else:
+            previous = [*previous[-2:], (kind, value, i, j)]
     for k, name in later:
         seen = set()
         while name in alias and name not in seen:
             seen.add(name)
             name = alias[name]
         if name in known:
-            out[k] = (out[k][0], *known[name])
+            out[k] = (out[k][0], known[name])
             for n in seen:
                 holds(n, known[name])
     return out
@@ -226,25 +326,30 @@ def pairs(text: str) -> list[tuple[str, Literal, int, int]]:
 
 def pair_spans(text: str, lowered: str) -> Iterator[tuple[str, int, int, float]]:
     """Literals whose target's name and look make them secrets."""
-    if not ("=" in text or ":" in text) or not any(s in lowered for s in ("pass", "pwd", "secret", "token", "key", "cred", "auth", "signature", "salt", "cookie")):
+    if not ("=" in text or ":" in text or "define" in text) or not any(s in lowered for s in ("pass", "pwd", "secret", "token", "key", "cred", "auth", "signature", "salt", "cookie")):
         return
-    found = [(weight, x, i, j) for target, x, i, j in pairs(text) if x.n >= SHORTEST and (weight := sensitivity(target)) and not x.placeholder()]
+    found = [(weight, x) for target, x in pairs(text) if x.n >= SHORTEST and (weight := sensitivity(target)) and not x.placeholder()]
     first, last, counts = 0, -1, Counter()
-    for _, x, i, j in sorted(found, key=lambda f: (f[3], -f[2])):  # values within one value share its end: each is counted from the next one on
+    for _, x in sorted(found, key=lambda f: (f[1].j, -f[1].i)):  # values within one value share its end: each is counted from the next one on
         if x.random is None:
             if x.counts is None:
-                if j != last:
-                    first, last, counts = j, j, Counter()
-                counts.update(text[i:first])
-                first = i
+                if x.j != last:
+                    first, last, counts = x.j, x.j, Counter()
+                counts.update(text[x.i : first])
+                first = x.i
             x.random = randomness(counts if x.counts is None else x.counts, x.n)
-    seen = set()
-    for weight, x, i, j in found:
-        if (i, j) not in seen:
-            got = round(weight * x.random, 4)
-            if got >= MIN_SCORE:
-                seen.add((i, j))
-                yield "pair", i, j, got
+    seen, gone = set(), set()
+    for weight, x in found:
+        got = round(weight * x.random, 4)
+        parts = [x] if got >= MIN_SCORE else []
+        while parts:
+            y = parts.pop()
+            if id(y) not in gone:
+                gone.add(id(y))
+                parts += y.of
+                if y.own and y.own not in seen and y.own[1] - y.own[0] >= SHORTEST_PART:
+                    seen.add(y.own)
+                    yield "pair", *y.own, got
 
 
 def spans(text: str) -> list[tuple[str, int, int, float]]:
