@@ -34,7 +34,8 @@ BLOCK_WORDS = 256
 #: Blocks over all sources; larger corpora get larger blocks, as the drawing of counts is limited to 10**9.
 MOST_BLOCKS = 4 * 10**8
 SHARD_WORDS = 1 << 22
-MOST_SHARDS = 1024
+#: Shards of a small corpus, where it has that many blocks, and of a very large one.
+LEAST_SHARDS, MOST_SHARDS = 32, 1024
 MOST_QUOTAS = 1 << 22
 #: Words that one task orders when a mix is written; a larger shard is ordered in parts.
 PART_WORDS = 1 << 20
@@ -143,7 +144,7 @@ def mix(
         rest = round(max(0.0, target[q] - whole * sizes[q]) / step[q])
         quota[q] = min(whole * blocks[q] + rest, most_repeats * blocks[q])
     if shards is None:
-        shards = max(1, min(MOST_SHARDS, total // SHARD_WORDS, MOST_QUOTAS // max(1, len(names))))
+        shards = max(1, min(MOST_SHARDS, max(LEAST_SHARDS, total // SHARD_WORDS), sum(quota.values()), MOST_QUOTAS // max(1, len(names))))
     leaves = split_quotas(np.array([quota[q] for q in names], np.int64), shards, seed) if names else np.zeros((1, 0), np.int64)
     ends = {q: np.cumsum(leaves[:, k]) for k, q in enumerate(names)}
     number = {q: k for k, q in enumerate(names)}

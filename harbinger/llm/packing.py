@@ -8,6 +8,7 @@ stream: half a quantum by its own rounding, and its share of the others' halves.
 quantum i of source s falls due at time (2i+1)/w_s, ties in source order, and its place in the stream is the sum
 over all sources of the quanta due before it. So every partition places its own documents knowing only each
 queue's total and where its rows start in their queues. A queue that ends early leaves its share to the others.
+Queues with a target of 0 are a class of their own, scheduled by their sizes behind the end of all others.
 
 Full windows need no padding; the rest of the stream is cut into sequences whose lengths are powers of two.
 Null texts are empty and hold the end id only; null is a source of its own; rows of equal id are documents of
@@ -42,6 +43,18 @@ def weights(totals: dict[str, int], targets: dict[str, float] | None = None) ->
     return {q: max(1, round(PARTS * x / whole)) for q, x in want.items()}
 
 
+def classes(totals: dict[str, int], targets: dict[str, float] | None) -> list[tuple[list[str], np.ndarray, np.ndarray, int]]:
+    """Queues that are scheduled together, each class with its queues' weights and totals and its place in the stream:
+    those with a target, then those without, by size."""
+    out, at = [], 0
+    for aimed in (True, False):
+        own = {q: n for q, n in sorted(totals.items()) if (not targets or targets.get(q, 0) > 0) == aimed}
+        share = weights(own, targets if aimed else None)
+        out.append((list(own), np.array([share[q] for q in own], np.int64), np.array(list(own.values()), np.int64), at))
+        at += sum(own.values())
+    return out
+
+
 def places(queue: int, quanta: np.ndarray, weight: np.ndarray, total: np.ndarray, quantum: int) -> np.ndarray:
     """Where in the stream each of a queue's quanta starts."""
     out = np.minimum(total[queue], quanta * quantum)
@@ -126,30 +139,29 @@ def pack_documents(
     """A row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     targets: weight by source; None takes the documents' own proportions, with which all queues end together.
-    A source without a target, or past its weight, is served when the others have ended: nothing is dropped.
+    A source without a target, or with one of 0, is served when the others have ended: nothing is dropped.
     Past common.MOST_QUEUES sources those without a target share queues, so windows follow the shares of these groups.
     """
     named = {("n" if s is None else f"s{s}"): w for s, w in targets.items()} if targets else None
     rows, totals = common.with_offsets(common.table(tokenized(docs, id_col, text_col, source_col, tokenizer, tokenizer_path, end_id, named or ()), "packing-ids"))
-    names = sorted(totals)
-    share = weights(totals, named)
-    weight, total = np.array([share[q] for q in names], np.int64), np.array([totals[q] for q in names], np.int64)
-    tail, number = sequences(int(total.sum()), window), {q: k for k, q in enumerate(names)}
+    groups = classes(totals, named)
+    tail, number = sequences(sum(totals.values()), window), {q: (g, k) for g, (names, *_) in enumerate(groups) for k, q in enumerate(names)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
                 n, base = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n", "base"))
-                queue = np.array([number[q] for q in b.column("queue").to_pylist()])
+                queue = np.array([number[q] for q in b.column("queue").to_pylist()], np.int64).reshape(-1, 2)
                 first, last = base // quantum, (base + n - 1) // quantum
                 count = np.where(n > 0, last - first + 1, 0)
                 doc = np.repeat(np.arange(n.size), count)
                 c = np.arange(doc.size) - np.repeat(np.cumsum(count) - count, count) + first[doc]
                 at = np.empty(doc.size, np.int64)
-                for q in np.unique(queue).tolist():
-                    mine = queue[doc] == q
-                    at[mine] = places(q, c[mine], weight, total, quantum)
+                for g, q in np.unique(queue, axis=0).tolist():
+                    mine = (queue[doc] == (g, q)).all(axis=1)
+                    _, weight, total, start = groups[g]
+                    at[mine] = start + places(q, c[mine], weight, total, quantum)
                 begin, end = np.maximum(c * quantum, base[doc]), np.minimum((c + 1) * quantum, (base + n)[doc])
                 doc, start, length, seq, offset = pieces(doc, begin - base[doc], end - base[doc], at + begin - c * quantum, window, tail)
                 ids = b.column("ids")
