@@ -7,7 +7,6 @@ pages by fixed integer arithmetic (never presented as real). The same rules stan
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +24,8 @@ from harbinger.sources import feeds, report
 
 AS_OF, DAYS, MIN_SCORE = "2001-08-01", 365, 2
 CUTOFF = "2000-08-01"
+#: Raw rows that one task makes and scores.
+ROWS_A_TASK = 1 << 13
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +43,16 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filings(spark, sf_dir).select("source", "external_id", "name", "address", "date", "neighborhood", F.lit("").alias("raw"), "score", F.array(F.lit("filed")).alias("reasons"), F.col("date").alias("first_seen"), "seen")
 
 
+def part_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that raw rows are projected from. They are a few bytes each and what is made of them is dear, so they are dealt to tasks
+    by their number: by bytes all of them would be one task's."""
+    keys = table(spark, sf_dir, "part").select("p_partkey")
+    return keys.repartition(-(-keys.count() // ROWS_A_TASK) or 1, "p_partkey")
+
+
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, r): raw JSON rows projected from part, parsed."""
-    part = table(spark, sf_dir, "part")
+    part = part_keys(spark, sf_dir)
     rows = spark.sql(catalog_sql.RAW_FIELDS.replace("FROM part", "FROM {part}"), part=part)
     strings = [c for c in rows.columns if c not in ("id", "tables", "display")]
     flags = lambda c: F.when(F.col(c) == 1, F.lit("true")).when(F.col(c) == 2, F.lit('"true"')).otherwise(F.lit("false"))
@@ -54,13 +62,13 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_signals(spark, sf_dir):
     """Every feed's signals from the same raw rows; that of inspections as in its first, quiet run."""
-    rows = spark.sql(catalog_sql.FEED_ROWS.replace("FROM part", "FROM {part}"), part=table(spark, sf_dir, "part"))
+    rows = spark.sql(catalog_sql.FEED_ROWS.replace("FROM part", "FROM {part}"), part=part_keys(spark, sf_dir))
     strings = [F.col(c).alias("id" if c == "vid" else c) for c in rows.columns if c not in ("id", "tables", "display")]
     flags = lambda c: F.when(F.col(c) == 1, F.lit("true")).when(F.col(c) == 2, F.lit('"true"')).otherwise(F.lit("false"))
     body = F.concat(F.regexp_replace(F.to_json(F.struct(*strings)), r"\}$", ""), F.lit(',"tablesandchairs":'), flags("tables"), F.lit(',"displaymerchandise":'), flags("display"), F.lit("}"))
     raw = rows.select(F.col("id").cast("long").alias("seq"), body.alias("raw"))
-    out = [feeds.signals(raw, f, "2024-12-31", None, f.quiet_backfill) for f in feeds.FEEDS.values()]
-    every = functools.reduce(DataFrame.unionByName, [x.select("source", "external_id", "name", "address", "date", "neighborhood", "score", F.array_join("reasons", "; ").alias("reasons"), "seen", "raw") for x in out])
+    every = feeds.shared(raw, feeds.FEEDS.values(), "2024-12-31", None, [f.key for f in feeds.FEEDS.values() if f.quiet_backfill])
+    every = every.select("source", "external_id", "name", "address", "date", "neighborhood", "score", F.array_join("reasons", "; ").alias("reasons"), "seen", "raw")
     return every.withColumn("raw_record", F.get_json_object("raw", "$.record_id")).drop("raw")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -33,7 +34,7 @@ def rule(*parts: tuple[Column, int, Column]) -> Column:
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    return bound(text, lambda t: functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in words]))
 
 
 def hits(text: Column, words: tuple[str, ...]) -> Column:
@@ -51,11 +52,14 @@ def has_bar(text: Column) -> Column:
     return bound(split, alone)
 
 
+def with_values(given: dict[str, Column], score: Callable[[Column], Column]) -> Column:
+    """score of a struct of the given columns: each is computed once a row, however often conditions and reasons name it."""
+    return bound(F.struct(*[c.alias(k) for k, c in given.items()]), score)
+
+
 def with_hits(given: dict[str, Column], words: tuple[str, ...], score: Callable[[Column], Column]) -> Column:
-    """score of a struct of the given columns and the words `found` in `desc`: each is computed once a row, however often
-    conditions and reasons name it."""
-    found = lambda x: F.struct(*[x[k].alias(k) for k in given], hits(x["desc"], words).alias("found"))
-    return bound(F.struct(*[c.alias(k) for k, c in given.items()]), lambda x: bound(found(x), score))
+    """with_values, and with them the words `found` in `desc`."""
+    return with_values(given, lambda x: with_values({**{k: x[k] for k in given}, "found": hits(x["desc"], words)}, score))
 
 
 def money(x: Column) -> Column:
@@ -64,15 +68,19 @@ def money(x: Column) -> Column:
 
 
 def business(row: Column) -> Column:
-    lic, naics, dba, owner = (field(row, k) for k in ("lic_code_description", "self_reported_naics_code", "dba_name", "ownership_name"))
-    food = naics.startswith("722") | any_of(F.upper(lic), LICENSE_WORDS)
-    drink = ~food & naics.startswith("3121")
-    retail = ~food & ~drink & (naics.startswith("44") | naics.startswith("45"))
-    other = (dba != "") & (ascii_lower(dba) != ascii_lower(owner))
-    return rule(
-        (food, 2, F.concat(F.lit("food service (lic: "), lic, F.lit(", NAICS: "), naics, F.lit(")"))), (drink, 2, F.concat(F.lit("beverage producer (NAICS: "), naics, F.lit(")"))),
-        (retail, 2, F.concat(F.lit("retail (NAICS: "), naics, F.lit(")"))), (other, 1, F.concat(F.lit('new DBA "'), dba, F.lit('" differs from owner "'), owner, F.lit('"'))),
-    )
+    def score(x: Column) -> Column:
+        lic, naics, dba, owner, food = (x[k] for k in ("lic", "naics", "dba", "owner", "food"))
+        drink = ~food & naics.startswith("3121")
+        retail = ~food & ~drink & (naics.startswith("44") | naics.startswith("45"))
+        other = (dba != "") & (ascii_lower(dba) != ascii_lower(owner))
+        return rule(
+            (food, 2, F.concat(F.lit("food service (lic: "), lic, F.lit(", NAICS: "), naics, F.lit(")"))), (drink, 2, F.concat(F.lit("beverage producer (NAICS: "), naics, F.lit(")"))),
+            (retail, 2, F.concat(F.lit("retail (NAICS: "), naics, F.lit(")"))), (other, 1, F.concat(F.lit('new DBA "'), dba, F.lit('" differs from owner "'), owner, F.lit('"'))),
+        )
+
+    given = {k: field(row, c) for k, c in (("lic", "lic_code_description"), ("naics", "self_reported_naics_code"), ("dba", "dba_name"), ("owner", "ownership_name"))}
+    food = lambda x: x["naics"].startswith("722") | any_of(F.upper(x["lic"]), LICENSE_WORDS)
+    return with_values(given, lambda x: with_values({**{k: x[k] for k in given}, "food": food(x)}, score))
 
 
 def permit(row: Column) -> Column:
@@ -89,8 +97,10 @@ def permit(row: Column) -> Column:
 
 
 def entertainment(row: Column) -> Column:
-    kind = field(row, "license_type")
-    return rule((F.lit(True), 2, F.lit("new entertainment venue")), (kind != "", 1, F.concat(F.lit("license type: "), kind)))
+    def score(x: Column) -> Column:
+        return rule((F.lit(True), 2, F.lit("new entertainment venue")), (x["kind"] != "", 1, F.concat(F.lit("license type: "), x["kind"])))
+
+    return with_values({"kind": field(row, "license_type")}, score)
 
 
 def planning(row: Column) -> Column:
@@ -102,22 +112,27 @@ def planning(row: Column) -> Column:
 
 
 def fire(row: Column) -> Column:
-    kind = F.lower(field(row, "permit_type_description"))
-    has = lambda w: F.contains(kind, F.lit(w))
-    return rule((has("place of assembly") & ~has("temporary") & ~has("special") | has("commercial cooking") | has("hood"), 3, F.concat(F.lit("fire permit: "), kind)))
+    def score(x: Column) -> Column:
+        has = lambda w: F.contains(x["kind"], F.lit(w))
+        return rule((has("place of assembly") & ~has("temporary") & ~has("special") | has("commercial cooking") | has("hood"), 3, F.concat(F.lit("fire permit: "), x["kind"])))
+
+    return with_values({"kind": F.lower(field(row, "permit_type_description"))}, score)
 
 
 def vending(row: Column) -> Column:
     goods = F.lower(F.concat(field(row, "whatwillyoubeselling"), F.lit(" "), field(row, "describewhatyouwillsell")))
-    return rule((F.lit(True), 2, F.lit("street vending permit")), (any_of(goods, VENDING_WORDS), 1, F.lit("food vendor")))
+    return with_values({"food": any_of(goods, VENDING_WORDS)}, lambda x: rule((F.lit(True), 2, F.lit("street vending permit")), (x["food"], 1, F.lit("food vendor"))))
 
 
 def tables_chairs(row: Column) -> Column:
-    tables, display = flag(row, "tablesandchairs"), flag(row, "displaymerchandise")
-    return rule(
-        (tables, 3, F.lit("sidewalk tables & chairs registration — outdoor seating")), (~tables & display, 2, F.lit("sidewalk merchandise display registration")),
-        (~tables & ~display, 2, F.lit("Shared Spaces sidewalk registration")),
-    )
+    def score(x: Column) -> Column:
+        tables, display = x["tables"], x["display"]
+        return rule(
+            (tables, 3, F.lit("sidewalk tables & chairs registration — outdoor seating")), (~tables & display, 2, F.lit("sidewalk merchandise display registration")),
+            (~tables & ~display, 2, F.lit("Shared Spaces sidewalk registration")),
+        )
+
+    return with_values({"tables": flag(row, "tablesandchairs"), "display": flag(row, "displaymerchandise")}, score)
 
 
 def mobile_food(row: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -82,17 +82,47 @@ def signals(rows: DataFrame, feed: Feed, today: str, seen: Callable[[DataFrame],
     """Raw rows (seq long, raw string) to signals with seq. Rows without an id and those below the feed's least score go.
 
     seen: which of some beginnings of ids, (prefix), are stored already (Store.seen); None is an empty store."""
-    rows = rows.select("seq", F.explode(F.array(parsed(F.col("raw")))).alias("_r"))  # read once, where a projection would be read by every field
+    return shared(rows, [feed], today, {feed.key: seen} if seen else {}, {feed.key} if quiet else ())
+
+
+def shared(rows: DataFrame, of: Iterable[Feed], today: str, seen: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, quiet: Iterable[str] = ()) -> DataFrame:
+    """The signals of several feeds that read the same raw rows: a row is parsed and written as JSON once for all of them.
+
+    seen: as for `signals`, by feed; quiet: feeds whose signals count as delivered."""
+    of, seen, quiet = list(of), seen or {}, set(quiet)
+    rows = rows.select("seq", "raw")
+    for feed in of:
+        if feed.score is None:  # what is first is told before rows become wide
+            keyed = rows.withColumn("_r", F.explode(F.array(parsed(F.col("raw")))))
+            r = F.col("_r")
+            key = F.when(named(feed.external_id(r)), field(r, "permit_number"))  # rows without an id are no events
+            keyed = keyed.withColumns({"_permit": key, "_stamp": stamp(r, feed)}).drop("_r")
+            asked = keyed.select(store.beginning(F.col("_permit")).alias("prefix")).where("prefix is not null").distinct()
+            had = seen[feed.key](asked) if feed.key in seen else asked.where(F.lit(False))
+            rows = store.first_of(keyed, had, "_permit", "_stamp").withColumnRenamed("first", f"_first_{feed.key}").drop("_permit", "_stamp")
+    rows = rows.withColumn("_r", F.explode(F.array(parsed(F.col("raw"))))).drop("raw")  # read once, where a projection would be read by every field
+    if len(of) > 1:
+        rows = rows.withColumn("raw", F.explode(F.array(F.to_json("_r"))))
     r = F.col("_r")
-    date = normal_date(field(r, feed.date_field)) if feed.date_field else F.lit(today)
-    out = rows.select(
-        F.col("seq"), F.lit(feed.key).alias("source"), feed.external_id(r).alias("external_id"), feed.name(r).alias("name"), feed.address(r).alias("address"), date.alias("date"),
-        feed.neighborhood(r).alias("neighborhood"), F.to_json(r).alias("raw"), (feed.score(r) if feed.score else F.lit(None)).alias("_score"), field(r, "permit_number").alias("_permit"),
-        (field(r, feed.date_field) if feed.date_field else F.lit("")).alias("_stamp"),
-    ).where(F.regexp_replace("external_id", "^-+|-+$", "") != "")
-    if feed.score is None:
-        asked = out.select(store.beginning(F.col("_permit")).alias("prefix")).distinct()
-        had = seen(asked) if seen else rows.sparkSession.createDataFrame([], "prefix string")
-        out = store.first_of(out.withColumn("_d", F.col("_stamp")), had, "_permit", "_d").withColumn("_score", scoring.first_inspection(F.col("first"))).drop("first", "_d")
-    out = out.withColumns({"score": F.col("_score.score"), "reasons": F.col("_score.reasons"), "first_seen": F.lit(today), "seen": F.lit(quiet)}).drop("_score", "_permit", "_stamp")
-    return out.where(F.col("score") >= feed.min_store_score)
+
+    def one(feed: Feed) -> Column:
+        score = feed.score(r) if feed.score else scoring.first_inspection(F.col(f"_first_{feed.key}"))
+        date = normal_date(stamp(r, feed)) if feed.date_field else F.lit(today)
+        return F.struct(
+            F.lit(feed.key).alias("source"), feed.external_id(r).alias("external_id"), feed.name(r).alias("name"), feed.address(r).alias("address"), date.alias("date"), feed.neighborhood(r).alias("neighborhood"),
+            score.alias("score"), F.lit(feed.min_store_score).alias("least"), F.lit(feed.key in quiet).alias("seen"),
+        )
+
+    # exploded too: a filter would be moved below a projection and make ids and scores twice
+    out = rows.select("seq", "_r" if len(of) == 1 else "raw", F.explode(F.array(*map(one, of))).alias("x")).where(named(F.col("x.external_id")) & (F.col("x.score.score") >= F.col("x.least")))
+    return out.select(
+        "seq", *[f"x.{c}" for c in ("source", "external_id", "name", "address", "date", "neighborhood")], (F.to_json("_r") if len(of) == 1 else F.col("raw")).alias("raw"), F.col("x.score.score").alias("score"), F.col("x.score.reasons").alias("reasons"), F.lit(today).alias("first_seen"), "x.seen",
+    )
+
+
+def stamp(row: Column, feed: Feed) -> Column:
+    return field(row, feed.date_field) if feed.date_field else F.lit("")
+
+
+def named(external_id: Column) -> Column:
+    return F.regexp_replace(external_id, "^-+|-+$", "") != ""
