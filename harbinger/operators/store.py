@@ -37,11 +37,13 @@ KEPT = ["date", "first_seen", "seen"]
 
 def deduplicated(batch: DataFrame, seq: str = "seq") -> DataFrame:
     """One row per key of a batch, as if its rows came one after the other: dates and delivery of the first, the rest of the last."""
-    return batch.groupBy(*KEY).agg(*_folded(seq))
+    return _folded(batch, seq).drop("times")
 
 
-def _folded(seq: str) -> list[Column]:
-    return [F.min_by(c, seq).alias(c) for c in KEPT] + [F.max_by(c, seq).alias(c) for c in PAYLOAD]
+def _folded(batch: DataFrame, seq: str) -> DataFrame:
+    """deduplicated, with the number of rows of each key."""
+    one = batch.groupBy(*KEY).agg(F.min_by(F.struct(*KEPT), seq).alias("_first"), F.max_by(F.struct(*PAYLOAD), seq).alias("_last"), F.count(F.lit(1)).alias("times"))
+    return one.select(*KEY, "_first.*", "_last.*", "times")
 
 
 def merged(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -170,9 +172,13 @@ def new_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*NAMES).withColumns({"was": F.lit(None).cast(past), "times": F.lit(1).cast("long")})
 
 
-def facts(rows: DataFrame, at: str = "") -> DataFrame:
-    """(kind, key, source, date, name, id): what a row says for each list that it belongs to. at: a struct column with
-    the row, as `was`."""
+def facts(rows: DataFrame) -> DataFrame:
+    """(kind, key, source, date, name, id): what a row says for each list that it belongs to."""
+    return rows.select(F.explode(_facts()).alias("f")).select("f.*")
+
+
+def _facts(at: str = "") -> Column:
+    """The facts of a row. at: a struct column with the row, as `was`."""
     c = lambda n: F.col(f"{at}.{n}" if at else n)
     counts, placed = (c("score") >= MIN_SCORE) & (c("address") != ""), c("address") != ""
     one = lambda kind, holds, key, date, name, id: F.when(holds & (key != ""), F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.col("source"), date.alias("date"), name.alias("name"), id.alias("id")))
@@ -180,7 +186,16 @@ def facts(rows: DataFrame, at: str = "") -> DataFrame:
         one("address", counts, c("address_key"), c("date"), c("name"), F.lit("")), one("name", counts, c("name_key"), c("date"), c("name"), F.lit("")),
         one("hood", placed & (trim(c("neighborhood")) != ""), c("address_key"), c("first_seen"), c("neighborhood"), F.col("external_id")),
     )
-    return rows.select(F.explode(F.filter(every, lambda f: f.isNotNull())).alias("f")).select("f.*")
+    return F.filter(every, lambda f: f.isNotNull())
+
+
+def moved(rows: DataFrame) -> DataFrame:
+    """(lost, kind, key, source, date, name, id), each once: the facts that rows have and had not before (`was`), and those that they have lost.
+    A row is compared with itself; where one row takes what another gives up, the fact is in both."""
+    now, before = _facts(), F.when(F.col("was").isNotNull(), _facts("was")).otherwise(F.filter(_facts(), lambda f: F.lit(False)))
+    told = lambda of, lost: F.transform(of, lambda f: F.struct(F.lit(lost).alias("lost"), f.alias("f")))
+    both = rows.select(F.explode(F.array(F.struct(now.alias("now"), before.alias("before")))).alias("x"))
+    return both.select(F.explode(F.concat(told(F.array_except("x.before", "x.now"), True), told(F.array_except("x.now", "x.before"), False))).alias("m")).select("m.lost", "m.f.*").distinct()
 
 
 def bucket(prefix: Column) -> Column:
@@ -197,9 +212,10 @@ def starts(rows: DataFrame) -> DataFrame:
 def lists(of: DataFrame) -> DataFrame:
     """(kind, key, source, items): the newest distinct filings of (key, source), of a hood the first; cut by a window, so
     that no more than these are gathered."""
-    own = Window.partitionBy("kind", "key", "source")
-    newest, first = own.orderBy(F.col("date").desc(), "name"), own.orderBy("date", "id")
-    rows = of.distinct().withColumn("n", F.when(F.col("kind") == "hood", F.row_number().over(first)).otherwise(F.row_number().over(newest)))
+    hood = F.col("kind") == "hood"
+    # one order serves both: a key is of one kind, where the other's terms are all null
+    order = Window.partitionBy("kind", "key", "source").orderBy(F.when(~hood, F.col("date")).desc(), F.when(hood, F.col("date")), F.when(hood, F.col("id")).otherwise(F.col("name")))
+    rows = of.distinct().withColumn("n", F.row_number().over(order))
     most = F.when(F.col("kind") == "address", MOST["address"]).when(F.col("kind") == "name", MOST["name"]).otherwise(MOST["hood"])
     return rows.where(F.col("n") <= most).groupBy("kind", "key", "source").agg(F.sort_array(F.collect_list(F.struct("n", "date", "name", "id"))).alias("x")).select(
         "kind", "key", "source", F.transform("x", lambda x: F.struct(x["date"].alias("date"), x["name"].alias("name"), x["id"].alias("id"))).alias("items")
@@ -245,8 +261,8 @@ class Store:
         return [r.asDict() | {"path": short(r["path"]), "table": table, "base": base} for r in got.collect()]
 
     def _read(self, files: list[dict], schema: str) -> DataFrame:
-        if not files:
-            return self.spark.createDataFrame([], schema)
+        if not files:  # no rows that a plan knows of, where those of a list would be Python's
+            return self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)]).where(F.lit(False))
         names = StructType.fromDDL(schema).names
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*sorted(f"{self.root}/{f['path']}" for f in files)).select(*names)
 
@@ -317,15 +333,15 @@ class Store:
         """The lists that a commit's rows change, written; replace: those of the sources hold nothing but these rows."""
         rows = self._read(change, f"{ROWS}, was struct<{', '.join(f.replace(' ', ':', 1) for f in WAS.split(', '))}>")
         key, had = ["kind", "key", "source"], [f for f in state.files.values() if f["table"] == "lists"]
-        now, old = facts(rows), self._newest(had, ["kind", "key", "source"], LISTS).drop("commit")
+        old = self._newest(had, ["kind", "key", "source"], LISTS).drop("commit")
         empty = lambda keys: keys.withColumn("items", F.array().cast(ITEMS))
         write = lambda made: self._write(made.withColumn("commit", F.lit(version).cast("long")), "lists", not had)
         if replace:
-            made = lists(now)
+            made = lists(facts(rows))
             gone = old.where(F.col("source").isin(*sources)).select(*key).join(made, key, "left_anti")
             return write(made.unionByName(empty(gone)) if had else made)
-        before = facts(rows.where("was is not null"), "was")
-        lost, came = before.exceptAll(now).distinct().persist(), now.exceptAll(before).distinct().persist()
+        told = moved(rows).persist()
+        lost, came = told.where("lost").drop("lost"), told.where("not lost").drop("lost")
         try:
             kept = old.join(came.select(*key).distinct(), key, "left_semi").select(*key, F.explode("items").alias("i")).select(*key, "i.*")
             made = lists(kept.unionByName(came))
@@ -336,15 +352,15 @@ class Store:
                 made = made.join(again, key, "left_anti").unionByName(anew).unionByName(empty(again.join(anew, key, "left_anti")))
             return write(made)
         finally:
-            lost.unpersist()
-            came.unpersist()
+            told.unpersist()
 
     def _put(self, state: State, version: int, rows: DataFrame, sources: list, replace: bool = False) -> list[dict]:
         """rows: signals with `was` and `times`. A source without files gets a base, clustered by date."""
         first = replace or not any(f["table"] == "signals" and f["source"] in sources for f in state.files.values())
-        rows = with_keys(rows).withColumn("commit", F.lit(version).cast("long")).select(*NAMES, "address_key", "name_key", "commit", "was", "times")
-        if first:
+        rows = rows.select(*NAMES, "was", "times")
+        if first:  # keys are made behind the shuffle, which reads its input twice to find ranges
             rows = rows.repartitionByRange("source", "date", "external_id").sortWithinPartitions("source", "date")
+        rows = with_keys(rows).withColumn("commit", F.lit(version).cast("long")).select(*NAMES, "address_key", "name_key", "commit", "was", "times")
         add = self._write(rows, "signals", first)
         return add + self._starts(state, add, version) + (self._lists(state, add, version, sources, replace) if add or replace else [])
 
@@ -367,7 +383,7 @@ class Store:
         def make(state: State, version: int) -> Change | None:
             if not only:
                 return Change(meta=meta, result=[]) if meta else None
-            one = batch.groupBy(*KEY).agg(*_folded("seq"), F.count(F.lit(1)).alias("times"))
+            one = _folded(batch, "seq")
             stored = self._signals(state, only).select(*KEY, *[f.split()[0] for f in WAS.split(", ")])
             add = self._put(state, version, refreshed(stored, one), only)
             return Change(add, [], meta or {}, [f for f in add if f["table"] == "signals"])

@@ -267,3 +267,22 @@ def test_beginnings_come_to_stores_without_them_and_go_with_their_source(spark,
     assert have(s) == ["r-"]
     s.commit(frame(spark), {})
     assert have(s) == []
+
+
+def test_facts_that_rows_take_and_lose_are_told_in_one_pass(spark):
+    past = f"struct<{', '.join(f.replace(' ', ':', 1) for f in store.WAS.split(', '))}>"
+    was = lambda name, hood, score: (name, "1 Oak St", "2026-01-01", hood, score, "2026-01-01", False, "1 OAK ST", name.upper())
+    row = lambda id, name, hood, score, before: ("permit", id, name, "1 Oak St", "2026-01-01", hood, "", score, [], "2026-01-01", False, "1 OAK ST", name.upper(), before)
+    rows = spark.createDataFrame([
+        row("1", "Same", "North", 3, was("Same", "North", 3)), row("2", "After", "North", 3, was("Before", "North", 3)), row("3", "Weak", "", 1, was("Weak", "South", 2)), row("4", "Fresh", "", 2, None), row("5", "Before", "", 2, was("After", "", 2)),
+    ], f"{store.SCHEMA}, {store.KEYS}, was {past}")
+    made = store.moved(rows)
+    got = {(r["lost"], r["kind"], r["name"], r["id"]) for r in made.collect()}
+    a_and_n = lambda lost, *names: {(lost, kind, n, "") for kind in ("address", "name") for n in names}
+    assert got == a_and_n(True, "Before", "After", "Weak") | a_and_n(False, "After", "Before", "Fresh") | {(True, "hood", "South", "3")}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("ExistingRDD") + plan.count("LocalRelation") == 1
+    listed = store.lists(store.facts(rows))
+    assert listed._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    assert [[i["name"] for i in r["items"]] for r in listed.where("kind = 'hood'").collect()] == [["North"]]
+    assert [[i["name"] for i in r["items"]] for r in listed.where("kind = 'address'").collect()] == [["After", "Before", "Fresh", "Same"]]
