@@ -386,7 +386,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = common.table(chosen.select("doc_id", "y"), "toxicity-sample")
     rows = common.texts_of(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).toArrow()  # at most 2 * sample rows
     rows = rows.sort_by("doc_id")
-    return train(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.array([int(v > 0) for v in rows.column("y").to_pylist()]))
+    texts, y = rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string()), np.array([int(v > 0) for v in rows.column("y").to_pylist()])
+    del rows  # the texts stand once while the network is trained
+    common.give_back()
+    model = train(texts, y)
+    del texts
+    common.give_back()  # the driver's memory is the later stages' too
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -674,3 +674,14 @@ def test_pipeline_stages_keep_columns_of_any_name(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, wide, "/root/testdata/sf0.001")
         assert out.count() and (out.columns == wide.columns or name == "packing")
+
+
+def test_driver_gives_memory_back_after_training(spark, monkeypatch):
+    from harbinger.llm import common, toxicity
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append("back"))
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: calls.append(len(texts)))
+    docs = spark.createDataFrame([(k, f"word{k} text") for k in range(20)], "doc_id long, text string")
+    toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic"))
+    assert len(calls) == 3 and calls[0] == calls[2] == "back" and calls[1] > 0
